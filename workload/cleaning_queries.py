@@ -143,11 +143,11 @@ def sanitised(spark, sf):
 @query(
     "P10_clip_scaled",
     f"""SELECT {', '.join(_ODD_KEY)}, round(CASE WHEN v IS NULL OR isnan(v) OR isinf(v) THEN NULL
-      ELSE greatest(-5, least(5, v / 4000)) END, 6) AS v FROM ({_ODD})""",
+      ELSE greatest(-5, least(5, v / 3001)) END, 6) AS v FROM ({_ODD})""",
 )
 def clipped(spark, sf):
     rows = odd_values(spark, sf)
-    scaled = missing_if_not_finite(F.col("v")) / 4000
+    scaled = missing_if_not_finite(F.col("v")) / 3001
     return rows.select(*_ODD_KEY, F.round(clip(scaled, -5.0, 5.0), 6).alias("v"))
 
 
@@ -287,7 +287,7 @@ def finite(spark, sf):
 @query(
     "C2_median_fill",
     f"""WITH {_FINITE_CTE}, m AS (SELECT quantile_cont(f_price, 0.5) AS m FROM finite)
-    SELECT device, round(avg(coalesce(f_price, m)), 4) AS mean_price,
+    SELECT device, round(sum(coalesce(f_price, m)), 3) AS sum_price,
       count(*) FILTER (f_price IS NULL) AS filled FROM finite, m GROUP BY device""",
 )
 def median_fill(spark, sf):
@@ -296,7 +296,7 @@ def median_fill(spark, sf):
     marked = rows.withColumn("_gap", F.col("f_price").isNull())
     full = cleaning.fill_missing(marked, middle)
     return full.groupBy("device").agg(
-        F.round(F.avg("f_price"), 4).alias("mean_price"), F.count_if("_gap").alias("filled")
+        F.round(F.sum("f_price"), 3).alias("sum_price"), F.count_if("_gap").alias("filled")
     )
 
 
@@ -356,8 +356,8 @@ smooth AS (SELECT {', '.join(f'{_clip_sql(c)} AS {c}' for c in FLOW_FEATURES)},
 
 @query(
     "C5_winsorised",
-    f"""WITH {_ANOMALY_CLEAN} SELECT device, count(*) AS n, round(avg(f_qty), 6) AS f_qty,
-      round(avg(f_price), 4) AS f_price, round(max(f_tail), 6) AS f_tail FROM smooth GROUP BY device""",
+    f"""WITH {_ANOMALY_CLEAN} SELECT device, count(*) AS n, round(sum(f_qty), 3) AS f_qty,
+      round(sum(f_price), 3) AS f_price, round(max(f_tail), 6) AS f_tail FROM smooth GROUP BY device""",
 )
 def winsorised(spark, sf):
     rows = view(spark, sf, FLOWS)
@@ -370,8 +370,8 @@ def winsorised(spark, sf):
     smooth = cleaning.apply_anomaly_cleaning(rows, params, keep=["device"])
     return smooth.groupBy("device").agg(
         F.count(F.lit(1)).alias("n"),
-        F.round(F.avg("f_qty"), 6).alias("f_qty"),
-        F.round(F.avg("f_price"), 4).alias("f_price"),
+        F.round(F.sum("f_qty"), 3).alias("f_qty"),
+        F.round(F.sum("f_price"), 3).alias("f_price"),
         F.round(F.max("f_tail"), 6).alias("f_tail"),
     )
 
@@ -384,7 +384,7 @@ def _correlated_sql(source: str, columns: list[str], limit: float) -> str:
             f"coalesce(abs(covar_samp({a}, {b}) / nullif(stddev_samp({a}) * stddev_samp({b}), 0)) > {limit}, false)"
             for a in columns[:j]
         ]
-        parts.append(f"SELECT '{b}' AS feature, {' OR '.join(tests) or 'false'} AS dropped FROM {source}")
+        parts.append(f"SELECT '{b}' AS feature, {' OR '.join(tests) or 'count(*) < 0'} AS dropped FROM {source}")
     return " UNION ALL ".join(parts)
 
 
@@ -451,7 +451,7 @@ def low_variance(spark, sf):
 @query(
     "C8_anomaly_cleaned",
     f"""WITH {_ANOMALY_CLEAN} SELECT device, count(*) AS n, CAST(0 AS BIGINT) AS missing,
-      {', '.join(f'round(avg({c}), 4) AS {c}' for c in _KEPT)} FROM smooth GROUP BY device""",
+      {', '.join(f'round(sum({c}), 3) AS {c}' for c in _KEPT)} FROM smooth GROUP BY device""",
 )
 def anomaly_cleaned(spark, sf):
     """The whole recipe: which columns survive and what remains of them."""
@@ -463,7 +463,7 @@ def anomaly_cleaned(spark, sf):
     return clean.groupBy("device").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(gap).alias("missing"),
-        *[F.round(F.avg(c), 4).alias(c) for c in kept],
+        *[F.round(F.sum(c), 3).alias(c) for c in kept],
     )
 
 
@@ -475,8 +475,8 @@ _CLASSIFIER_KEPT = ["f_qty", "f_price", "f_disc", "f_tax", "f_rare", "f_tail"]
     f"""WITH c AS ({FLOWS_WITH_COPIES_SQL}), g AS (SELECT DISTINCT * REPLACE ({_GROUP} AS Label) FROM c),
     fin AS (SELECT * REPLACE (CASE WHEN isinf(f_price) THEN NULL ELSE f_price END AS f_price) FROM g),
     m AS (SELECT quantile_cont(f_price, 0.5) AS m FROM fin)
-    SELECT Label, count(*) AS n, round(avg(coalesce(f_price, m)), 4) AS f_price,
-      {', '.join(f'round(avg({c}), 6) AS {c}' for c in _CLASSIFIER_KEPT if c != 'f_price')}
+    SELECT Label, count(*) AS n, round(sum(coalesce(f_price, m)), 2) AS f_price,
+      {', '.join(f'round(sum({c}), 3) AS {c}' for c in _CLASSIFIER_KEPT if c != 'f_price')}
     FROM fin, m GROUP BY Label""",
 )
 def classifier_cleaned(spark, sf):
@@ -486,7 +486,7 @@ def classifier_cleaned(spark, sf):
     clean = cleaning.apply_classifier_cleaning(rows, params)
     return clean.groupBy("Label").agg(
         F.count(F.lit(1)).alias("n"),
-        *[F.round(F.avg(c), 4 if c == "f_price" else 6).alias(c) for c in params.feature_columns],
+        *[F.round(F.sum(c), 2 if c == "f_price" else 3).alias(c) for c in params.feature_columns],
     )
 
 
@@ -561,7 +561,7 @@ def robust_min_max(spark, sf):
     s AS (SELECT device, greatest(-5, least(5, (f_qty - qm) / qr)) AS q,
       greatest(-5, least(5, (CASE WHEN f_price IS NULL THEN 0 WHEN isinf(f_price) THEN 1e6 ELSE f_price END - pm) / pr)) AS p
       FROM flows, fit)
-    SELECT device, round(avg(q), 6) AS mean_q, round(avg(p), 6) AS mean_p, round(max(p), 6) AS max_p,
+    SELECT device, round(sum(q), 4) AS sum_q, round(sum(p), 4) AS sum_p, round(max(p), 6) AS max_p,
       CAST(0 AS BIGINT) AS failed FROM s GROUP BY device""",
 )
 def safe_scaling(spark, sf):
@@ -570,8 +570,8 @@ def safe_scaling(spark, sf):
     params = scaling.fit_robust(known, ["f_qty", "f_price"])
     scaled = rows.select("device", scaling.scale_features(F.array("f_qty", "f_price"), params).alias("v"))
     return scaled.groupBy("device").agg(
-        F.round(F.avg(F.col("v")[0]), 6).alias("mean_q"),
-        F.round(F.avg(F.col("v")[1]), 6).alias("mean_p"),
+        F.round(F.sum(F.col("v")[0]), 4).alias("sum_q"),
+        F.round(F.sum(F.col("v")[1]), 4).alias("sum_p"),
         F.round(F.max(F.col("v")[1]), 6).alias("max_p"),
         F.count_if(F.col("v").isNull()).alias("failed"),
     )
