@@ -1,7 +1,9 @@
 """Expressions over a class-probability array whose order is a given class list.
 
-They index the array position by position, so they stay inside whole-stage
-code generation instead of running as higher-order functions.
+They take the array position by position, so they stay inside whole-stage code
+generation instead of running as higher-order functions. ``get`` is used because
+an optimised plan may evaluate them on rows that a filter is about to drop, and
+plain indexing raises there when the array is too short.
 """
 
 from __future__ import annotations
@@ -24,20 +26,20 @@ def attack_classes(classes: Sequence[str]) -> list[str]:
 def class_probability(probability: Column, classes: Sequence[str], name: str) -> Column:
     if name not in classes:
         return F.lit(0.0)
-    return probability[list(classes).index(name)]
+    return F.get(probability, F.lit(list(classes).index(name)))
 
 
 def max_confidence(probability: Column, classes: Sequence[str]) -> Column:
-    parts = [probability[i] for i in range(len(classes))]
+    parts = [F.get(probability, F.lit(i)) for i in range(len(classes))]
     return F.greatest(*parts) if len(parts) > 1 else parts[0]
 
 
 def predicted_class(probability: Column, classes: Sequence[str]) -> Column:
     """Class of the largest probability; the first class wins a tie."""
     top = max_confidence(probability, classes)
-    chosen = F.when(probability[0] == top, F.lit(classes[0]))
+    chosen = F.when(F.get(probability, F.lit(0)) == top, F.lit(classes[0]))
     for i, name in enumerate(classes[1:], start=1):
-        chosen = chosen.when(probability[i] == top, F.lit(name))
+        chosen = chosen.when(F.get(probability, F.lit(i)) == top, F.lit(name))
     return chosen
 
 

@@ -23,7 +23,7 @@ def mean_absolute_error(actual: Column, rebuilt: Column) -> Column:
 
 def rebuild_by_mean(sequence: Column) -> Column:
     """The simplest reconstruction: every row becomes the sequence's mean row."""
-    first = sequence[0]
+    first = F.get(sequence, F.lit(0))
     total = F.aggregate(
         sequence,
         F.transform(first, lambda _: F.lit(0.0)),

@@ -83,12 +83,13 @@ def train_classifier(
         GBTClassifier(
             labelCol=f"is{i}",
             predictionCol=f"_prediction{i}",
-            rawPredictionCol=f"_raw{i}",
-            probabilityCol=f"_probability{i}",
             maxIter=trees,
             stepSize=step,
             **settings,
-        ).fit(targets)
+        )
+        .setRawPredictionCol(f"_raw{i}")
+        .setProbabilityCol(f"_probability{i}")
+        .fit(targets)
         for i in present
     ]
     return ClassifierPackage(PipelineModel(stages), scaler, list(classes), columns, method, present)

@@ -122,7 +122,7 @@ def log_loss(
     """Mean -ln(probability given to the true class), per ``by`` group."""
     p = None
     for i, c in enumerate(classes):
-        test, value = F.col(actual) == c, F.col("probability")[i]
+        test, value = F.col(actual) == c, F.get("probability", F.lit(i))
         p = F.when(test, value) if p is None else p.when(test, value)
     loss = -F.ln(F.greatest(p, F.lit(LOG_LOSS_FLOOR)))
     loss = F.when(p.isNotNull(), loss)

@@ -130,7 +130,7 @@ def prediction_table(scored: DataFrame, classes: Sequence[str], keep: Sequence[s
         *keep,
         predicted_class(p, classes).alias("prediction"),
         max_confidence(p, classes).alias("max_probability"),
-        *[p[i].alias(f"prob_{c}") for i, c in enumerate(classes)],
+        *[F.get(p, F.lit(i)).alias(f"prob_{c}") for i, c in enumerate(classes)],
     )
 
 

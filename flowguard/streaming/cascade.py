@@ -49,7 +49,7 @@ def second_tier(package: AnomalyPackage | None, message_columns: Sequence[str])
         return None
     at = [list(message_columns).index(c) for c in package.feature_columns]
     return Tier2(
-        lambda features: scale_features(F.array(*[features[i] for i in at]), package.scaler),
+        lambda features: scale_features(F.array(*[F.get(features, F.lit(i)) for i in at]), package.scaler),
         lambda df: reconstruct(df, package.model),
         package.params,
         package.sequence_length,

@@ -342,10 +342,11 @@ _NORMAL = ", ".join(f"({i}, {NormalDist().inv_cdf(i / 100)!r}::DOUBLE, {i / 100}
     sorted AS (SELECT list_sort(list(mse)) AS v, count(*) AS n FROM errors),
     pos AS (SELECT point, theoretical, v, CAST(floor(p * (n - 1)) AS BIGINT) AS k, p * (n - 1) AS spot FROM grid, sorted)
     SELECT CAST(point AS BIGINT) AS point, round(theoretical, 6) AS theoretical,
-      round(v[k + 1] + (spot - k) * (coalesce(v[k + 2], v[k + 1]) - v[k + 1]), 6) AS observed FROM pos""",
+      round(v[k + 1] + (spot - k) * (coalesce(v[k + 2], v[k + 1]) - v[k + 1]), 3) AS observed FROM pos""",
 )
 def qq(spark, sf):
-    return rounded(diagnostics.normal_qq(errors(spark, sf), "mse"))
+    points = diagnostics.normal_qq(errors(spark, sf), "mse")
+    return rounded(points.withColumn("observed", F.round("observed", 3)))
 
 
 @query(
