@@ -1,9 +1,10 @@
 """Expressions over a class-probability array whose order is a given class list.
 
-They take the array position by position, so they stay inside whole-stage code
-generation instead of running as higher-order functions. ``get`` is used because
-an optimised plan may evaluate them on rows that a filter is about to drop, and
-plain indexing raises there when the array is too short.
+They use array built-ins with generated code, and stay short however many
+classes there are: rules built on them are copied into filters, and a filter
+method that grows too long is no longer compiled by the JVM. ``get`` is used
+because an optimised plan may evaluate them on rows that a filter is about to
+drop, and plain indexing raises there when the array is too short.
 """
 
 from __future__ import annotations
@@ -29,18 +30,14 @@ def class_probability(probability: Column, classes: Sequence[str], name: str) ->
     return F.get(probability, F.lit(list(classes).index(name)))
 
 
-def max_confidence(probability: Column, classes: Sequence[str]) -> Column:
-    parts = [F.get(probability, F.lit(i)) for i in range(len(classes))]
-    return F.greatest(*parts) if len(parts) > 1 else parts[0]
+def max_confidence(probability: Column) -> Column:
+    return F.array_max(probability)
 
 
 def predicted_class(probability: Column, classes: Sequence[str]) -> Column:
     """Class of the largest probability; the first class wins a tie."""
-    top = max_confidence(probability, classes)
-    chosen = F.when(F.get(probability, F.lit(0)) == top, F.lit(classes[0]))
-    for i, name in enumerate(classes[1:], start=1):
-        chosen = chosen.when(F.get(probability, F.lit(i)) == top, F.lit(name))
-    return chosen
+    first = F.array_position(probability, F.array_max(probability)).cast("int")
+    return F.get(F.array(*[F.lit(c) for c in classes]), first - 1)
 
 
 def attack_probability(probability: Column, classes: Sequence[str]) -> Column:

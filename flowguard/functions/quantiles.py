@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_VALUES = 8_000_000
+MAX_VALUES = 250_000
 
 
 @dataclass
@@ -50,8 +50,12 @@ def quantiles(
     exact: bool = True,
     max_values: int = MAX_VALUES,
     accuracy: int = 10_000,
+    counts: dict[str, int] | None = None,
 ) -> dict[str, list[float | None]]:
-    """Quantiles of each column, NULLs ignored; an all-NULL column gives ``None``."""
+    """Quantiles of each column, NULLs ignored; an all-NULL column gives ``None``.
+
+    ``counts`` passes on the numbers of non-NULL values where they are known.
+    """
     columns, probabilities = list(columns), list(probabilities)
     if not columns:
         return {}
@@ -62,29 +66,36 @@ def quantiles(
         ).first()
         return {c: list(found[c]) if found[c] is not None else [None] * len(probabilities) for c in columns}
 
-    counts = data.agg(*[F.count(c).alias(c) for c in columns]).first().asDict()
-    if sum(counts.values()) <= max_values:
-        found = data.agg(*[F.percentile(c, probabilities).alias(c) for c in columns]).first()
-        return {c: list(found[c]) if found[c] is not None else [None] * len(probabilities) for c in columns}
+    if counts is None:
+        counts = data.agg(*[F.count(c).alias(c) for c in columns]).first().asDict()
+    direct = list(columns)
+    if sum(counts[c] for c in columns) > max_values:
+        # The buffer grows with distinct values: flags and ports stay direct at any row count.
+        distinct = data.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first()
+        each = max_values // len(columns)
+        direct = [c for c in columns if distinct[c] * 1.2 <= each or counts[c] <= each]
+    result: dict[str, list[float | None]] = {}
+    if direct:
+        found = data.agg(*[F.percentile(c, probabilities).alias(c) for c in direct]).first()
+        for c in direct:
+            result[c] = list(found[c]) if found[c] is not None else [None] * len(probabilities)
 
     wanted: dict[tuple[str, int], _Target] = {}
-    for c in columns:
-        for p in probabilities if counts[c] else []:
+    narrowed = [c for c in columns if c not in result]
+    for c in narrowed:
+        for p in probabilities:
             at = p * (counts[c] - 1)
             for k in {math.floor(at), math.ceil(at)}:
                 wanted[c, k] = _Target(c, k, None, None, 0, counts[c])
     _find(data, list(wanted.values()), max_values, accuracy)
 
-    result: dict[str, list[float | None]] = {}
-    for c in columns:
+    for c in narrowed:
         result[c] = []
         for p in probabilities:
-            if not counts[c]:
-                result[c].append(None)
-                continue
             at = p * (counts[c] - 1)
-            low, high = wanted[c, math.floor(at)].value, wanted[c, math.ceil(at)].value
-            result[c].append(low if low == high else low + (at - math.floor(at)) * (high - low))
+            k = math.floor(at)
+            low, high = wanted[c, k].value, wanted[c, math.ceil(at)].value
+            result[c].append(low if low == high else (k + 1 - at) * low + (at - k) * high)
     return result
 
 
@@ -102,24 +113,32 @@ def _find(data: DataFrame, targets: list[_Target], max_values: int, accuracy: in
 
 
 def _narrow(data: DataFrame, targets: list[_Target], accuracy: int) -> None:
+    margin = 2.0 / accuracy
+    shared: dict[tuple, list[_Target]] = {}
+    for t in targets:
+        shared.setdefault((t.column, t.low, t.high), []).append(t)
+    groups = list(shared.values())
     sketches = []
-    for i, t in enumerate(targets):
-        share = (t.k - t.below + 0.5) / t.inside
-        margin = 2.0 / accuracy
-        ends = [max(0.0, share - margin), min(1.0, share + margin)]
-        sketches.append(F.percentile_approx(t.within(), ends, accuracy).alias(f"t{i}"))
-    ends_row = data.agg(*sketches).first()
-
+    for i, group in enumerate(groups):
+        shares = [(t.k - t.below + 0.5) / t.inside + m for t in group for m in (-margin, margin)]
+        shares = [min(1.0, max(0.0, v)) for v in shares]
+        sketches.append(F.percentile_approx(group[0].within(), shares, accuracy).alias(f"g{i}"))
+    row = data.agg(*sketches).first()
+    ends = {
+        id(t): row[f"g{i}"][2 * j : 2 * j + 2] for i, group in enumerate(groups) for j, t in enumerate(group)
+    }
+
+    # Each distinct end is counted once, however many targets share it.
+    wanted = list(dict.fromkeys((t.column, e) for t in targets for e in ends[id(t)]))
     counters = []
-    for i, t in enumerate(targets):
-        for j, end in enumerate(ends_row[f"t{i}"]):
-            c = F.col(t.column)
-            counters.append(F.count_if(c < end).alias(f"lt{i}_{j}"))
-            counters.append(F.count_if(c <= end).alias(f"le{i}_{j}"))
+    for i, (column, end) in enumerate(wanted):
+        counters.append(F.count_if(F.col(column) < end).alias(f"lt{i}"))
+        counters.append(F.count_if(F.col(column) <= end).alias(f"le{i}"))
     n = data.agg(*counters).first()
-    for i, t in enumerate(targets):
-        for j, end in enumerate(ends_row[f"t{i}"]):
-            lt, le = n[f"lt{i}_{j}"], n[f"le{i}_{j}"]
+    counted = {w: (n[f"lt{i}"], n[f"le{i}"]) for i, w in enumerate(wanted)}
+    for t in targets:
+        for end in ends[id(t)]:
+            lt, le = counted[t.column, end]
             upper_count = t.below + t.inside
             if lt <= t.k < le:
                 t.value = end

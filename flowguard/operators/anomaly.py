@@ -107,8 +107,8 @@ def overfit_ratio(errors: DataFrame, split: str = "split") -> DataFrame:
 
 def error_distribution(errors: DataFrame, *, exact: bool = True) -> dict[str, float]:
     """Mean, population std, quartiles of ``mse``."""
-    row = errors.agg(F.avg("mse").alias("mean"), F.stddev_pop("mse").alias("std")).first()
-    q1, median, q3 = quantiles(errors, ["mse"], [0.25, 0.5, 0.75], exact=exact)["mse"]
+    row = errors.agg(F.count("mse").alias("n"), F.avg("mse").alias("mean"), F.stddev_pop("mse").alias("std")).first()
+    q1, median, q3 = quantiles(errors, ["mse"], [0.25, 0.5, 0.75], exact=exact, counts={"mse": row["n"]})["mse"]
     return {"mean": row["mean"], "std": row["std"], "median": median, "q1": q1, "q3": q3}
 
 
@@ -116,10 +116,12 @@ def threshold_candidates(
     errors: DataFrame, *, contamination: float = CONTAMINATION, exact: bool = True
 ) -> dict[str, float]:
     """The three candidate thresholds, their median, and the mean and std behind them."""
-    row = errors.agg(F.avg("mse").alias("mean"), F.stddev_pop("mse").alias("std")).first()
-    q1, q3, tail = quantiles(errors, ["mse"], [0.25, 0.75, 1 - contamination], exact=exact)["mse"]
-    if row["mean"] is None:
+    row = errors.agg(F.count("mse").alias("n"), F.avg("mse").alias("mean"), F.stddev_pop("mse").alias("std")).first()
+    if not row["n"]:
         raise ValueError("no errors to derive a threshold from")
+    q1, q3, tail = quantiles(
+        errors, ["mse"], [0.25, 0.75, 1 - contamination], exact=exact, counts={"mse": row["n"]}
+    )["mse"]
     found = {
         "statistical": row["mean"] + STD_FACTOR * row["std"],
         "percentile": tail,

@@ -12,7 +12,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.bounded import small_table
+from ..functions.bounded import compute_once, small_table
 from .labels import encode
 from .scaling import ScaleParams, scale_features
 
@@ -113,14 +113,15 @@ def score(df: DataFrame, package: ClassifierPackage, features: Column | None = N
         p = vector_to_array("probability")
         known = len(package.model_classes)
         parts = p if known == n else F.concat(p, F.array_repeat(F.lit(0.0), n - known))
-        return scored.select(*[c for c in df.columns], parts.alias("probability"))
+        return scored.select(*df.columns, compute_once(parts).alias("probability"))
     each = [
         vector_to_array(f"_probability{i}")[1] if i in package.model_classes else F.lit(0.0)
         for i in range(n)
     ]
-    raw = scored.select(*df.columns, F.array(*each).alias("_each"))
+    raw = scored.select(*df.columns, compute_once(F.array(*each)).alias("_each"))
     total = F.aggregate("_each", F.lit(0.0), lambda s, v: s + v)
-    return raw.withColumn("probability", F.transform("_each", lambda v: v / total)).drop("_each")
+    share = compute_once(F.transform("_each", lambda v: v / total))
+    return raw.withColumn("probability", share).drop("_each")
 
 
 def feature_importances(package: ClassifierPackage, df: DataFrame, top: int = TOP_FEATURES) -> DataFrame:

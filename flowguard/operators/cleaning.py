@@ -69,8 +69,13 @@ def missing_for_not_finite(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.withColumns({c: missing_if_not_finite(F.col(c)) for c in columns})
 
 
-def medians(df: DataFrame, columns: Sequence[str], exact: bool = True) -> dict[str, float | None]:
-    return {c: q[0] for c, q in quantiles(df, columns, [0.5], exact=exact).items()}
+def medians(
+    df: DataFrame,
+    columns: Sequence[str],
+    exact: bool = True,
+    counts: dict[str, int] | None = None,
+) -> dict[str, float | None]:
+    return {c: q[0] for c, q in quantiles(df, columns, [0.5], exact=exact, counts=counts).items()}
 
 
 def fill_missing(df: DataFrame, values: dict[str, float | None]) -> DataFrame:
@@ -79,13 +84,14 @@ def fill_missing(df: DataFrame, values: dict[str, float | None]) -> DataFrame:
 
 
 def column_spread(df: DataFrame, columns: Sequence[str]) -> dict[str, dict]:
-    """Per column: low, high, sample std and variance, in one aggregate."""
+    """Per column: known values, low, high, sample std and variance, in one aggregate."""
     if not columns:
         return {}
     measures = []
     for i, c in enumerate(columns):
         v = F.col(c).cast("double")
         measures += [
+            F.count(v).alias(f"n{i}"),
             F.min(v).alias(f"low{i}"),
             F.max(v).alias(f"high{i}"),
             F.stddev_samp(v).alias(f"std{i}"),
@@ -93,7 +99,8 @@ def column_spread(df: DataFrame, columns: Sequence[str]) -> dict[str, dict]:
         ]
     row = df.agg(*measures).first()
     return {
-        c: {m: row[f"{m}{i}"] for m in ("low", "high", "std", "var")} for i, c in enumerate(columns)
+        c: {m: row[f"{m}{i}"] for m in ("n", "low", "high", "std", "var")}
+        for i, c in enumerate(columns)
     }
 
 
@@ -175,10 +182,11 @@ def fit_classifier_cleaning(
     dropped = {
         c: "not numeric" for c in df.columns if c not in columns and c != label and c not in exclude
     }
-    constant = constant_columns(column_spread(data, columns))
+    spread = column_spread(data, columns)
+    constant = constant_columns(spread)
     dropped |= {c: "constant" for c in constant}
     columns = [c for c in columns if c not in constant]
-    middle = medians(data, columns, exact)
+    middle = medians(data, columns, exact, {c: spread[c]["n"] for c in columns})
     filled = fill_missing(data, middle)
     pruned = correlated_columns(correlation_matrix(filled, columns), columns, limit)
     dropped |= {c: "correlated" for c in pruned}
@@ -222,7 +230,8 @@ def fit_anomaly_cleaning(
     dropped = {c: "constant" for c in constant_columns(spread)}
     dropped |= {c: "near constant" for c in near_constant_columns(spread) if c not in dropped}
     columns = [c for c in columns if c not in dropped]
-    quartiles = quantiles(data, columns, [0.25, 0.5, 0.75], exact=exact)
+    counts = {c: spread[c]["n"] for c in columns}
+    quartiles = quantiles(data, columns, [0.25, 0.5, 0.75], exact=exact, counts=counts)
     bounds = {c: outlier_bounds(quartiles[c]) for c in columns}
     middle = {c: quartiles[c][1] for c in columns}
     clipped = _clip_and_fill(data.select(*columns), bounds, middle)

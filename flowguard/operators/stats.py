@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.paths import stage
 from .ordering import number_rows, running_totals
 
 COUNTERS = {
@@ -118,10 +119,12 @@ def statistics_snapshots(
     """
     numbered = samples.withColumn("_shot", F.ceil(F.col("sample_id") / every).cast("long"))
     names = list(_measures(samples))
-    last = samples.agg(F.floor(F.max("sample_id") / every).cast("long").alias("_last"))
-    partial = numbered.groupBy("_shot", "device_id").agg(
-        *[m.alias(n) for n, m in _measures(samples).items()]
+    # Numbering and scoring below this point run once.
+    partial = stage(
+        numbered.groupBy("_shot", "device_id").agg(*[m.alias(n) for n, m in _measures(samples).items()]),
+        "snapshots",
     )
+    last = partial.agg(F.floor(F.sum("total") / every).cast("long").alias("_last"))
     overall = partial.groupBy("_shot").agg(*[F.sum(n).alias(n) for n in names])
     counts = partial.withColumn("scope", F.lit("device")).unionByName(
         overall.withColumn("scope", F.lit("overall")), allowMissingColumns=True

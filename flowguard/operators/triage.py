@@ -36,7 +36,7 @@ def add_prediction(scored: DataFrame, classes: Sequence[str]) -> DataFrame:
     return scored.withColumns(
         {
             "predicted_class": predicted_class(p, classes),
-            "confidence": max_confidence(p, classes),
+            "confidence": max_confidence(p),
             "attack_probability": attack_probability(p, classes),
         }
     )
@@ -119,7 +119,7 @@ def extract_uncertain(
     """Rows predicted DOUBT, or BENIGN below the limit, with their original columns only."""
     p = F.col("probability")
     predicted = predicted_class(p, classes)
-    keep = (predicted == DOUBT) | ((predicted == BENIGN) & (max_confidence(p, classes) < limit))
+    keep = (predicted == DOUBT) | ((predicted == BENIGN) & (max_confidence(p) < limit))
     return scored.where(keep).drop("probability")
 
 
@@ -129,7 +129,7 @@ def prediction_table(scored: DataFrame, classes: Sequence[str], keep: Sequence[s
     return scored.select(
         *keep,
         predicted_class(p, classes).alias("prediction"),
-        max_confidence(p, classes).alias("max_probability"),
+        max_confidence(p).alias("max_probability"),
         *[F.get(p, F.lit(i)).alias(f"prob_{c}") for i, c in enumerate(classes)],
     )
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import anomaly, cleaning, diagnostics, sampling, scaling, sequences
 from ..sources.packages import AnomalyPackage, save_anomaly_model
-from ..sources.paths import write_and_read
+from ..sources.paths import spread_for_training, write_and_read
 
 
 @dataclass
@@ -63,7 +63,7 @@ def train_anomaly_model(
         parts = sampling.random_split(windows, [*keys, "window_no"], seed=seed)
     parts = write_and_read(parts, f"{work}/windows")
     model = anomaly.fit_reconstruction(
-        parts.where("split = 'train'"), min(components, length * len(columns))
+        spread_for_training(parts.where("split = 'train'")), min(components, length * len(columns))
     )
     errors = write_and_read(
         anomaly.add_errors(anomaly.reconstruct(parts, model)).drop("sequence", "rebuilt"),

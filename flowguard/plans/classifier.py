@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import classify, cleaning, labels, metrics, sampling, scaling, triage
 from ..sources.packages import save_classifier
-from ..sources.paths import write_and_read
+from ..sources.paths import spread_for_training, write_and_read
 from ..sources.tables import write_csv
 
 ROW_ID = "row_id"
@@ -66,7 +66,7 @@ def train_flow_classifier(
     )
     scaler = scaling.fit_standard(balanced, columns)
     classes = labels.vocabulary([balanced, part["validation"], part["test"]], label)
-    package = classify.train_classifier(balanced, scaler, classes, label=label, seed=seed, **settings)
+    package = classify.train_classifier(spread_for_training(balanced), scaler, classes, label=label, seed=seed, **settings)
     save_classifier(flows.sparkSession, package, f"{work}/package")
 
     scored = write_and_read(classify.score(part["validation"], package), f"{work}/scored")

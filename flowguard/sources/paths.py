@@ -36,3 +36,19 @@ def write_and_read(df: DataFrame, path: str) -> DataFrame:
     """Materialises a stage as a table: lost executors reread it instead of recomputing it."""
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def stage(df: DataFrame, name: str = "stage") -> DataFrame:
+    """``write_and_read`` in a new working folder, for a result that is used several times."""
+    return write_and_read(df, work_folder(df.sparkSession, name))
+
+
+def spread_for_training(df: DataFrame) -> DataFrame:
+    """Repartitions rows that sit in fewer partitions than there are cores.
+
+    Training passes over its input many times, so one shuffle of a badly split
+    input pays off. A well split table is left alone. Meant for written tables,
+    whose partitions are known without running anything.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -9,6 +9,8 @@ from flowguard.functions.numbers import clip, clip_error, missing_if_not_finite,
 from flowguard.functions.quantiles import quantiles
 from flowguard.operators import cleaning, labels, messages, scaling
 
+from flowguard.sources.paths import stage
+
 from .testmap import (
     FLOW_FEATURES,
     FLOWS,
@@ -480,8 +482,11 @@ _CLASSIFIER_KEPT = ["f_qty", "f_price", "f_disc", "f_tax", "f_rare", "f_tail"]
     FROM fin, m GROUP BY Label""",
 )
 def classifier_cleaned(spark, sf):
-    """Label grouping, de-duplication, selection and filling; the label stays on its row."""
-    rows = cleaning.prepare_labelled_flows(flows_with_copies(spark, sf))
+    """Label grouping, de-duplication, selection and filling; the label stays on its row.
+
+    The distinct rows are written once, as three fits and the result read them.
+    """
+    rows = stage(cleaning.prepare_labelled_flows(flows_with_copies(spark, sf)), "distinct")
     params = cleaning.fit_classifier_cleaning(rows, exclude=["device"])
     clean = cleaning.apply_classifier_cleaning(rows, params)
     return clean.groupBy("Label").agg(

@@ -14,7 +14,7 @@ from flowguard.operators import anomaly, classify, cleaning, labels, metrics, se
 from flowguard.operators.ordering import time_slice
 from flowguard.operators.scaling import fit_standard
 from flowguard.sources import packages, tables
-from flowguard.sources.paths import work_folder
+from flowguard.sources.paths import spread_for_training, stage, work_folder
 
 from .testmap import FLOWS, MESSAGES, SEQUENCES, WEEK, sql, view
 
@@ -40,13 +40,12 @@ _FLOWS = (FLOWS[0], [*FLOWS[1], "l_orderkey", "l_partkey", "l_suppkey"])
 def flows(spark, sf):
     rows = view(spark, sf, _FLOWS).withColumn("Label", labels.group_label(F.col("Label")))
     rows = cleaning.missing_for_not_finite(rows, COLUMNS)
-    return cleaning.fill_missing(rows, cleaning.medians(rows, COLUMNS))
+    return stage(cleaning.fill_missing(rows, cleaning.medians(rows, COLUMNS)), "flows")
 
 
-def trained(spark, sf, **settings):
-    rows = flows(spark, sf)
+def trained(rows, **settings):
     return classify.train_classifier(
-        rows, fit_standard(rows, COLUMNS), labels.vocabulary([rows]), **settings
+        spread_for_training(rows), fit_standard(rows, COLUMNS), labels.vocabulary([rows]), **settings
     )
 
 
@@ -57,7 +56,7 @@ SMALL = dict(trees=10, depth=4)
 def train_forest(spark, sf):
     """Training and validation log-loss of a multiclass forest."""
     rows = flows(spark, sf)
-    package = trained(spark, sf, **SMALL)
+    package = trained(rows, **SMALL)
     return metrics.log_loss(classify.score(rows, package), package.classes, actual="Label", by=["Label"])
 
 
@@ -65,7 +64,7 @@ def train_forest(spark, sf):
 def train_boosted(spark, sf):
     """One boosted ensemble per class, normalised."""
     rows = flows(spark, sf)
-    package = trained(spark, sf, method="boosted", trees=3, depth=3)
+    package = trained(rows, method="boosted", trees=3, depth=3)
     return metrics.log_loss(classify.score(rows, package), package.classes, actual="Label", by=["Label"])
 
 
@@ -75,8 +74,9 @@ def train_boosted(spark, sf):
 )
 def probabilities(spark, sf):
     """Every row gets six probabilities between 0 and 1 that sum to 1."""
-    package = trained(spark, sf, **SMALL)
-    scored = classify.score(flows(spark, sf), package)
+    rows = flows(spark, sf)
+    package = trained(rows, **SMALL)
+    scored = classify.score(rows, package)
     total = F.aggregate("probability", F.lit(0.0), lambda s, v: s + v)
     return scored.agg(
         F.count(F.lit(1)).alias("n"),
@@ -88,16 +88,17 @@ def probabilities(spark, sf):
 
 @query("M2_batch_scoring")
 def scoring(spark, sf):
-    package = trained(spark, sf, **SMALL)
+    rows = flows(spark, sf)
+    package = trained(rows, **SMALL)
     return triage.prediction_summary(
-        triage.prediction_table(classify.score(flows(spark, sf), package), package.classes)
+        triage.prediction_table(classify.score(rows, package), package.classes)
     )
 
 
 @query("M14_feature_importances")
 def importances(spark, sf):
     rows = flows(spark, sf)
-    return classify.feature_importances(trained(spark, sf, **SMALL), rows)
+    return classify.feature_importances(trained(rows, **SMALL), rows)
 
 
 @query(
@@ -107,7 +108,7 @@ def importances(spark, sf):
 def classifier_round_trip(spark, sf):
     """Scores of a saved and reloaded package equal those of the original."""
     rows = flows(spark, sf)
-    package = trained(spark, sf, **SMALL)
+    package = trained(rows, **SMALL)
     path = work_folder(spark, "classifier")
     packages.save_classifier(spark, package, path)
     loaded = packages.load_classifier(spark, path)
@@ -120,9 +121,10 @@ def classifier_round_trip(spark, sf):
 
 def sequence_windows(spark, sf):
     rows = view(spark, sf, SEQUENCES).withColumn("x", F.array("value", F.sqrt("value")))
-    return sequences.strided_sequences(
+    made = sequences.strided_sequences(
         rows, ["device_id"], ["ts", "event_id"], "x", stride=3, slice_by=time_slice(F.col("ts"), WEEK)
     )
+    return stage(made, "windows")
 
 
 @query("W3_fit_reconstruction")
@@ -154,6 +156,7 @@ def full_reconstruction(spark, sf):
 def pca_errors(spark, sf):
     windows = sequence_windows(spark, sf)
     errors = anomaly.add_errors(anomaly.reconstruct(windows, anomaly.fit_reconstruction(windows, 4)))
+    errors = stage(errors.drop("sequence", "rebuilt"), "errors")
     return anomaly.detection_summary(anomaly.detect_anomalies(errors, anomaly.fit_threshold(errors)))
 
 

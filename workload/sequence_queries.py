@@ -11,6 +11,8 @@ from flowguard.functions.vectors import rebuild_by_mean
 from flowguard.operators import anomaly, diagnostics, sampling, sequences
 from flowguard.operators.ordering import time_slice
 
+from flowguard.sources.paths import stage
+
 from .testmap import SEQUENCES, WEEK, rounded, sql, view
 
 QUERIES, SQL = {}, {}
@@ -41,11 +43,16 @@ def windows(spark, sf):
 
 
 def errors(spark, sf):
-    """Errors under reconstruction by the window mean, and the random split."""
+    """Errors under reconstruction by the window mean."""
     rows = windows(spark, sf).withColumn("rebuilt", rebuild_by_mean(F.col("sequence")))
     return anomaly.add_errors(rows).drop("sequence", "rebuilt")
 
 
+def fit_errors(spark, sf):
+    """The errors as a written table, for queries that fit on them and read them again."""
+    return stage(errors(spark, sf), "errors")
+
+
 _WINDOWS = f"""s AS ({sql(SEQUENCES)}),
 numbered AS (SELECT *, row_number() OVER (PARTITION BY device_id ORDER BY ts, event_id) AS n FROM s),
 windows AS (
@@ -157,7 +164,7 @@ _PARTS = f"""{_WINDOWS}, ranked AS (SELECT *, count(*) OVER () AS n,
       round(train_mse / validation_mse, 6) AS overfit_ratio FROM m""",
 )
 def split_errors(spark, sf):
-    parts = sampling.random_split(errors(spark, sf), ["device_id", "window_no"])
+    parts = sampling.random_split(fit_errors(spark, sf), ["device_id", "window_no"])
     return rounded(anomaly.overfit_ratio(parts))
 
 
@@ -166,7 +173,7 @@ def split_errors(spark, sf):
     f"WITH {_PARTS} SELECT split, round(avg(mse), 6) AS mse, round(avg(mae), 6) AS mae FROM parts GROUP BY split",
 )
 def errors_by_split(spark, sf):
-    parts = sampling.random_split(errors(spark, sf), ["device_id", "window_no"])
+    parts = sampling.random_split(fit_errors(spark, sf), ["device_id", "window_no"])
     return rounded(anomaly.split_errors(parts))
 
 
@@ -176,7 +183,7 @@ def errors_by_split(spark, sf):
       round(q1, 6) AS q1, round(q3, 6) AS q3 FROM stat""",
 )
 def distribution(spark, sf):
-    found = anomaly.error_distribution(errors(spark, sf))
+    found = anomaly.error_distribution(fit_errors(spark, sf))
     return rounded(
         small_table(spark, [found], "mean double, std double, median double, q1 double, q3 double")
     )
@@ -188,7 +195,7 @@ def distribution(spark, sf):
       round(iqr, 6) AS iqr, round(threshold, 6) AS threshold FROM thr""",
 )
 def threshold(spark, sf):
-    found = anomaly.threshold_candidates(errors(spark, sf))
+    found = anomaly.threshold_candidates(fit_errors(spark, sf))
     return rounded(
         small_table(spark, [found], "statistical double, percentile double, iqr double, threshold double")
     )
@@ -199,12 +206,12 @@ def threshold(spark, sf):
     f"WITH {_WINDOWS} SELECT round(avg(CASE WHEN is_anomaly THEN 1.0 ELSE 0.0 END), 6) AS expected_rate FROM detected",
 )
 def expected_rate(spark, sf):
-    found = errors(spark, sf)
+    found = fit_errors(spark, sf)
     return rounded(anomaly.expected_anomaly_rate(found, anomaly.fit_threshold(found).threshold))
 
 
 def detected(spark, sf):
-    found = errors(spark, sf)
+    found = fit_errors(spark, sf)
     return anomaly.detect_anomalies(found, anomaly.fit_threshold(found))
 
 
@@ -314,12 +321,12 @@ def _histogram_sql(c: str) -> str:
 
 @query("V1_mse_histogram", _histogram_sql("mse"))
 def mse_histogram(spark, sf):
-    return rounded(diagnostics.histogram(errors(spark, sf), "mse"))
+    return rounded(diagnostics.histogram(fit_errors(spark, sf), "mse"))
 
 
 @query("V1_mae_histogram", _histogram_sql("mae"))
 def mae_histogram(spark, sf):
-    return rounded(diagnostics.histogram(errors(spark, sf), "mae"))
+    return rounded(diagnostics.histogram(fit_errors(spark, sf), "mae"))
 
 
 @query(
@@ -328,7 +335,7 @@ def mae_histogram(spark, sf):
     FROM detected""",
 )
 def timeline(spark, sf):
-    found = errors(spark, sf)
+    found = fit_errors(spark, sf)
     limit = anomaly.fit_threshold(found).threshold
     return rounded(diagnostics.error_timeline(found, ["device_id", "window_no"], limit))
 
@@ -345,7 +352,7 @@ _NORMAL = ", ".join(f"({i}, {NormalDist().inv_cdf(i / 100)!r}::DOUBLE, {i / 100}
       round(v[k + 1] + (spot - k) * (coalesce(v[k + 2], v[k + 1]) - v[k + 1]), 3) AS observed FROM pos""",
 )
 def qq(spark, sf):
-    points = diagnostics.normal_qq(errors(spark, sf), "mse")
+    points = diagnostics.normal_qq(fit_errors(spark, sf), "mse")
     return rounded(points.withColumn("observed", F.round("observed", 3)))
 
 

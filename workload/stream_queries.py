@@ -12,6 +12,7 @@ import uuid
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flowguard.functions.bounded import compute_once
 from flowguard.functions.numbers import clip, sanitise
 from flowguard.functions.vectors import rebuild_by_mean
 from flowguard.operators import messages, ordering, stats
@@ -70,7 +71,7 @@ def schema():
 def fixture_scores(valid):
     raw = [F.expr(e.format("get(features, 0)", "get(features, 1)", "get(features, 2)")) for e in _SCORE]
     total = raw[0] + raw[1] + raw[2]
-    return valid.withColumn("probability", F.array(*[r / total for r in raw]))
+    return valid.withColumn("probability", compute_once(F.array(*[r / total for r in raw])))
 
 
 TIER1 = Tier1(CLASSES, fixture_scores)

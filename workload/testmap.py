@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowguard.functions.bounded import compute_once
+
 CLASSES = ["BENIGN", "DOUBT", "DoS", "Malware"]
 
 _INF = "CAST('inf' AS DOUBLE)"
@@ -100,7 +102,8 @@ def sql(spec: tuple[str, list[str]]) -> str:
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scored rows: ``probability`` in the order of CLASSES."""
     rows = view(spark, sf_dir, SCORES)
-    return rows.withColumn("probability", F.array("p0", "p1", "p2", "p3")).drop("p0", "p1", "p2", "p3")
+    probability = compute_once(F.array("p0", "p1", "p2", "p3"))
+    return rows.withColumn("probability", probability).drop("p0", "p1", "p2", "p3")
 
 
 def flows_with_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
