@@ -17,7 +17,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_VALUES = 250_000
+# Distinct values that one aggregation buffer set may hold, over all columns.
+MAX_VALUES = 4_000_000
 
 
 @dataclass
@@ -72,8 +73,11 @@ def quantiles(
     if sum(counts[c] for c in columns) > max_values:
         # The buffer grows with distinct values: flags and ports stay direct at any row count.
         distinct = data.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first()
-        each = max_values // len(columns)
-        direct = [c for c in columns if distinct[c] * 1.2 <= each or counts[c] <= each]
+        direct, room = [], max_values
+        for c in sorted(columns, key=lambda c: distinct[c]):
+            room -= min(counts[c], int(distinct[c] * 1.2) + 1)
+            if room >= 0:
+                direct.append(c)
     result: dict[str, list[float | None]] = {}
     if direct:
         found = data.agg(*[F.percentile(c, probabilities).alias(c) for c in direct]).first()

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bounded import settle, small_table
@@ -50,8 +50,8 @@ def confusion_matrix(counts: DataFrame, classes: Sequence[str]) -> DataFrame:
     )
 
 
-def class_report(counts: DataFrame, classes: Sequence[str]) -> DataFrame:
-    """(class, precision, recall, f1, support) per class; undefined ratios are 0."""
+def _per_class(counts: DataFrame, classes: Sequence[str]) -> DataFrame:
+    """The class report with the number of hits."""
     support = counts.groupBy(F.col("actual").alias("class")).agg(F.sum("n").alias("support"))
     called = counts.groupBy(F.col("predicted").alias("class")).agg(F.sum("n").alias("called"))
     hits = counts.where("actual = predicted").select(F.col("actual").alias("class"), F.col("n").alias("hit"))
@@ -64,56 +64,43 @@ def class_report(counts: DataFrame, classes: Sequence[str]) -> DataFrame:
     )
     precision = F.coalesce(F.try_divide("hit", "called"), F.lit(0.0))
     recall = F.coalesce(F.try_divide("hit", "support"), F.lit(0.0))
+    f1 = F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"))
     return joined.select(
-        "class", precision.alias("precision"), recall.alias("recall"), "support"
-    ).select(
-        "class",
-        "precision",
-        "recall",
-        F.coalesce(
-            F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")),
-            F.lit(0.0),
-        ).alias("f1"),
-        "support",
-    )
+        "class", precision.alias("precision"), recall.alias("recall"), "support", "hit"
+    ).withColumn("f1", F.coalesce(f1, F.lit(0.0)))
+
+
+def _weighted(column: str) -> Column:
+    """Mean over classes weighted by support; 0 without rows."""
+    total = F.sum(F.col(column) * F.col("support"))
+    return F.coalesce(F.try_divide(total, F.sum("support")), F.lit(0.0)).alias(column)
+
+
+def class_report(counts: DataFrame, classes: Sequence[str]) -> DataFrame:
+    """(class, precision, recall, f1, support) per class; undefined ratios are 0.
+
+    ``classes`` is the full vocabulary, so that classes which never occur or are
+    never predicted still have their row.
+    """
+    return _per_class(counts, classes).select("class", "precision", "recall", "f1", "support")
 
 
 def classification_report(counts: DataFrame, classes: Sequence[str]) -> DataFrame:
     """The class report with its macro and support-weighted average rows."""
     per_class = class_report(counts, classes)
-
-    def weighted(c: str):
-        return F.coalesce(F.try_divide(F.sum(F.col(c) * F.col("support")), F.sum("support")), F.lit(0.0))
-
-    macro = per_class.agg(
-        F.lit("macro avg").alias("class"),
-        *[F.avg(c).alias(c) for c in ("precision", "recall", "f1")],
-        F.sum("support").alias("support"),
-    )
-    average = per_class.agg(
-        F.lit("weighted avg").alias("class"),
-        *[weighted(c).alias(c) for c in ("precision", "recall", "f1")],
-        F.sum("support").alias("support"),
-    )
+    ratios = ("precision", "recall", "f1")
+    support = F.sum("support").alias("support")
+    macro = per_class.agg(F.lit("macro avg").alias("class"), *[F.avg(c).alias(c) for c in ratios], support)
+    average = per_class.agg(F.lit("weighted avg").alias("class"), *[_weighted(c) for c in ratios], support)
     return per_class.unionByName(macro).unionByName(average)
 
 
 def overall_metrics(counts: DataFrame, classes: Sequence[str]) -> DataFrame:
     """One row: accuracy and support-weighted precision, recall and F1."""
-    per_class = class_report(counts, classes)
-    hit = counts.agg(
-        F.coalesce(
-            F.try_divide(F.sum(F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(0)), F.sum("n")),
-            F.lit(0.0),
-        ).alias("accuracy")
-    )
-    weighted = per_class.agg(
-        *[
-            F.coalesce(F.try_divide(F.sum(F.col(c) * F.col("support")), F.sum("support")), F.lit(0.0)).alias(c)
-            for c in ("precision", "recall", "f1")
-        ]
+    accuracy = F.coalesce(F.try_divide(F.sum("hit"), F.sum("support")), F.lit(0.0))
+    return _per_class(counts, classes).agg(
+        accuracy.alias("accuracy"), *[_weighted(c) for c in ("precision", "recall", "f1")]
     )
-    return hit.crossJoin(F.broadcast(weighted))  # one row each
 
 
 def log_loss(

@@ -124,7 +124,7 @@ def statistics_snapshots(
         numbered.groupBy("_shot", "device_id").agg(*[m.alias(n) for n, m in _measures(samples).items()]),
         "snapshots",
     )
-    last = partial.agg(F.floor(F.sum("total") / every).cast("long").alias("_last"))
+    last = (partial.agg(F.sum("total")).first()[0] or 0) // every
     overall = partial.groupBy("_shot").agg(*[F.sum(n).alias(n) for n in names])
     counts = partial.withColumn("scope", F.lit("device")).unionByName(
         overall.withColumn("scope", F.lit("overall")), allowMissingColumns=True
@@ -132,13 +132,12 @@ def statistics_snapshots(
     counts = counts.withColumn("device_id", F.coalesce("device_id", F.lit("")))
     seen = counts.groupBy("scope", "device_id").agg(F.min("_shot").alias("_first"))
     # Two explodes keep each generated array at most a block long.
-    blocks = seen.crossJoin(F.broadcast(last)).where(F.col("_first") <= F.col("_last")).select(
+    blocks = seen.where(F.col("_first") <= last).select(
         "scope",
         "device_id",
         "_first",
-        "_last",
         F.explode(
-            F.sequence(F.floor(F.col("_first") / block), F.floor(F.col("_last") / block))
+            F.sequence(F.floor(F.col("_first") / block), F.lit(last // block).cast("long"))
         ).alias("_block"),
     )
     grid = blocks.select(
@@ -147,7 +146,7 @@ def statistics_snapshots(
         F.explode(
             F.sequence(
                 F.greatest("_first", F.col("_block") * block),
-                F.least("_last", F.col("_block") * block + (block - 1)),
+                F.least(F.lit(last).cast("long"), F.col("_block") * block + (block - 1)),
             )
         ).alias("_shot"),
     )

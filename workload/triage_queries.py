@@ -341,4 +341,4 @@ _SNAPSHOT = 500
       FROM per_device GROUP BY shot""",
 )
 def snapshots(spark, sf):
-    return stats.statistics_snapshots(numbered(spark, sf), _SNAPSHOT, block=50)
+    return stats.statistics_snapshots(numbered(spark, sf), _SNAPSHOT)
