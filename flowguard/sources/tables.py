@@ -18,13 +18,19 @@ def flow_schema(feature_columns: Sequence[str], label: str | None = None) -> T.S
     return T.StructType(fields)
 
 
+def plain_name(name: str) -> str:
+    """Published flow files have blanks around names and dots in them; Spark reads a dot as a path."""
+    return name.strip().replace(".", "_")
+
+
 def read_labelled_flows(
     spark: SparkSession, path: str, schema: T.StructType | None = None, *, file_format: str = "csv"
 ) -> DataFrame:
-    """Labelled flows from CSV with a header, or from another format.
+    """Labelled flows from CSV with a header, or from another format, under plain names.
 
     Without a schema, CSV types are discovered in an extra pass over the text.
-    ``enforceSchema=False`` checks a given schema against the header by name.
+    With one, its columns are looked up by name in the header and come out in
+    its order, whatever the file's order.
     """
     reader = spark.read.format(file_format)
     if file_format == "csv":
@@ -32,13 +38,16 @@ def read_labelled_flows(
         if schema is None:
             reader = reader.option("inferSchema", True)
         else:
-            reader = reader.option("enforceSchema", False)
-    if schema is not None:
+            header = spark.read.option("header", True).csv(path).columns
+            types = {f.name: f.dataType for f in schema.fields}
+            reader = reader.schema(
+                T.StructType([T.StructField(h, types.get(plain_name(h), T.StringType())) for h in header])
+            )
+    elif schema is not None:
         reader = reader.schema(schema)
     df = reader.load(path)
-    # Column names in published flow files often start with a blank.
-    clean = [c.strip() for c in df.columns]
-    return df.toDF(*clean) if clean != df.columns else df
+    df = df.toDF(*[plain_name(c) for c in df.columns])
+    return df if schema is None else df.select(*schema.names)
 
 
 def read_features(

@@ -1,5 +1,3 @@
-import json
-
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -252,12 +250,21 @@ def test_kafka_options_are_built_lazily(spark):
     assert args.anomaly is None and args.topic == "t"
 
 
-def test_labelled_csv_needs_no_schema(spark, tmp_path):
-    path = str(tmp_path / "flows")
-    spark.createDataFrame([(1.5, 2, "BENIGN")], ["` a`".strip("`"), "b", "Label"]).write.csv(path, header=True)
-    df = tables.read_labelled_flows(spark, path)
-    assert df.columns == ["a", "b", "Label"] and isinstance(df.schema["a"].dataType, T.DoubleType)
-    assert json.loads(tables.flow_schema(["x"], "Label").json())["fields"][1]["name"] == "Label"
+def test_labelled_csv_under_plain_names(spark, tmp_path):
+    folder = tmp_path / "flows"
+    folder.mkdir()
+    (folder / "a.csv").write_text(" Flow Bytes/s,Length.1, Label\n1.5,2,BENIGN\nInfinity,3,DoS Hulk\n")
+    df = tables.read_labelled_flows(spark, str(folder))
+    assert df.columns == ["Flow Bytes/s", "Length_1", "Label"]
+    assert isinstance(df.schema["Length_1"].dataType, T.IntegerType)
+    schema = tables.flow_schema(["Length_1", "Flow Bytes/s"], "Label")
+    given = tables.read_labelled_flows(spark, str(folder), schema)
+    assert given.columns == ["Length_1", "Flow Bytes/s", "Label"]
+    assert [tuple(r) for r in given.collect()] == [(2.0, 1.5, "BENIGN"), (3.0, float("inf"), "DoS Hulk")]
+    narrow = tables.read_features(spark, str(folder), ["Length_1"])
+    assert [r[0] for r in narrow.collect()] == [2.0, 3.0]
+    with pytest.raises(Exception, match="Missing"):
+        tables.read_features(spark, str(folder), ["Missing"])
 
 
 def test_work_folder_uses_the_shared_setting(spark, tmp_path):

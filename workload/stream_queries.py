@@ -154,6 +154,28 @@ def result_columns(results):
     )
 
 
+@query(
+    "S4_message_source",
+    f"WITH {_LIVE} SELECT device_id, count(*) AS n, count(csv_data) AS with_text FROM m GROUP BY device_id",
+)
+def message_source(spark, sf):
+    """Messages as the source gives them, over a restart; files stand in for the bus."""
+    out = work_folder(spark, "source")
+
+    def start(stream):
+        return (
+            stream.writeStream.format("parquet")
+            .option("checkpointLocation", f"{out}/checkpoint")
+            .trigger(availableNow=True)
+            .start(f"{out}/rows")
+        )
+
+    replay(spark, sf, start)
+    return spark.read.parquet(f"{out}/rows").groupBy("device_id").agg(
+        F.count(F.lit(1)).alias("n"), F.count("csv_data").alias("with_text")
+    )
+
+
 @query("ST2_cascade_stream", f"WITH {_LIVE} {_RESULT}")
 def cascade_stream(spark, sf):
     return result_columns(spark.read.parquet(f"{cascade_output(spark, sf)}/results"))
