@@ -1,3 +1,5 @@
+from types import SimpleNamespace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -267,7 +269,16 @@ def test_labelled_csv_under_plain_names(spark, tmp_path):
         tables.read_features(spark, str(folder), ["Missing"])
 
 
-def test_work_folder_uses_the_shared_setting(spark, tmp_path):
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path)) if spark.conf.isModifiable("spark.checkpoint.dir") else None
-    assert work_folder(spark, "x") != work_folder(spark, "x")
+def test_work_folder_uses_the_shared_setting():
+    def session(master, shared):
+        conf = SimpleNamespace(get=lambda name, default: shared if name == "spark.checkpoint.dir" else default)
+        return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master))
+
+    first, second = (work_folder(session("yarn", "hdfs:///shared/"), "x") for _ in range(2))
+    assert first.startswith("hdfs:///shared/x-") and first != second
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        work_folder(session("yarn", None), "x")
+
+
+def test_message_schema():
     assert MESSAGE_SCHEMA.fieldNames() == ["device_id", "csv_data", "timestamp"]
