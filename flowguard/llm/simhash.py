@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .texts import map_batches, row_key, written
+from .texts import map_batches, one_per_key, row_key, written
 
 # Fixed values of the contract.
 SHINGLE = 4
@@ -265,9 +265,5 @@ def drop_near_duplicates(
     rows = written(fingerprints(docs, F.col(text), {"key": key}, shingle), "fingerprints", folder)
     named = rows.groupBy("fp").agg(F.min("key").alias("least"))
     stays = _named_components(named, radius, folder).select(F.to_json("component").alias("_key")).distinct()
-    whole_rows = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    # Repeated rows meet in the map-side aggregate; the join then finds the rows dealt by its key.
-    once = docs.select(F.to_json(key).alias("_key"), whole_rows.alias("_row")).groupBy("_key").agg(
-        F.first("_row").alias("_row")
-    )
+    once = one_per_key(docs, id_col, text)
     return once.join(stays.hint("merge"), "_key", "left_semi").select("_row.*")

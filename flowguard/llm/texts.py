@@ -38,14 +38,6 @@ def row_key(id_col: str, text: str) -> Column:
     )
 
 
-def key_equal(left: Column, right: Column) -> Column:
-    """Whether two ``row_key`` values are the same, NULL ids included."""
-    return (
-        left["id"].eqNullSafe(right["id"])
-        & (left["text_hash"] == right["text_hash"])
-    )
-
-
 def map_batches(
     df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str
 ) -> DataFrame:
@@ -68,3 +60,20 @@ def written(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     """
     path = f"{folder.rstrip('/')}/{name}" if folder else work_folder(df.sparkSession, name)
     return write_and_read(df, path)
+
+
+def one_per_key(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    """(_key, _row): each row once by its ``row_key`` as text, all its columns in a struct.
+
+    Repeats meet in the map-side aggregate, and a join by _key finds the rows
+    dealt out already. ``select("_row.*")`` gives the columns back whatever
+    their names are.
+    """
+    whole_row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(F.to_json(row_key(id_col, text)).alias("_key"), whole_row.alias("_row"))
+    return rows.groupBy("_key").agg(F.first("_row").alias("_row"))
+
+
+def unit(*columns: Column) -> Column:
+    """A number in [0, 1) from a hash of the columns, the same in every run."""
+    return F.pmod(F.xxhash64(*columns), F.lit(1 << 52)) / F.lit(float(1 << 52))
