@@ -1,25 +1,50 @@
-"""The corpus pipeline: five stages from raw documents to packed batches."""
+"""The corpus pipeline: five stages from raw documents to packed batches.
+
+Each stage works on all rows its predecessor kept, and all but the last return
+the columns of documents. Repeated rows, NULLs and empty texts are treated as
+the operators' docstrings say.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowguard.llm import quality, simhash
+from flowguard.llm import lines, mixing, packing, quality, simhash
 from flowguard.llm.texts import written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the limits or the calibrated forest go."""
     forest = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.keep_good(docs, forest)
 
 
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that repeat an earlier one, or differ from it by one character, go; documents stay."""
+    return lines.drop_repeated_lines(docs)
+
+
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays."""
     return simhash.drop_near_duplicates(docs)
 
 
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are taken as often as their source's target asks for."""
+    return mixing.mixed(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per sequence: where it starts in its document, its bucket, batch and slot."""
+    return packing.pack(docs)
+
+
 STAGES = [
     ("quality rules", quality_rules),
+    ("line dedup", line_dedup),
     ("SimHash near-dedup", simhash_near_dedup),
+    ("mixing sources to target weights", mix_sources),
+    ("packing", pack),
 ]
 
 
@@ -31,6 +56,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
+#: The forest, the components and the seeded choices are beyond SQL; tests check each stage by brute force.
 ORACLE_SQL = None
 
 QUERIES = {"pipeline": run}

@@ -21,6 +21,8 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST_REPEATS = 2
 
+#: Words that the knapsack fits exactly; its tables are of this length.
+EXACT = 1 << 18
 #: Documents of one source and size that are ranked in one task.
 RANKED = 500
 
@@ -28,9 +30,11 @@ RANKED = 500
 def fit_budget(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many documents of each size to take so that their words come closest below ``budget``.
 
-    Sizes are positive and distinct. Every size gives its proportional part;
-    by the largest remainders one more document of a size is added while it
-    fits, and the rest is an exact bounded knapsack over what is left.
+    Sizes are positive and distinct. Every size gives its proportional part.
+    While more than ``EXACT`` words remain, one more document of a size is
+    added, by the largest remainders; the rest is an exact bounded knapsack
+    over the documents left. Up to ``EXACT`` words of remainder the result is
+    the best that contains the proportional part.
     """
     total = int((sizes * counts).sum())
     budget = min(max(budget, 0), total)
@@ -41,6 +45,8 @@ def fit_budget(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray
     take = np.array([q for q, _ in shares], np.int64)
     rest = budget - int((sizes * take).sum())
     for k in sorted(range(len(sizes)), key=lambda k: (-shares[k][1], -int(sizes[k]))):
+        if rest <= EXACT:
+            break
         if shares[k][1] and sizes[k] <= rest:
             take[k] += 1
             rest -= int(sizes[k])

@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.paths import work_folder
-from . import digests, lines, mixing, packing, quality, secrets, simhash
+from . import digests, lines, mixing, packing, pseudonyms, quality, secrets, simhash, toxicity, warc
+
+#: A key for the registered query; a real one is kept apart from code and texts.
+DEMONSTRATION_KEY = "demonstration"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -45,26 +48,62 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_report(read(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived_pages(read(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "problem"
+    )
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = f"digest_index_{uuid.uuid4().hex[:12]}"
     return digests.exact_duplicates(read(spark, sf_dir, "documents"), name, work_folder(spark, name))
 
 
+def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms.pseudonymise(read(spark, sf_dir, "documents"), DEMONSTRATION_KEY)
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_quality_rules": op2_quality_rules,
     "op3_source_mix": op3_source_mix,
     "op4_packing": op4_packing,
     "op5_line_dedup": op5_line_dedup,
+    "op6_toxicity": op6_toxicity,
     "op7_simhash": op7_simhash,
+    "op8_warc": op8_warc,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_pseudonyms": op10_pseudonyms,
 }
 
 SQL = {
+    "op8_warc": r"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        d AS (
+            SELECT page_id, html, min(page_id) OVER (PARTITION BY html) AS first_id,
+                   [instr('0123456789abcdef', x) - 1 for x in string_split(sha1(html), '')] AS nibbles
+            FROM p
+        ),
+        b AS (
+            SELECT *, [(nibbles[i // 4 + 1] // [8, 4, 2, 1][i % 4 + 1]) % 2 for i in range(160)] AS bits FROM d
+        )
+        SELECT page_id, strlen(html) AS payload_bytes,
+               array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   (16 * bits[5 * i + 1] + 8 * bits[5 * i + 2] + 4 * bits[5 * i + 3] + 2 * bits[5 * i + 4]
+                    + bits[5 * i + 5] + 1)::BIGINT, 1) for i in range(32)], '') AS payload_digest,
+               CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> first_id THEN first_id END AS refers_to, NULL::VARCHAR AS problem
+        FROM b
+    """,
     "op9_exact_dedup": r"""
         WITH t AS (
             SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents
