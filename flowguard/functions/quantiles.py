@@ -1,11 +1,9 @@
 """Exact linear-interpolation quantiles of many columns that never gather a column in one task.
 
-Spark's ``percentile`` keeps every distinct value of a group in one aggregation
-buffer. It is used only while the values are known to be few. Past that limit
-each wanted order statistic is enclosed between two data values with a bounded
-sketch, the enclosure is checked by counting, and the step is repeated until
-what lies strictly between is few enough for an exact pick. All columns share
-each pass.
+There is one way for every size. A bounded sketch per column gives ends around
+the wanted order statistics; one grouping counts the values between and at the
+ends; what lies strictly between two ends is counted exactly, or, if it is still
+too much for one task, enclosed again. All columns share each pass.
 """
 
 from __future__ import annotations
@@ -14,11 +12,14 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Distinct values that one aggregation buffer set may hold, over all columns.
-MAX_VALUES = 4_000_000
+from .bounded import small_table
+
+# Values between two ends that one task may order.
+PICKED = 1_000_000
 
 
 @dataclass
@@ -27,20 +28,16 @@ class _Target:
 
     column: str
     k: int
-    low: float | None
-    high: float | None
+    low: float
+    high: float
     below: int  # values <= low
     inside: int  # values strictly between
     value: float | None = None
+    bucket: int | None = None
 
     def within(self) -> Column:
         c = F.col(self.column)
-        keep = c.isNotNull()
-        if self.low is not None:
-            keep = keep & (c > self.low)
-        if self.high is not None:
-            keep = keep & (c < self.high)
-        return F.when(keep, c)
+        return F.when((c > F.lit(self.low)) & (c < F.lit(self.high)), c) if self.bucket is not None else c
 
 
 def quantiles(
@@ -49,7 +46,7 @@ def quantiles(
     probabilities: Sequence[float],
     *,
     exact: bool = True,
-    max_values: int = MAX_VALUES,
+    picked: int = PICKED,
     accuracy: int = 10_000,
     counts: dict[str, int] | None = None,
 ) -> dict[str, list[float | None]]:
@@ -69,33 +66,21 @@ def quantiles(
 
     if counts is None:
         counts = data.agg(*[F.count(c).alias(c) for c in columns]).first().asDict()
-    direct = list(columns)
-    if sum(counts[c] for c in columns) > max_values:
-        # The buffer grows with distinct values: flags and ports stay direct at any row count.
-        distinct = data.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first()
-        direct, room = [], max_values
-        for c in sorted(columns, key=lambda c: distinct[c]):
-            room -= min(counts[c], int(distinct[c] * 1.2) + 1)
-            if room >= 0:
-                direct.append(c)
-    result: dict[str, list[float | None]] = {}
-    if direct:
-        found = data.agg(*[F.percentile(c, probabilities).alias(c) for c in direct]).first()
-        for c in direct:
-            result[c] = list(found[c]) if found[c] is not None else [None] * len(probabilities)
-
     wanted: dict[tuple[str, int], _Target] = {}
-    narrowed = [c for c in columns if c not in result]
-    for c in narrowed:
-        for p in probabilities:
+    for c in columns:
+        for p in probabilities if counts[c] else ():
             at = p * (counts[c] - 1)
             for k in {math.floor(at), math.ceil(at)}:
-                wanted[c, k] = _Target(c, k, None, None, 0, counts[c])
-    _find(data, list(wanted.values()), max_values, accuracy)
+                wanted[c, k] = _Target(c, k, -math.inf, math.inf, 0, counts[c])
+    _find(data, list(wanted.values()), picked, accuracy)
 
-    for c in narrowed:
+    result: dict[str, list[float | None]] = {}
+    for c in columns:
         result[c] = []
         for p in probabilities:
+            if not counts[c]:
+                result[c].append(None)
+                continue
             at = p * (counts[c] - 1)
             k = math.floor(at)
             low, high = wanted[c, k].value, wanted[c, math.ceil(at)].value
@@ -103,20 +88,22 @@ def quantiles(
     return result
 
 
-def _find(data: DataFrame, targets: list[_Target], max_values: int, accuracy: int) -> None:
-    per_target = max(1, max_values // max(1, len(targets)))
-    while True:
-        open_ = [t for t in targets if t.value is None]
-        if not open_:
-            return
-        wide = [t for t in open_ if t.inside > per_target]
-        if not wide:
-            _pick(data, open_)
-            return
-        _narrow(data, wide, accuracy)
+def _find(data: DataFrame, targets: list[_Target], picked: int, accuracy: int) -> None:
+    open_ = targets
+    while open_:
+        ends = _ends(data, open_, accuracy)
+        placed = _placed(data, ends)
+        before = [t.inside for t in open_]
+        _narrow(placed, ends, open_)
+        # What a sketch can't part further, such as infinite values, is picked as it is.
+        small = [t for t, n in zip(open_, before, strict=True) if t.value is None and (t.inside <= picked or t.inside == n)]
+        if small:
+            _pick(placed, list(ends), small)
+        open_ = [t for t in open_ if t.value is None]
 
 
-def _narrow(data: DataFrame, targets: list[_Target], accuracy: int) -> None:
+def _ends(data: DataFrame, targets: list[_Target], accuracy: int) -> dict[str, list[float]]:
+    """For each column, sorted data values around its targets, from one sketch per enclosure."""
     margin = 2.0 / accuracy
     shared: dict[tuple, list[_Target]] = {}
     for t in targets:
@@ -125,44 +112,68 @@ def _narrow(data: DataFrame, targets: list[_Target], accuracy: int) -> None:
     sketches = []
     for i, group in enumerate(groups):
         shares = [(t.k - t.below + 0.5) / t.inside + m for t in group for m in (-margin, margin)]
-        shares = [min(1.0, max(0.0, v)) for v in shares]
+        shares = sorted({min(1.0, max(0.0, v)) for v in shares})
         sketches.append(F.percentile_approx(group[0].within(), shares, accuracy).alias(f"g{i}"))
     row = data.agg(*sketches).first()
-    ends = {
-        id(t): row[f"g{i}"][2 * j : 2 * j + 2] for i, group in enumerate(groups) for j, t in enumerate(group)
-    }
-
-    # Each distinct end is counted once, however many targets share it.
-    wanted = list(dict.fromkeys((t.column, e) for t in targets for e in ends[id(t)]))
-    counters = []
-    for i, (column, end) in enumerate(wanted):
-        counters.append(F.count_if(F.col(column) < end).alias(f"lt{i}"))
-        counters.append(F.count_if(F.col(column) <= end).alias(f"le{i}"))
-    n = data.agg(*counters).first()
-    counted = {w: (n[f"lt{i}"], n[f"le{i}"]) for i, w in enumerate(wanted)}
-    for t in targets:
-        for end in ends[id(t)]:
-            lt, le = counted[t.column, end]
-            upper_count = t.below + t.inside
-            if lt <= t.k < le:
-                t.value = end
-                break
-            if le <= t.k:
-                t.low, t.below, t.inside = end, le, upper_count - le
+    ends: dict[str, set[float]] = {}
+    for i, group in enumerate(groups):
+        known = {e for e in (group[0].low, group[0].high) if math.isfinite(e)}
+        ends.setdefault(group[0].column, set()).update(known, row[f"g{i}"])
+    return {c: sorted(e) for c, e in ends.items()}
+
+
+def _splits(ends: list[float]) -> list[float]:
+    """Each end begins a bucket of its own, closed by the next larger double."""
+    inner = {x for e in ends for x in (e, math.nextafter(e, math.inf)) if math.isfinite(x)}
+    return [-math.inf, *sorted(inner), math.inf]
+
+
+def _placed(data: DataFrame, ends: dict[str, list[float]]) -> DataFrame:
+    """(column number, bucket, value) of every non-NULL value."""
+    columns = list(ends)
+    cut = Bucketizer(
+        splitsArray=[_splits(e) for e in ends.values()], inputCols=columns,
+        outputCols=[f"bucket {i}" for i in range(len(columns))], handleInvalid="keep",
+    ).transform(data.select(*columns))
+    cells = [
+        F.struct(F.lit(i).alias("c"), F.col(f"bucket {i}").cast("int").alias("b"), F.col(c).alias("v"))
+        for i, c in enumerate(columns)
+    ]
+    return cut.select(F.inline(F.array(*cells))).where("v IS NOT NULL")
+
+
+def _narrow(placed: DataFrame, ends: dict[str, list[float]], targets: list[_Target]) -> None:
+    """Sets each target's value if it is an end, else the bucket it lies in."""
+    # At most two buckets for each wanted statistic and one more for each column.
+    counted: dict[int, dict[int, int]] = {}
+    for c, b, n in placed.groupBy("c", "b").count().collect():
+        counted.setdefault(c, {})[b] = n
+    for i, (column, own) in enumerate(ends.items()):
+        splits, points = _splits(own), set(own)
+        for t in (t for t in targets if t.column == column):
+            before = 0
+            for b, n in sorted(counted[i].items()):
+                if t.k < before + n:
+                    break
+                before += n
+            low = splits[b] if b < len(splits) else math.nan
+            if low in points or math.isnan(low):
+                t.value = low
             else:
-                t.high, t.inside = end, lt - t.below
-                break
-
-
-def _pick(data: DataFrame, targets: list[_Target]) -> None:
-    picks = []
-    for i, t in enumerate(targets):
-        # Half a step inside the wanted rank, so rounding cannot reach a neighbour.
-        share = (t.k - t.below + 0.5) / t.inside
-        picks.append((t.within().alias(f"v{i}"), F.expr(
-            f"percentile_disc({share!r}D) WITHIN GROUP (ORDER BY v{i})"
-        ).alias(f"v{i}")))
-    narrowed = data.select(*[p[0] for p in picks])
-    row = narrowed.agg(*[p[1] for p in picks]).first()
-    for i, t in enumerate(targets):
-        t.value = row[f"v{i}"]
+                t.low = math.nextafter(low, -math.inf) if math.isfinite(low) else low
+                t.high, t.below, t.inside, t.bucket = splits[b + 1], before, n, b
+
+
+def _pick(placed: DataFrame, columns: list[str], targets: list[_Target]) -> None:
+    """The k-th values inside their buckets, by counting equal values and summing along the order."""
+    asked = [
+        {"c": columns.index(t.column), "b": t.bucket, "k": t.k - t.below} for t in targets
+    ]
+    table = small_table(placed.sparkSession, asked, "c int, b int, k long")
+    inside = placed.join(F.broadcast(table.select("c", "b").distinct()), ["c", "b"], "left_semi")
+    equal = inside.groupBy("c", "b", "v").agg(F.count(F.lit(1)).alias("n"))
+    upto = equal.withColumn("upto", F.sum("n").over(Window.partitionBy("c", "b").orderBy("v")))
+    hits = upto.join(F.broadcast(table), ["c", "b"]).where((F.col("k") < F.col("upto")) & (F.col("k") >= F.col("upto") - F.col("n")))
+    found = {(r.c, r.b, r.k): r.v for r in hits.select("c", "b", "k", "v").collect()}
+    for t, a in zip(targets, asked, strict=True):
+        t.value = found[a["c"], a["b"], a["k"]]

@@ -28,9 +28,6 @@ NEAR_CONSTANT_STD = 1e-6
 LOW_VARIANCE = 0.01
 IQR_FACTOR = 3.0
 
-# Above this many columns the pairwise aggregates would outgrow generated code.
-PAIRWISE_COLUMNS = 24
-
 
 @dataclass
 class CleanParams:
@@ -120,30 +117,14 @@ def low_variance_columns(spread: dict[str, dict], limit: float = LOW_VARIANCE) -
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> np.ndarray:
     """Pearson correlations of complete columns; NaN where one side is constant.
 
-    Both ways are a single distributed aggregate whose result is columns x
-    columns. The wide way standardises first, so that large offsets do not
-    drown the products it sums.
+    Columns are standardised, so that large offsets do not drown the products,
+    and one distributed aggregate gives the columns x columns result.
     """
     columns = list(columns)
     d = len(columns)
     matrix = np.full((d, d), np.nan)
     if d == 0:
         return matrix
-    if d <= PAIRWISE_COLUMNS:
-        measures = [F.stddev_samp(F.col(c).cast("double")).alias(f"s{i}") for i, c in enumerate(columns)]
-        measures += [
-            F.covar_samp(F.col(columns[i]).cast("double"), F.col(columns[j]).cast("double")).alias(f"c{i}_{j}")
-            for i in range(d)
-            for j in range(i + 1, d)
-        ]
-        row = df.agg(*measures).first()
-        for i in range(d):
-            for j in range(i + 1, d):
-                spread = (row[f"s{i}"] or 0.0) * (row[f"s{j}"] or 0.0)
-                if spread > 0 and row[f"c{i}_{j}"] is not None:
-                    matrix[i, j] = matrix[j, i] = row[f"c{i}_{j}"] / spread
-        return matrix
-
     measures = [F.avg(F.col(c).cast("double")).alias(f"a{i}") for i, c in enumerate(columns)]
     measures += [F.stddev_samp(F.col(c).cast("double")).alias(f"s{i}") for i, c in enumerate(columns)]
     row = df.agg(*measures).first()

@@ -57,6 +57,8 @@ def train_anomaly_model(
         vectors, keys, order_by, "vector", length=length, stride=stride, slice_by=slice_by,
         on_short="skip" if keys else "error",
     )
+    # The split reads the windows several times.
+    windows = write_and_read(windows, f"{work}/all_windows")
     if split_by_key:
         parts = sampling.split_by_key(windows, keys, seed=seed)
     else:

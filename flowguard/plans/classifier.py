@@ -40,13 +40,15 @@ def train_flow_classifier(
     Tables: ``clean``, ``split``, ``balanced``, ``scored`` (validation),
     ``uncertain``; CSV: ``test_features``, ``test_labels``,
     ``test_predictions``; and the ``package``. Stages used more than once are
-    written tables, which also cut the lineage. Without ``row_id``, one is
-    assigned while the de-duplicated rows are written.
+    written tables, which also cut the lineage. Without ``row_id``, a hash of
+    the de-duplicated row stands in.
     """
     rows = cleaning.prepare_labelled_flows(flows, label)
     if row_id is None:
         row_id = ROW_ID
-        rows = rows.withColumn(row_id, F.monotonically_increasing_id())
+        # The rows are distinct, so their content names them: a rerun splits them alike.
+        content = F.to_json(F.struct(*[F.col(f"`{c}`") for c in sorted(rows.columns)]))
+        rows = rows.withColumn(row_id, F.md5(content))
     distinct = write_and_read(rows, f"{work}/distinct")
     params = cleaning.fit_classifier_cleaning(distinct, label, exclude=[row_id, *exclude])
     columns = params.feature_columns

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from multiprocessing.pool import ThreadPool
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from .paths import path_exists, write_and_read
 
+# Header lines that are read at the same time.
+HEADERS_AT_ONCE = 16
+
 
 def flow_schema(feature_columns: Sequence[str], label: str | None = None) -> T.StructType:
     """Doubles in model order, and the label where there is one."""
@@ -29,23 +33,49 @@ def read_labelled_flows(
     """Labelled flows from CSV with a header, or from another format, under plain names.
 
     Without a schema, CSV types are discovered in an extra pass over the text.
-    With one, its columns are looked up by name in the header and come out in
-    its order, whatever the file's order.
+    With one, its columns are looked up by name in each file's header and come
+    out in its order, whatever the files' orders.
     """
-    reader = spark.read.format(file_format)
     if file_format == "csv":
+        groups = _files_by_header(spark, path)
+    else:
+        groups = {None: [path]}
+    parts = [_read_alike(spark, files, header, schema, file_format) for header, files in groups.items()]
+    df = parts[0]
+    for part in parts[1:]:
+        df = df.unionByName(part)
+    return df
+
+
+def _files_by_header(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
+    """The files below ``path`` by their header line, of which only the first line is read."""
+    files = sorted(spark.read.text(path).inputFiles())
+    if len(files) < 2:
+        return {tuple(spark.read.option("header", True).csv(path).columns): [path]}
+    with ThreadPool(HEADERS_AT_ONCE) as pool:
+        headers = pool.map(lambda f: tuple(spark.read.option("header", True).csv(f).columns), files)
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for header, file in zip(headers, files, strict=True):
+        if header:  # an empty file has none
+            groups.setdefault(header, []).append(file)
+    return groups
+
+
+def _read_alike(
+    spark: SparkSession, files: list[str], header: tuple[str, ...] | None, schema: T.StructType | None, file_format: str
+) -> DataFrame:
+    """Files of one header, under plain names."""
+    reader = spark.read.format(file_format)
+    if header is not None:
         reader = reader.option("header", True)
-        if schema is None:
-            reader = reader.option("inferSchema", True)
-        else:
-            header = spark.read.option("header", True).csv(path).columns
-            types = {f.name: f.dataType for f in schema.fields}
-            reader = reader.schema(
-                T.StructType([T.StructField(h, types.get(plain_name(h), T.StringType())) for h in header])
-            )
+    if header is not None and schema is not None:
+        types = {f.name: f.dataType for f in schema.fields}
+        reader = reader.schema(T.StructType([T.StructField(h, types.get(plain_name(h), T.StringType())) for h in header]))
+    elif header is not None:
+        reader = reader.option("inferSchema", True)
     elif schema is not None:
         reader = reader.schema(schema)
-    df = reader.load(path)
+    df = reader.load(files)
     df = df.toDF(*[plain_name(c) for c in df.columns])
     return df if schema is None else df.select(*schema.names)
 

@@ -127,8 +127,12 @@ def start_cascade(
     table rather than keyed state so that ``slice_by`` can spread a hot device.
 
     Arrival order is the micro-batch first, then ``order_by`` (unique per key).
+    An output folder with results of another run is refused: a new checkpoint
+    counts micro-batches from 0 again and would mix both runs.
     """
     spark = messages.sparkSession
+    if path_exists(spark, f"{output}/results") and not path_exists(spark, f"{checkpoint}/offsets"):
+        raise ValueError(f"{output} has results of a run whose checkpoint is not {checkpoint}")
     order = ["_batch", *order_by]
     carried = list(dict.fromkeys([*keys, *order, "vector"]))
 
@@ -158,7 +162,10 @@ def start_cascade(
             "vector", tier2.vector(F.col("features"))
         )
         before = f"{output}/history/{batch_id - 1}"
-        if batch_id > 0 and path_exists(spark, before):
+        if batch_id > 0:
+            # An empty history would pad every device's sequence anew and change its verdicts.
+            if not path_exists(spark, before):
+                raise FileNotFoundError(f"micro-batch {batch_id} needs {before}, which is gone")
             history = spark.read.parquet(before)
             wanted = history.join(doubt.select(*keys).distinct(), list(keys), "left_semi")
             rows = doubt.withColumn("_new", F.lit(True)).unionByName(

@@ -49,7 +49,7 @@ class _RollingSequences(StatefulProcessor):
             out[name] = part
         out["device_sample_no"] = np.arange(seen + 1, seen + 1 + len(batch))
         out["sequence"] = sequences
-        self.state.update((vectors[-(self.length - 1) :], seen + len(batch)))
+        self.state.update((vectors[len(vectors) - min(self.length - 1, len(vectors)) :], seen + len(batch)))
         yield out[[*self.keys, *self.order_by, "device_sample_no", "sequence"]]
 
     def close(self) -> None:

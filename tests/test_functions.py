@@ -104,12 +104,12 @@ def awkward(spark, n=20_000):
     return spark.createDataFrame(rows, kinds).repartition(6)
 
 
-def test_narrowed_quantiles_are_exact(spark):
+def test_quantiles_are_exact(spark):
     df = awkward(spark).cache()
     probabilities = [0.0, 0.01, 0.25, 0.5, 0.75, 0.9, 1.0]
     pdf = df.toPandas()
     for limit, accuracy in ((20, 50), (3000, 200), (60_000, 1000), (10**9, 10_000)):
-        got = quantiles(df, df.columns, probabilities, max_values=limit, accuracy=accuracy)
+        got = quantiles(df, df.columns, probabilities, picked=limit, accuracy=accuracy)
         for c in df.columns:
             known = pdf[c].dropna().to_numpy(dtype=float)
             want = np.quantile(known, probabilities) if len(known) else [None] * len(probabilities)

@@ -282,3 +282,38 @@ def test_work_folder_uses_the_shared_setting():
 
 def test_message_schema():
     assert MESSAGE_SCHEMA.fieldNames() == ["device_id", "csv_data", "timestamp"]
+
+
+def test_csv_columns_go_by_name_in_every_file(spark, tmp_path):
+    from flowguard.sources.tables import read_features, read_labelled_flows
+
+    (tmp_path / "a.csv").write_text("x,y,Label\n3,30,p\n")
+    (tmp_path / "b.csv").write_text("y, x,Label\n40,4,q\n")
+    (tmp_path / "c.csv").write_text("y, x,Label\n50,5,q\n")
+    rows = read_features(spark, str(tmp_path), ["x", "y"]).collect()
+    assert sorted(map(tuple, rows)) == [(3.0, 30.0), (4.0, 40.0), (5.0, 50.0)]
+    typed = read_labelled_flows(spark, str(tmp_path))
+    assert sorted((r.x, r.y, r.Label) for r in typed.collect()) == [(3, 30, "p"), (4, 40, "q"), (5, 50, "q")]
+
+
+def test_rows_are_named_by_their_content(spark):
+    """Two differently partitioned inputs are split alike."""
+    from pyspark.sql import functions as F
+
+    from flowguard.operators.sampling import stratified_split
+
+    rows = spark.range(400).select((F.col("id") * 1.5).alias("a"), F.when(F.col("id") % 4 == 0, "x").otherwise("y").alias("Label"))
+
+    def parts(n):
+        named = rows.repartition(n).withColumn("row_id", F.md5(F.to_json(F.struct("Label", "a"))))
+        return {(r.a, r.split) for r in stratified_split(named, "Label", ["row_id"]).collect()}
+
+    assert parts(2) == parts(7)
+
+
+def test_output_of_another_run_is_refused(spark, tmp_path):
+    from flowguard.streaming.cascade import Tier1, start_cascade
+
+    (tmp_path / "out" / "results").mkdir(parents=True)
+    with pytest.raises(ValueError, match="checkpoint"):
+        start_cascade(spark.range(1), Tier1(["a"], lambda d: d), None, output=str(tmp_path / "out"), checkpoint=str(tmp_path / "cp"))

@@ -420,14 +420,10 @@ def correlated(spark, sf):
     ),
 )
 def correlation_wide(spark, sf):
-    """The way taken for wide tables, forced on a narrow one."""
+    """All pairs of the varying columns."""
     rows = finite(spark, sf)
     full = cleaning.fill_missing(rows, cleaning.medians(rows, _VARYING))
-    limit, cleaning.PAIRWISE_COLUMNS = cleaning.PAIRWISE_COLUMNS, 0
-    try:
-        matrix = cleaning.correlation_matrix(full, _VARYING)
-    finally:
-        cleaning.PAIRWISE_COLUMNS = limit
+    matrix = cleaning.correlation_matrix(full, _VARYING)
     cells = [
         {"a": a, "b": b, "r": float(matrix[i, j])}
         for i, a in enumerate(_VARYING)

@@ -18,7 +18,7 @@ from flowguard.functions.vectors import rebuild_by_mean
 from flowguard.operators import messages, ordering, stats
 from flowguard.operators.anomaly import AnomalyParams
 from flowguard.sources.bus import MESSAGE_SCHEMA, read_messages
-from flowguard.sources.paths import work_folder
+from flowguard.sources.paths import stage, work_folder
 from flowguard.streaming.cascade import Tier1, Tier2, classify_messages, run_cascade, start_cascade
 from flowguard.streaming.live import start_live_counters
 from flowguard.streaming.rolling import rolling_sequence_stream
@@ -186,6 +186,8 @@ def batch_cascade(spark, sf):
     rows = view(spark, sf, LIVE).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
     valid = messages.valid_messages(messages.parse_messages(rows, WIDTH))
     triaged = classify_messages(valid.withColumn("delivery", F.col("event_id") % 3), TIER1)
+    # Both branches of the cascade read the scored messages.
+    triaged = stage(triaged, "triaged")
     part = F.col("delivery") * 10**6 + ordering.time_slice(F.col("timestamp"), TEN_DAYS)
     return run_cascade(triaged, TIER2, ["delivery", *ORDER], slice_by=part)
 
@@ -207,6 +209,8 @@ def cascade_batch(spark, sf):
     FROM l""",
 )
 def alerts(spark, sf):
+    # Both branches of the cascade read the scored messages.
+    triaged = stage(triaged, "triaged")
     part = F.col("delivery") * 10**6 + ordering.time_slice(F.col("timestamp"), TEN_DAYS)
     numbered = stats.number_samples(batch_cascade(spark, sf), ["delivery", *ORDER], part)
     rows = stats.add_alerts(numbered)
