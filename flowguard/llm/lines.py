@@ -14,10 +14,12 @@ line and partner is verified on the texts.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .texts import row_key, whole, written
+from .texts import whole, written
 
 #: Shorter lines are left alone: headings and single words repeat by chance.
 LEAST_CHARS = 20
@@ -31,18 +33,39 @@ SUM_SEEDS = (1, 2)
 CHAR_BITS = 42
 LONGEST_EDITED = 1 << 20
 
+#: A place in the corpus is one number: id, nine digits that tell texts of one id apart, and nine of the line.
+#: Numbers aggregate by hashing, which structs don't.
+_PART, _OFFSET = 10**9, 1 << 63
+
+
+def _document(id_col: str, text: str) -> Column:
+    """Documents in the order of their ids, NULL ids last, as a number; equal for rows equal in id and text."""
+    number = F.coalesce(F.col(id_col).cast("decimal(20,0)"), F.lit(Decimal(_OFFSET))) + F.lit(Decimal(_OFFSET))
+    return (number.cast("decimal(20,0)") * F.lit(Decimal(_PART)) + F.pmod(F.xxhash64(whole(text)), F.lit(_PART))).cast("decimal(29,0)")
+
+
+
+def _document_of(place: Column) -> Column:
+    return ((place - place % F.lit(Decimal(_PART))) / F.lit(Decimal(_PART))).cast("decimal(29,0)")
+
+
+def _line_of(place: Column) -> Column:
+    return (place % F.lit(Decimal(_PART))).cast("int")
+
 
 def _hashes(line: Column) -> list[Column]:
     return [F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(7), line).alias("h2")]
 
 
 def _lines(docs: DataFrame, id_col: str, text: str, least_chars: int) -> DataFrame:
-    """(id parts, line_no, line, h1, h2) of every line that takes part; white space around it doesn't count."""
-    rows = docs.select(row_key(id_col, text).alias("key"), F.posexplode(F.split(whole(text), "\n", -1)).alias("line_no", "raw"))
-    lines = rows.select("key", "line_no", F.btrim("raw", F.lit(" \t\r\f\x0b")).alias("line"))
-    return lines.where(F.length("line") >= least_chars).select(
-        F.struct("key.no_id", "key.id", "key.text_hash", "line_no").alias("at"), "line", *_hashes(F.col("line"))
+    """(at, line, h1, h2) of every line that takes part; spaces around it don't count."""
+    first = F.col("document") * F.lit(Decimal(_PART))
+    rows = docs.select(_document(id_col, text).alias("document"), whole(text).alias("text")).select(
+        first.cast("decimal(38,0)").alias("start"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "raw")
     )
+    lines = rows.select("start", "line_no", F.trim("raw").alias("line")).where(F.length("line") >= least_chars)
+    at = (F.col("start") + F.col("line_no").cast("decimal(10,0)")).cast("decimal(38,0)")
+    return lines.select(at.alias("at"), "line", *_hashes(F.col("line")))
 
 
 def _half_keys(line: Column) -> Column:
@@ -83,47 +106,63 @@ def _candidates(docs: DataFrame, distinct: DataFrame, id_col: str, text: str, le
 
 
 def _variants(candidates: DataFrame) -> DataFrame:
-    """(h1, h2, first, place, k1, k2): the line itself at place 0 and each one-character deletion."""
-    chars = candidates.select("h1", "h2", "first", F.posexplode(F.split("line", "")).alias("place", "char")).where("char != ''")
-    chars = chars.withColumn("place", F.col("place") + 1)
+    """(at, cut, key): each candidate itself at cut 0 and with the character at ``cut`` deleted, as hashed keys.
+
+    The sum of hashed (character, place) pairs stands for a text; deleting a
+    character moves those behind it one place on, so a variant's sum is that of
+    the characters before the cut and of the moved ones behind it.
+    """
+    chars = candidates.select(F.col("first").alias("at"), F.posexplode(F.split("line", "")).alias("cut", "char"))
+    chars = chars.where("char != ''").withColumn("cut", F.col("cut") + 1)
     term = lambda seed, place: F.shiftrightunsigned(F.xxhash64(F.lit(seed), "char", place), 64 - CHAR_BITS)
-    line = Window.partitionBy("h1", "h2").orderBy("place")
-    upto = line.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    after = line.rowsBetween(1, Window.unboundedFollowing)
-    sums = chars.select(
-        "h1", "h2", "first", "place",
-        *[F.sum(term(s, F.col("place"))).over(upto).alias(f"before_{s}") for s in SUM_SEEDS],
-        *[term(s, F.col("place")).alias(f"own_{s}") for s in SUM_SEEDS],
-        *[F.coalesce(F.sum(term(s, F.col("place") - 1)).over(after), F.lit(0)).alias(f"after_{s}") for s in SUM_SEEDS],
-        F.lead("place").over(line).isNull().alias("last"),
+    terms = chars.select(
+        "at", "cut",
+        *[term(s, F.col("cut")).alias(f"own_{s}") for s in SUM_SEEDS],
+        *[term(s, F.col("cut") - 1).alias(f"moved_{s}") for s in SUM_SEEDS],
+    )
+    line = Window.partitionBy("at").orderBy("cut")
+    running = line.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = terms.select(
+        "at", "cut",
+        *[F.sum(f"own_{s}").over(running).alias(f"upto_{s}") for s in SUM_SEEDS],
+        *[F.sum(f"moved_{s}").over(Window.partitionBy("at")).alias(f"all_{s}") for s in SUM_SEEDS],
+        *[F.sum(F.col(f"own_{s}") - F.col(f"moved_{s}")).over(running).alias(f"less_{s}") for s in SUM_SEEDS],
+        *[F.col(f"own_{s}") for s in SUM_SEEDS],
+        F.lead("cut").over(line).isNull().alias("last"),
     )
-    a, b = SUM_SEEDS
-    deleted = F.struct("place", *[(F.col(f"before_{s}") - F.col(f"own_{s}") + F.col(f"after_{s}")).alias(f"k{i}") for i, s in ((1, a), (2, b))])
-    itself = F.struct(F.lit(0).alias("place"), F.col(f"before_{a}").alias("k1"), F.col(f"before_{b}").alias("k2"))
-    both = F.when(F.col("last"), F.array(deleted, itself)).otherwise(F.array(deleted))
-    return sums.select("h1", "h2", "first", F.explode(both).alias("v")).select("h1", "h2", "first", "v.*")
+    deleted = F.xxhash64(*[F.col(f"less_{s}") - F.col(f"own_{s}") + F.col(f"all_{s}") for s in SUM_SEEDS])
+    itself = F.xxhash64(*[F.col(f"upto_{s}") for s in SUM_SEEDS])
+    one = F.struct("cut", deleted.alias("key"))
+    whole_line = F.struct(F.lit(0).alias("cut"), itself.alias("key"))
+    both = F.when(F.col("last"), F.array(one, whole_line)).otherwise(F.array(one))
+    return sums.select("at", F.explode(both).alias("v")).select("at", "v.*")
 
 
 def _near(candidates: DataFrame, folder: str | None) -> DataFrame:
     """(h1, h2, earlier): distinct lines with an earlier line one edit apart, and the earliest such line's place."""
-    variants = written(_variants(candidates.where(F.length("line") <= LONGEST_EDITED)), "variants", folder)
-    key = ["k1", "k2"]
-    deleted, itself = variants.where("place > 0"), variants.where("place = 0")
-    replaced = (
-        deleted.groupBy(*key, "place").agg(F.min("first").alias("other"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    group = Window.partitionBy("key")
+    # A key's lines are different and share all but one character: they are few, whatever the input.
+    shared = (
+        _variants(candidates.where(F.length("line") <= LONGEST_EDITED))
+        .withColumn("low", F.min("at").over(group)).withColumn("high", F.max("at").over(group))
+        .where("low != high").select("at", "cut", "key")
     )
+    shared = written(shared, "shared-variants", folder)
+    deleted, itself = shared.where("cut > 0"), shared.where("cut = 0")
     pairs = [
-        deleted.join(replaced, [*key, "place"]),
-        deleted.join(itself.groupBy(*key).agg(F.min("first").alias("other")), key),
-        itself.join(deleted.groupBy(*key).agg(F.min("first").alias("other")), key),
+        # One character replaced: the same variant by a cut at the same place.
+        deleted.join(deleted.groupBy("key", "cut").agg(F.min("at").alias("other")), ["key", "cut"]),
+        # One character more, or less, than an earlier line.
+        deleted.join(itself.groupBy("key").agg(F.min("at").alias("other")), "key"),
+        itself.join(deleted.groupBy("key").agg(F.min("at").alias("other")), "key"),
     ]
-    found = pairs[0].select("h1", "h2", "first", "other")
+    found = pairs[0].select("at", "other")
     for more in pairs[1:]:
-        found = found.unionByName(more.select("h1", "h2", "first", "other"))
-    found = found.where("other < first").select("h1", "h2", "other").distinct()
-    mine = candidates.select("h1", "h2", "line")
+        found = found.unionByName(more.select("at", "other"))
+    found = found.where("other < at").distinct()
+    mine = candidates.select(F.col("first").alias("at"), "h1", "h2", "line")
     theirs = candidates.select(F.col("first").alias("other"), F.col("line").alias("other_line"))
-    checked = found.join(mine, ["h1", "h2"]).join(theirs, "other")
+    checked = found.join(mine, "at").join(theirs, "other")
     close = F.levenshtein("line", "other_line", 1).between(0, 1)
     return checked.where(close).groupBy("h1", "h2").agg(F.min("other").alias("earlier"))
 
@@ -138,11 +177,11 @@ def repeated_lines(
     broadcast_rows: int = BROADCAST_ROWS,
     folder: str | None = None,
 ) -> DataFrame:
-    """(at, earlier, near): every line to drop, where the line that stays stands, and whether it differs.
+    """(at, earlier, near): every line to drop, where the line it repeats stands, and whether that one differs.
 
-    ``at`` and ``earlier`` are structs of the document's key and the line
-    number from 0. Lines are the text between line feeds without white space
-    around them; those under ``least_chars`` characters take no part. A line
+    ``at`` and ``earlier`` are places, numbers that stand for the document
+    and the line number from 0. Ids are integers. Lines are the text between
+    line feeds without spaces around them; those under ``least_chars`` characters take no part. A line
     goes if an equal line, or one within ``edits`` (0 or 1) inserted, deleted or
     replaced characters, stands earlier: in a document with a smaller id, or
     before it in the same one, whether or not that line stays itself. NULL ids
@@ -164,14 +203,28 @@ def repeated_lines(
         near = _near(candidates, folder)
         gone = gone.join(near, ["h1", "h2"], "full_outer")
     else:
-        gone = gone.withColumn("earlier", F.lit(None).cast(gone.schema["first"].dataType))
+        gone = gone.withColumn("earlier", F.lit(None).cast("decimal(38,0)"))
     gone = written(gone, "gone", folder)
     # A line that very many documents share is one key here; adaptive execution splits it.
     places = lines.select("at", "h1", "h2").join(gone.hint("merge"), ["h1", "h2"])
-    return places.where(F.col("earlier").isNotNull() | (F.col("at") != F.col("first"))).select(
-        "at", F.least("earlier", F.when(F.col("at") != F.col("first"), F.col("first"))).alias("earlier"),
-        (F.col("first").isNull() | (F.col("at") == F.col("first"))).alias("near"),
+    copy = F.col("at") != F.col("first")
+    return places.where(F.col("earlier").isNotNull() | copy).select(
+        "at", F.least("earlier", F.when(copy, F.col("first"))).alias("earlier"), (F.col("first").isNull() | ~copy).alias("near")
+    )
+
+
+def _with_gone(docs: DataFrame, gone: DataFrame, columns: list[Column], id_col: str, text: str) -> DataFrame:
+    """The ``columns`` of each row, with the numbers of its lines to drop and of those that differ; NULL for none."""
+    lists = gone.groupBy(_document_of(F.col("at")).alias("_document")).agg(
+        F.collect_set(_line_of(F.col("at"))).alias("_gone"),
+        F.collect_set(F.when(F.col("near"), _line_of(F.col("at")))).alias("_near"),
     )
+    return docs.select(_document(id_col, text).alias("_document"), *columns).join(lists.hint("merge"), "_document", "left")
+
+
+def _kept_text(text: Column) -> Column:
+    kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda _, i: ~F.array_contains("_gone", i)), "\n")
+    return F.when(F.col("_gone").isNull(), text).otherwise(kept)
 
 
 def drop_repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -182,38 +235,22 @@ def drop_repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text: str =
     Options are those of ``repeated_lines``.
     """
     gone = repeated_lines(docs, id_col=id_col, text=text, **options)
-    lists = gone.groupBy(F.to_json(F.struct("at.no_id", "at.id", "at.text_hash")).alias("_key")).agg(
-        F.collect_set("at.line_no").alias("_gone")
-    )
-    whole_row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    keyed = docs.select(F.to_json(row_key(id_col, text)).alias("_key"), whole_row.alias("_row"))
-    joined = keyed.join(lists.hint("merge"), "_key", "left")
-    kept = F.array_join(
-        F.filter(F.split(F.col(f"_row.`{text}`"), "\n", -1), lambda _, i: ~F.array_contains("_gone", i)), "\n"
-    )
-    new = F.when(F.col("_gone").isNull(), F.col(f"_row.`{text}`")).otherwise(kept)
-    return joined.withColumn("_row", F.col("_row").withField(f"`{text}`", new)).select("_row.*")
+    whole_row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    joined = _with_gone(docs, gone, [whole_row], id_col, text)
+    return joined.select(F.col("_row").withField(f"`{text}`", _kept_text(F.col(f"_row.`{text}`"))).alias("_row")).select("_row.*")
 
 
 def line_report(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """One row per document: id, n_lines, n_repeated, n_near and the text that stays.
 
     n_repeated counts the lines dropped, n_near those of them without an equal
-    earlier line. Other columns are ignored.
+    earlier line. NULL texts count as empty, which is one line. Other columns
+    are ignored.
     """
     gone = repeated_lines(docs, id_col=id_col, text=text, **options)
-    lists = gone.groupBy(F.to_json(F.struct("at.no_id", "at.id", "at.text_hash")).alias("key")).agg(
-        F.collect_set("at.line_no").alias("gone"),
-        F.collect_set(F.when(F.col("near"), F.col("at.line_no"))).alias("near"),
-    )
-    rows = docs.select(F.to_json(row_key(id_col, text)).alias("key"), F.col(id_col).alias("id"), whole(text).alias("text"))
-    joined = rows.join(lists.hint("merge"), "key", "left")
-    split = F.split("text", "\n", -1)
-    number = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
-    kept = F.array_join(F.filter(split, lambda _, i: ~F.array_contains("gone", i)), "\n")
-    return joined.select(
-        F.col("id").alias(id_col), F.size(split).cast("long").alias("n_lines"),
-        F.when(F.col("gone").isNull(), 0).otherwise(number("gone")).cast("long").alias("n_repeated"),
-        F.when(F.col("near").isNull(), 0).otherwise(number("near")).cast("long").alias("n_near"),
-        F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias("text"),
+    columns = [F.col(id_col).alias("id"), whole(text).alias("text")]
+    number = lambda c: F.when(F.col(c).isNull(), 0).otherwise(F.size(c)).cast("long")
+    return _with_gone(docs, gone, columns, id_col, text).select(
+        F.col("id").alias(id_col), F.size(F.split("text", "\n", -1)).cast("long").alias("n_lines"),
+        number("_gone").alias("n_repeated"), number("_near").alias("n_near"), _kept_text(F.col("text")).alias("text"),
     )

@@ -86,6 +86,40 @@ QUERIES = {
 }
 
 SQL = {
+    "op5_line_dedup": r"""
+        WITH docs AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+        l AS (
+            SELECT doc_id, unnest(parts) AS raw, unnest(range(len(parts))) AS line_no, len(parts) AS n_lines FROM docs
+        ),
+        p AS (
+            SELECT *, trim(raw, ' ') AS line, doc_id::HUGEINT * 1000000000 + line_no AS place FROM l
+        ),
+        d AS (SELECT line, min(place) AS first_place FROM p WHERE length(line) >= 20 GROUP BY line),
+        m AS (SELECT line, first_place, length(line) + o AS m FROM d, (VALUES (0), (1)) AS t(o)),
+        k AS (
+            SELECT line, first_place, m, 0 AS side, substr(line, 1, m // 2) AS half FROM m
+            UNION ALL
+            SELECT line, first_place, m, 1, substr(line, length(line) - (m - m // 2) + 1) FROM m
+        ),
+        near AS (
+            SELECT DISTINCT a.line FROM k a JOIN k b USING (m, side, half)
+            WHERE b.first_place < a.first_place AND abs(length(a.line) - length(b.line)) <= 1
+              AND list_bool_or([
+                  left(a.line, i) = left(b.line, i) AND (
+                      substr(a.line, i + 2) = substr(b.line, i + 2) OR substr(a.line, i + 2) = substr(b.line, i + 1)
+                      OR substr(a.line, i + 1) = substr(b.line, i + 2))
+                  for i in range(least(length(a.line), length(b.line)) + 1)])
+        ),
+        g AS (
+            SELECT p.*, coalesce(place > first_place, false) AS copied,
+                   coalesce(place = first_place, false) AND near.line IS NOT NULL AS differs
+            FROM p LEFT JOIN d ON p.line = d.line LEFT JOIN near ON d.line = near.line
+        )
+        SELECT doc_id, any_value(n_lines)::BIGINT AS n_lines, count(*) FILTER (copied OR differs) AS n_repeated,
+               count(*) FILTER (differs) AS n_near,
+               coalesce(string_agg(raw, chr(10) ORDER BY line_no) FILTER (NOT (copied OR differs)), '') AS text
+        FROM g GROUP BY doc_id
+    """,
     "op8_warc": r"""
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
         d AS (

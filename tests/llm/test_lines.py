@@ -29,7 +29,7 @@ def _brute(rows, edits=1, least=20):
     for none, i, text in docs:
         kept = []
         for raw in text.split("\n"):
-            line = raw.strip(" \t\r\f\x0b")
+            line = raw.strip(" ")
             if len(line) >= least:
                 gone = any(line == s or edits and _distance(line, s) <= 1 for s in seen)
                 seen.append(line)
@@ -53,7 +53,7 @@ def _near_rows(seed=5, n=120):
         return s[:at] + c + s[at + 1 :] if k < 0.55 else s[:at] + s[at + 1 :] if k < 0.8 else s[:at] + c + s[at:]
 
     return [
-        row(i, "\n".join(r.choice(["", " ", "  ", "\t"]) + edit(edit(r.choice(base))) for _ in range(r.randint(1, 4)))) for i in range(n)
+        row(i, "\n".join(r.choice(["", " ", "  "]) + edit(edit(r.choice(base))) for _ in range(r.randint(1, 4)))) for i in range(n)
     ]
 
 
