@@ -9,6 +9,7 @@ be compared with each other.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,6 +18,10 @@ from pyspark.sql import functions as F
 from ..functions.bounded import settle, small_table
 
 
+# Rows taken of a group per slice of its hash order, about.
+TAKEN_PER_SLICE = 200
+
+
 def time_slice(ts: Column, seconds: int) -> Column:
     """Number of the fixed-length period a timestamp falls in; NULLs come before all others."""
     period = F.floor(F.unix_seconds(ts.cast("timestamp")) / F.lit(seconds)).cast("long")
@@ -58,7 +63,7 @@ def rank_cuts(
     key: str,
     takes: Mapping[str, Mapping[str, int]],
     *,
-    prefix: int = 4,
+    prefix: int | None = None,
 ) -> DataFrame:
     """For each group, the key value below or at which exactly ``take`` rows lie.
 
@@ -66,7 +71,11 @@ def rank_cuts(
     ``hash_order`` value, unique in its group. Gives one row per group with one
     column per cut name, NULL where the take is zero. A group of any size is
     spread over ``16 ** prefix`` slices, and only its edge slices are ranked.
+    Without ``prefix``, the slices grow with the rows taken.
     """
+    if prefix is None:
+        most = max((int(n) for per_group in takes.values() for n in per_group.values()), default=0)
+        prefix = min(8, max(2, math.ceil(math.log(max(most, 1) / TAKEN_PER_SLICE + 1, 16))))
     wanted = [
         {"_name": name, "_group": g, "_take": int(n)}
         for name, per_group in takes.items()

@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Fewest partitions that models are trained on.
+TRAINING_PARTITIONS = 16
+
 
 def path_exists(spark: SparkSession, path: str) -> bool:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -43,12 +46,12 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     return write_and_read(df, work_folder(df.sparkSession, name))
 
 
-def spread_for_training(df: DataFrame) -> DataFrame:
-    """Repartitions rows that sit in fewer partitions than there are cores.
+def spread_for_training(df: DataFrame, partitions: int = TRAINING_PARTITIONS) -> DataFrame:
+    """Repartitions rows that sit in fewer partitions than asked for.
 
     Training passes over its input many times, so one shuffle of a badly split
-    input pays off. A well split table is left alone. Meant for written tables,
-    whose partitions are known without running anything.
+    input pays off. The number is a parameter rather than the cluster's cores,
+    as a fitted forest depends on it. Meant for written tables, whose
+    partitions are known without running anything.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(partitions) if df.rdd.getNumPartitions() < partitions else df

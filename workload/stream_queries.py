@@ -209,10 +209,10 @@ def cascade_batch(spark, sf):
     FROM l""",
 )
 def alerts(spark, sf):
-    # Both branches of the cascade read the scored messages.
-    triaged = stage(triaged, "triaged")
     part = F.col("delivery") * 10**6 + ordering.time_slice(F.col("timestamp"), TEN_DAYS)
-    numbered = stats.number_samples(batch_cascade(spark, sf), ["delivery", *ORDER], part)
+    # Numbering reads the judged messages twice.
+    judged = stage(batch_cascade(spark, sf), "judged")
+    numbered = stats.number_samples(judged, ["delivery", *ORDER], part)
     rows = stats.add_alerts(numbered)
     # The numbers at the end of a verdict are checked in ST2; eight decimals are beyond a text comparison.
     text = F.regexp_replace("alert_message", r" \| Error .*$", "")
