@@ -36,12 +36,16 @@ def _buckets(hashes: np.ndarray, kind: int) -> np.ndarray:
     return ((mixed ^ (mixed >> np.uint64(31))) * _MIX >> np.uint64(44)).astype(np.int32)
 
 
-def word_features(words: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each word its bucket, and the buckets of its n-grams one behind the other with each word's start.
+def word_features(words: Sequence[str], block: int = 20_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each word its bucket, and the buckets of its n-grams one behind the other with each word's start."""
+    parts = [_features(words[at : at + block]) for at in range(0, len(words), block)]
+    shift = np.cumsum([0, *[len(g) for _, g, _ in parts]])
+    starts = [s + n for (_, _, s), n in zip(parts, shift[:-1], strict=True)]
+    return np.concatenate([o for o, _, _ in parts]), np.concatenate([g for _, g, _ in parts]), np.concatenate(starts)
 
-    Polynomial hashes over the code points of all words at once; < and > mark a
-    word's ends.
-    """
+
+def _features(words: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Polynomial hashes over the code points of all words at once; < and > mark a word's ends."""
     marked = [f"<{w}>" if len(w) <= LONGEST_WORD else f"<{w[:32]}{w[-32:]}>" for w in words]
     codes = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     lengths = np.fromiter(map(len, marked), np.int64, len(marked))
@@ -76,7 +80,7 @@ class Vocabulary:
     def __init__(self) -> None:
         self.numbers: dict[str, int] = {}
 
-    def number(self, texts: Sequence[Sequence[str]]) -> tuple[list[np.ndarray], list[str]]:
+    def number(self, texts: Iterable[Sequence[str]]) -> tuple[list[np.ndarray], list[str]]:
         """Each text as numbers, and the words that are new."""
         numbers, known = self.numbers, len(self.numbers)
         put = numbers.setdefault
@@ -219,15 +223,13 @@ class Adam:
             self.p[k] -= (size * self.m[k] / (np.sqrt(self.v[k]) + 1e-8)).astype(np.float32)
 
 
-def log_odds(present: Iterable[tuple[np.ndarray, bool]], n_true: int, n_false: int) -> np.ndarray:
+def log_odds(counts: np.ndarray, n: np.ndarray) -> np.ndarray:
     """For each bucket, the log-odds of the class given that a text has it, less where few texts do.
 
-    ``present`` gives the different buckets of each text and its label.
+    ``counts`` has the texts with each bucket, ``n`` all texts, each first of
+    the other texts and then of the class.
     """
-    counts = np.zeros((2, BUCKETS))
-    for buckets, label in present:
-        counts[int(label), buckets] += 1
-    rate = (counts + 0.5) / np.array([[n_false + 1], [n_true + 1]])
+    rate = (counts + np.float32(0.5)) / (n + 1).astype(np.float32)[:, None]
     seen = counts.sum(axis=0)
     return (np.clip(np.log(rate[1] / rate[0]), -4, 4) * seen / (seen + 6)).astype(np.float32)
 
@@ -273,7 +275,7 @@ class Scorer:
 
 
 def train(
-    texts: Sequence[Sequence[str]], labels: Sequence[bool], *, epochs: int = 8, batch: int = 256, rate: float = 0.01, seed: int = 42
+    texts: Iterable[Sequence[str]], labels: Sequence[bool], *, epochs: int = 8, batch: int = 256, rate: float = 0.01, seed: int = 42
 ) -> Network:
     """A network for texts given as words, each labelled as a whole.
 
@@ -292,16 +294,21 @@ def train(
     own, grams, starts = word_features(words)
     stops = np.append(starts[1:], len(grams))
     # A text's own words would tell its label: its log-odds come from the other folds.
-    fold = rng.permutation(len(texts)) % FOLDS
-    distinct = [np.unique(t) - 1 for t in ids]
-    gram_lists = [np.unique(_of(d, grams, starts, stops)) for d in distinct]
+    fold = rng.permutation(len(y)) % FOLDS
+    word_counts, gram_counts = np.zeros((2, FOLDS, 2, BUCKETS), np.float32)
+    n = np.zeros((FOLDS, 2), np.int64)
+    for text, f, k in zip(ids, fold.tolist(), y.astype(int).tolist(), strict=True):
+        different = np.unique(text) - 1
+        word_counts[f, k, np.unique(own[different])] += 1
+        gram_counts[f, k, np.unique(_of(different, grams, starts, stops))] += 1
+        n[f, k] += 1
     odds = []
     for part in (*range(FOLDS), None):
-        seen = np.flatnonzero(fold != part) if part is not None else np.arange(len(texts))
-        n = (int(y[seen].sum()), int((~y[seen]).sum()))
-        net.word_odds = log_odds(((np.unique(own[distinct[i]]), y[i]) for i in seen), *n)
-        net.char_odds = log_odds(((gram_lists[i], y[i]) for i in seen), *n)
+        others = [f for f in range(FOLDS) if f != part]
+        net.word_odds = log_odds(word_counts[others].sum(axis=0), n[others].sum(axis=0))
+        net.char_odds = log_odds(gram_counts[others].sum(axis=0), n[others].sum(axis=0))
         odds.append(net.odds(own, grams, starts))
+    del word_counts, gram_counts
     cut = [windows(t) for t in ids]
     have = np.array([i for i, c in enumerate(cut) if len(c)])
     # Word k in fold f is row f * len(words) + k of all inputs; 0 is the filling.
@@ -310,16 +317,29 @@ def train(
     first = np.cumsum(sizes) - sizes
     stacked = np.concatenate(odds[:FOLDS])
 
-    def all_inputs() -> np.ndarray:
-        parts = [net.inputs(own, grams, starts, odds[f]) for f in range(FOLDS)]
-        return np.concatenate([parts[0][:1], *[p[1:] for p in parts]])
+    def inputs(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple]:
+        """Input vectors for some windows, the windows as rows of them, and what the vectors are made of."""
+        used, local = np.unique(numbers, return_inverse=True)
+        rows = used[used > 0] - 1
+        shown = rows % len(words)
+        lengths = stops[shown] - starts[shown]
+        these = _of(shown, grams, starts, stops)
+        x = net.inputs(own[shown], these, np.cumsum(lengths) - lengths, stacked[rows])
+        return x, (local + (used[0] > 0)).reshape(numbers.shape).astype(np.int32), (own[shown], these, lengths)
+
+    def window_logits(block: int = 2_048) -> np.ndarray:
+        found = []
+        for at in range(0, len(flat), block):
+            x, local, _ = inputs(flat[at : at + block])
+            found.append(net.forward(net.gates(x), local))
+        return np.concatenate(found)
 
     strength = np.append(-np.inf, stacked.sum(axis=1))[flat].max(axis=1)
     optimiser = Adam(net.p, rate)
     heavier = 0.5 * (~y).sum() / y.sum()
     for epoch in range(epochs):
         if epoch and epoch % 2 == 0:
-            strength = _window_logits(net, all_inputs(), flat)
+            strength = window_logits()
         chosen, target = [], []
         for s, size, k in zip(first.tolist(), sizes.tolist(), y[have].tolist(), strict=True):
             best = s + int(np.argmax(strength[s : s + size]))
@@ -330,20 +350,14 @@ def train(
         order = rng.permutation(len(chosen))
         for at in range(0, len(order), batch):
             part = order[at : at + batch]
-            used, local = np.unique(flat[chosen[part]], return_inverse=True)
-            rows = used[used > 0] - 1
-            shown = rows % len(words)
-            local = (local + (used[0] > 0)).reshape(len(part), WINDOW).astype(np.int32)
-            lengths = stops[shown] - starts[shown]
-            these, begin = _of(shown, grams, starts, stops), np.cumsum(lengths) - lengths
-            x = net.inputs(own[shown], these, begin, stacked[rows])
+            x, local, (of, these, lengths) = inputs(flat[chosen[part]])
             _, g, d_x = net.gradients(x, local, target[part], np.where(target[part] > 0, heavier, 1.0))
             g |= {"word": np.zeros_like(net.p["word"]), "char": np.zeros_like(net.p["char"])}
-            np.add.at(g["word"], own[shown] // SHARED, d_x[1:, 1 : VECTOR + 1])
+            np.add.at(g["word"], of // SHARED, d_x[1:, 1 : VECTOR + 1])
             np.add.at(g["char"], these // SHARED, np.repeat(d_x[1:, VECTOR + 2 :] / lengths[:, None], lengths, axis=0))
             optimiser.step(g)
-    logits = np.full(len(texts), -np.inf, np.float32)
-    logits[have] = np.maximum.reduceat(_window_logits(net, all_inputs(), flat), first)
+    logits = np.full(len(y), -np.inf, np.float32)
+    logits[have] = np.maximum.reduceat(window_logits(), first)
     net.shift = _threshold(logits, y)
     return net
 
@@ -355,11 +369,6 @@ def _of(words: np.ndarray, grams: np.ndarray, starts: np.ndarray, stops: np.ndar
     return grams[first + np.arange(lengths.sum())]
 
 
-def _window_logits(net: Network, x: np.ndarray, flat: np.ndarray, block: int = 2_048) -> np.ndarray:
-    gates = net.gates(x)
-    return np.concatenate([net.forward(gates, flat[at : at + block]) for at in range(0, len(flat), block)])
-
-
 def _threshold(logits: np.ndarray, y: np.ndarray) -> float:
     """The logit that tells the classes apart with the highest F1, in the middle of its gap."""
     order = np.argsort(-logits, kind="stable")

@@ -49,7 +49,7 @@ def fit(
     texts = docs.select(F.col(id_col).alias("id"), whole(text).alias("text")).where(F.length("text") <= SAMPLE_CHARS)
     rows = texts.join(F.broadcast(chosen[0].unionByName(chosen[1])), "id").limit(SAMPLE_TOXIC + SAMPLE_CLEAN).toArrow()
     found = sorted(zip(rows.column("text").to_pylist(), rows.column("toxic").to_pylist(), strict=True))
-    return train([words(t) for t, _ in found], [k for _, k in found], seed=seed, epochs=epochs)
+    return train((words(t) for t, _ in found), [k for _, k in found], seed=seed, epochs=epochs)
 
 
 def scores(logits: np.ndarray, shift: float) -> np.ndarray:
