@@ -68,20 +68,19 @@ def _lines(docs: DataFrame, id_col: str, text: str, least_chars: int) -> DataFra
     return lines.select(at.alias("at"), "line", *_hashes(F.col("line")))
 
 
-def _half_keys(line: Column) -> Column:
-    """Hashes of both halves, as cut at the line's own length and at one more.
+def _half_keys(line: Column, n: Column) -> list[Column]:
+    """Hashes of both halves of a line of ``n`` characters, as cut at the line's own length and at one more.
 
     A partner of the same length, or one character longer, is cut at its own
     length: it keeps the half that the edit isn't in, and so does this line.
     """
-    n = F.length(line)
     keys = []
     for longer in (0, 1):
         m = n + longer
         head = F.floor(m / 2).cast("int")
         keys.append(F.xxhash64(m, F.lit(0), F.substring(line, F.lit(1), head)))
         keys.append(F.xxhash64(m, F.lit(1), F.substring(line, n - (m - head) + 1, m - head)))
-    return F.array(*keys)
+    return keys
 
 
 def _joined_by(df: DataFrame, small: DataFrame, on: list[str], limit: int) -> DataFrame:
@@ -190,11 +189,15 @@ def repeated_lines(
     if edits not in (0, 1):
         raise ValueError("edits must be 0 or 1")
     lines = _lines(docs, id_col, text, least_chars)
-    halves = F.when(F.length("line") <= LONGEST_EDITED, _half_keys(F.col("line")))
-    parts = [F.min(F.when(halves.isNotNull(), halves[i])).alias(f"half_{i}") for i in range(4)] if edits else []
-    distinct = lines.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.max("at").alias("last"), *parts)
+    narrow, parts, names = lines.select("at", "h1", "h2"), [], [f"half_{i}" for i in range(4)]
+    if edits:
+        # Each half is hashed once, before the aggregation.
+        short = F.col("n") <= LONGEST_EDITED
+        keys = [F.when(short, k).alias(h) for h, k in zip(names, _half_keys(F.col("line"), F.col("n")), strict=True)]
+        narrow = lines.withColumn("n", F.length("line")).select("at", "h1", "h2", *keys)
+        parts = [F.min(h).alias(h) for h in names]
+    distinct = narrow.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.max("at").alias("last"), *parts)
     if edits:
-        names = [f"half_{i}" for i in range(4)]
         distinct = distinct.withColumn("halves", F.when(F.col("half_0").isNotNull(), F.array(*names))).drop(*names)
     distinct = written(distinct, "distinct-lines", folder)
     gone = distinct.where("last != first").select("h1", "h2", "first")
