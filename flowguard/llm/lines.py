@@ -173,6 +173,7 @@ def repeated_lines(
     text: str = "text",
     edits: int = 1,
     least_chars: int = LEAST_CHARS,
+    least_copied: int | None = None,
     broadcast_rows: int = BROADCAST_ROWS,
     folder: str | None = None,
 ) -> DataFrame:
@@ -180,7 +181,8 @@ def repeated_lines(
 
     ``at`` and ``earlier`` are places, numbers that stand for the document
     and the line number from 0. Ids are integers. Lines are the text between
-    line feeds without spaces around them; those under ``least_chars`` characters take no part. A line
+    line feeds without spaces around them; those under ``least_chars`` characters take no part,
+    but equal ones do from ``least_copied`` characters on, where that is given (1: all but blank lines). A line
     goes if an equal line, or one within ``edits`` (0 or 1) inserted, deleted or
     replaced characters, stands earlier: in a document with a smaller id, or
     before it in the same one, whether or not that line stays itself. NULL ids
@@ -188,12 +190,12 @@ def repeated_lines(
     """
     if edits not in (0, 1):
         raise ValueError("edits must be 0 or 1")
-    lines = _lines(docs, id_col, text, least_chars)
+    lines = _lines(docs, id_col, text, least_chars if least_copied is None else min(least_copied, least_chars))
     narrow, parts, names = lines.select("at", "h1", "h2"), [], [f"half_{i}" for i in range(4)]
     if edits:
         # Each half is hashed once, before the aggregation.
-        short = F.col("n") <= LONGEST_EDITED
-        keys = [F.when(short, k).alias(h) for h, k in zip(names, _half_keys(F.col("line"), F.col("n")), strict=True)]
+        edited = (F.col("n") >= least_chars) & (F.col("n") <= LONGEST_EDITED)
+        keys = [F.when(edited, k).alias(h) for h, k in zip(names, _half_keys(F.col("line"), F.col("n")), strict=True)]
         narrow = lines.withColumn("n", F.length("line")).select("at", "h1", "h2", *keys)
         parts = [F.min(h).alias(h) for h in names]
     distinct = narrow.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.max("at").alias("last"), *parts)

@@ -87,3 +87,15 @@ def test_long_lines_and_no_rows(spark, tmp_path):
     out = lines.drop_repeated_lines(table(spark, rows), folder=f"{tmp_path}/a").collect()
     assert {x.doc_id: bool(x.text) for x in out} == {1: True, 2: False, 3: False, 4: True}
     assert lines.drop_repeated_lines(spark.createDataFrame([], SCHEMA), folder=f"{tmp_path}/b").collect() == []
+
+
+def test_short_copies_go_where_asked(spark, tmp_path):
+    rows = [row(1, "menu\nmenu\n\n  \na heading of 17 ch."), row(2, " menu\nmenx\n\na heading of 17 cx.\nb"), row(3, "b\nb")]
+    docs = table(spark, rows)
+    out = lines.drop_repeated_lines(docs, least_copied=1, folder=f"{tmp_path}/a").collect()
+    # Equal short lines go, blank lines and those one edit apart stay.
+    assert {r.doc_id: r.text for r in out} == {1: "menu\n\n  \na heading of 17 ch.", 2: "menx\n\na heading of 17 cx.\nb", 3: ""}
+    out = lines.drop_repeated_lines(docs, edits=0, least_copied=1, folder=f"{tmp_path}/b").collect()
+    assert {r.doc_id: r.text for r in out}[3] == ""
+    kept = lines.drop_repeated_lines(docs, folder=f"{tmp_path}/c").collect()
+    assert {r.doc_id: r.text for r in kept} == {r[0]: r[1] for r in rows}
