@@ -8,8 +8,8 @@ key of a variant is a difference of running sums over hashed characters, so a
 line of any length costs in proportion to it. Lines that differ by one replaced
 character share the variant and the place of the deletion; a line that lacks one
 character of another equals its variant. Grouping by these keys gives the
-earliest partner without listing the pairs of a group, and the edit distance of
-line and partner is verified on the texts.
+earliest partner without listing the pairs of a group, and the texts of line and
+partner are compared without the characters cut, in time linear in the line.
 """
 
 from __future__ import annotations
@@ -27,11 +27,11 @@ LEAST_CHARS = 20
 BROADCAST_ROWS = 500_000
 
 # Hash seeds of the two sums, and bits of a hashed character.
-# Sums of 42-bit numbers stay below 63 bits for lines of up to two million characters;
-# longer ones are matched exactly only.
+# A text has less than 2^31 characters, so sums of 31-bit numbers stay below 62 bits; both together tell 2^62 texts apart.
 SUM_SEEDS = (1, 2)
-CHAR_BITS = 42
-LONGEST_EDITED = 1 << 20
+CHAR_BITS = 31
+#: Lines are cut into characters block by block.
+BLOCK_CHARS = 1 << 16
 
 #: A place in the corpus is one number: id, nine digits that tell texts of one id apart, and nine of the line.
 #: Numbers aggregate by hashing, which structs don't.
@@ -111,8 +111,11 @@ def _variants(candidates: DataFrame) -> DataFrame:
     character moves those behind it one place on, so a variant's sum is that of
     the characters before the cut and of the moved ones behind it.
     """
-    chars = candidates.select(F.col("first").alias("at"), F.posexplode(F.split("line", "")).alias("cut", "char"))
-    chars = chars.where("char != ''").withColumn("cut", F.col("cut") + 1)
+    starts = F.sequence(F.lit(0), F.length("line") - 1, F.lit(BLOCK_CHARS))
+    block = lambda s: F.struct(s.alias("start"), F.substring("line", s + 1, F.lit(BLOCK_CHARS)).alias("text"))
+    blocks = candidates.select(F.col("first").alias("at"), F.explode(F.transform(starts, block)).alias("block"))
+    chars = blocks.select("at", F.col("block.start").alias("start"), F.posexplode(F.split("block.text", "")).alias("place", "char"))
+    chars = chars.where("char != ''").select("at", (F.col("start") + F.col("place") + 1).alias("cut"), "char")
     term = lambda seed, place: F.shiftrightunsigned(F.xxhash64(F.lit(seed), "char", place), 64 - CHAR_BITS)
     terms = chars.select(
         "at", "cut",
@@ -137,32 +140,43 @@ def _variants(candidates: DataFrame) -> DataFrame:
     return sums.select("at", F.explode(both).alias("v")).select("at", "v.*")
 
 
+def _without(line: Column, cut: Column) -> Column:
+    """The line without its character at ``cut``; 0 leaves it whole."""
+    rest = F.concat(F.substring(line, F.lit(1), cut - 1), F.substring(line, cut + 1, F.length(line)))
+    return F.when(cut > 0, rest).otherwise(line)
+
+
 def _near(candidates: DataFrame, folder: str | None) -> DataFrame:
     """(h1, h2, earlier): distinct lines with an earlier line one edit apart, and the earliest such line's place."""
     group = Window.partitionBy("key")
     # A key's lines are different and share all but one character: they are few, whatever the input.
     shared = (
-        _variants(candidates.where(F.length("line") <= LONGEST_EDITED))
+        _variants(candidates)
         .withColumn("low", F.min("at").over(group)).withColumn("high", F.max("at").over(group))
         .where("low != high").select("at", "cut", "key")
     )
     shared = written(shared, "shared-variants", folder)
     deleted, itself = shared.where("cut > 0"), shared.where("cut = 0")
+    zero, other = F.lit(0), F.min("at").alias("other")
     pairs = [
         # One character replaced: the same variant by a cut at the same place.
-        deleted.join(deleted.groupBy("key", "cut").agg(F.min("at").alias("other")), ["key", "cut"]),
+        deleted.join(deleted.groupBy("key", "cut").agg(other), ["key", "cut"]).withColumn("other_cut", F.col("cut")),
         # One character more, or less, than an earlier line.
-        deleted.join(itself.groupBy("key").agg(F.min("at").alias("other")), "key"),
-        itself.join(deleted.groupBy("key").agg(F.min("at").alias("other")), "key"),
+        deleted.join(itself.groupBy("key").agg(other), "key").withColumn("other_cut", zero),
+        itself.join(deleted.groupBy("key").agg(other, F.min_by("cut", "at").alias("other_cut")), "key"),
     ]
-    found = pairs[0].select("at", "other")
+    columns = ["at", "other", "cut", "other_cut"]
+    found = pairs[0].select(*columns)
     for more in pairs[1:]:
-        found = found.unionByName(more.select("at", "other"))
-    found = found.where("other < at").distinct()
+        found = found.unionByName(more.select(*columns))
+    # In a run of one character several cuts give the same variant.
+    kind = [(F.col("cut") > 0).alias("shortened"), (F.col("other_cut") > 0).alias("other_shortened")]
+    cuts = [F.min("cut").alias("cut"), F.min("other_cut").alias("other_cut")]
+    found = found.where("other < at").groupBy("at", "other", *kind).agg(*cuts)
     mine = candidates.select(F.col("first").alias("at"), "h1", "h2", "line")
     theirs = candidates.select(F.col("first").alias("other"), F.col("line").alias("other_line"))
     checked = found.join(mine, "at").join(theirs, "other")
-    close = F.levenshtein("line", "other_line", 1).between(0, 1)
+    close = _without(F.col("line"), F.col("cut")) == _without(F.col("other_line"), F.col("other_cut"))
     return checked.where(close).groupBy("h1", "h2").agg(F.min("other").alias("earlier"))
 
 
@@ -194,7 +208,7 @@ def repeated_lines(
     narrow, parts, names = lines.select("at", "h1", "h2"), [], [f"half_{i}" for i in range(4)]
     if edits:
         # Each half is hashed once, before the aggregation.
-        edited = (F.col("n") >= least_chars) & (F.col("n") <= LONGEST_EDITED)
+        edited = F.col("n") >= least_chars
         keys = [F.when(edited, k).alias(h) for h, k in zip(names, _half_keys(F.col("line"), F.col("n")), strict=True)]
         narrow = lines.withColumn("n", F.length("line")).select("at", "h1", "h2", *keys)
         parts = [F.min(h).alias(h) for h in names]

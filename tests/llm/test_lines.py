@@ -99,3 +99,12 @@ def test_short_copies_go_where_asked(spark, tmp_path):
     assert {r.doc_id: r.text for r in out}[3] == ""
     kept = lines.drop_repeated_lines(docs, folder=f"{tmp_path}/c").collect()
     assert {r.doc_id: r.text for r in kept} == {r[0]: r[1] for r in rows}
+
+
+def test_edits_in_lines_of_over_a_million_characters(spark, tmp_path):
+    r = random.Random(7)
+    line = "".join(r.choices("abcdefgé ", k=(1 << 20) + 5_000)) + "z"
+    at = 700_000
+    texts = [line, line[:at] + "#" + line[at + 1 :], line[:at] + line[at + 1 :], line[:10] + "##" + line[12:]]
+    out = lines.drop_repeated_lines(table(spark, [row(i, t) for i, t in enumerate(texts)]), folder=f"{tmp_path}/a").collect()
+    assert {x.doc_id: bool(x.text) for x in out} == {0: True, 1: False, 2: False, 3: True}
