@@ -10,7 +10,7 @@ pooled state gives a logit.
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
-from itertools import islice
+from itertools import islice, pairwise
 
 import numpy as np
 
@@ -23,8 +23,8 @@ HIDDEN = 8
 ATTENTION = 4
 #: Character n-grams inside a word, and beginnings of a word up to this length.
 INNER, BEGINNING = (3, 4), 10
-#: A longer word is known by its ends.
-LONGEST_WORD = 64
+#: A longer word (a text without spaces is one) is read as pieces of this length, this far apart.
+LONGEST_WORD, PIECE_STRIDE = 64, 32
 WINDOW, STRIDE = 24, 12
 FOLDS = 4
 
@@ -36,6 +36,15 @@ def _buckets(hashes: np.ndarray, kind: int) -> np.ndarray:
     return ((mixed ^ (mixed >> np.uint64(31))) * _MIX >> np.uint64(44)).astype(np.int32)
 
 
+def pieces(words: Sequence[str]) -> Sequence[str]:
+    """The words, each longer one as overlapping pieces, a step each."""
+    if max(map(len, words), default=0) <= LONGEST_WORD:
+        return words
+    # The last piece is shorter, but longer than the overlap.
+    overlap = LONGEST_WORD - PIECE_STRIDE
+    return [w[at : at + LONGEST_WORD] for w in words for at in range(0, max(1, len(w) - overlap), PIECE_STRIDE)]
+
+
 def word_features(words: Sequence[str], block: int = 20_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each word its bucket, and the buckets of its n-grams one behind the other with each word's start."""
     parts = [_features(words[at : at + block]) for at in range(0, len(words), block)]
@@ -45,7 +54,10 @@ def word_features(words: Sequence[str], block: int = 20_000) -> tuple[np.ndarray
 
 
 def _features(words: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Polynomial hashes over the code points of all words at once; < and > mark a word's ends."""
+    """Polynomial hashes over the code points of all words at once; < and > mark a word's ends.
+
+    Words come from a vocabulary, in pieces; of a longer one only the ends would count.
+    """
     marked = [f"<{w}>" if len(w) <= LONGEST_WORD else f"<{w[:32]}{w[-32:]}>" for w in words]
     codes = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     lengths = np.fromiter(map(len, marked), np.int64, len(marked))
@@ -75,7 +87,7 @@ def _features(words: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 class Vocabulary:
-    """Numbers words from 1 in the order they come; 0 fills up windows."""
+    """Numbers words, long ones in pieces, from 1 in the order they come; 0 fills up windows."""
 
     def __init__(self) -> None:
         self.numbers: dict[str, int] = {}
@@ -84,7 +96,7 @@ class Vocabulary:
         """Each text as numbers, and the words that are new."""
         numbers, known = self.numbers, len(self.numbers)
         put = numbers.setdefault
-        ids = [np.array([put(w, len(numbers) + 1) for w in words], np.int32) for words in texts]
+        ids = [np.array([put(w, len(numbers) + 1) for w in pieces(words)], np.int32) for words in texts]
         return ids, list(islice(numbers, known, None))
 
 
@@ -238,7 +250,7 @@ class Scorer:
     """Scores texts with a network; remembers the gates of words, of a bounded number of them."""
 
     MOST_WORDS = 200_000
-    BLOCK = 2_048
+    WORDS, BLOCK = 8_192, 2_048
 
     def __init__(self, net: Network) -> None:
         self.net = net
@@ -254,11 +266,18 @@ class Scorer:
 
     def _learn(self, new: list[str]) -> None:
         if new:
-            more = self._gates(new)
-            self.gates = {d: np.concatenate([g, more[d][1:]]) for d, g in self.gates.items()}
+            # Pieces of long words have many n-grams: block by block, memory is bounded.
+            more = [self._gates(new[at : at + self.WORDS]) for at in range(0, len(new), self.WORDS)]
+            self.gates = {d: np.concatenate([g, *[m[d][1:] for m in more]]) for d, g in self.gates.items()}
 
     def logits(self, texts: Sequence[Sequence[str]]) -> np.ndarray:
         """The largest logit over all windows of each text; -inf for a text without words."""
+        cut = [pieces(t) for t in texts]
+        group = np.cumsum([len(t) for t in cut]) // self.MOST_WORDS
+        parts = [self._logits(cut[a:b]) for a, b in pairwise([0, *np.flatnonzero(np.diff(group)) + 1, len(cut)])] if cut else []
+        return np.concatenate([np.empty(0, np.float32), *parts])
+
+    def _logits(self, texts: Sequence[Sequence[str]]) -> np.ndarray:
         if len(self.words.numbers) > self.MOST_WORDS:
             self._forget()
         ids, new = self.words.number(texts)

@@ -54,6 +54,15 @@ def test_features_are_those_of_the_word():
     assert gru.word_features(["x" * 10_000])[1].size < 200
 
 
+@pytest.mark.parametrize("n", [1, 64, 65, 96, 97, 128, 1_000])
+def test_pieces_hold_all_of_a_word(n):
+    word = "".join(chr(0x4E00 + i) for i in range(n))
+    cut = gru.pieces(["ab", word])
+    assert cut[0] == "ab" and cut[1] + "".join(p[gru.LONGEST_WORD - gru.PIECE_STRIDE :] for p in cut[2:]) == word
+    assert max(map(len, cut)) <= gru.LONGEST_WORD
+    assert gru.Vocabulary().number([["ab", word]])[1] == list(cut)
+
+
 def _cases(n):
     r = random.Random(4)
     bad = ["vorgle", "strint", "mubble"]
@@ -85,6 +94,10 @@ def test_held_out_accuracy(spark):
     texts = [["aei"] * 3_000, ["aei"] * 3_000 + ["vorgles"]]
     low, high = gru.Scorer(net).logits(texts)
     assert high > low
+    # So is one in the middle of a text without spaces.
+    filling = "aei\u3000" * 300
+    low, high = gru.Scorer(net).logits([[filling * 2], [filling + "vorgles\u3000" + filling]])
+    assert high > low
 
 
 def test_nothing_to_learn_from(spark):
