@@ -19,15 +19,41 @@ from .texts import whole
 #: Even, so that both halves are changed equally often.
 ROUNDS = 10
 
+# How long the IBANs of a country are, by the registry.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ DZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban_pattern() -> str:
+    """An IBAN of its country's length, so that it doesn't take in a token behind it, or else of any length."""
+    forms = []
+    for n, countries in IBAN_LENGTHS.items():
+        groups, rest = divmod(n - 4, 4)
+        tail = f" ?[A-Z0-9]{{{rest}}}" if rest else ""
+        forms.append(f"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{groups}}}{tail}")
+    known = f"(?:{'|'.join(forms)})(?![0-9A-Za-z_])"
+    return rf"(?=[A-Z]{{2}}[0-9]{{2}})(?:{known}|[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?)"
+
+
 # What each kind looks like, as it stands between other characters than letters, digits and _.
 PATTERNS = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
-    "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?",
+    "iban": _iban_pattern(),
     "date": r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4}",
     "social": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
     "address": r"(?<![0-9]\.)[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.[0-9])",
-    "card": r"[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{1,7}",
-    "phone": r"(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-][0-9]{3,4}|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}",
+    "card": (
+        r"[0-9]{4}(?:[ -][0-9]{4}){3}[ -][0-9]{3}(?![.-][0-9]| [0-9]{3}[ .-][0-9]{4})|[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{1,7}"
+        r"|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}"
+    ),
+    "phone": r"(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-][0-9]{3,4}|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}"
+    # National forms: three groups with the area first, or a trunk 0.
+    r"|(?<![0-9][.-])(?:(?:1[ .-])?[2-9][0-9]{2}[ .-][2-9][0-9]{2}[ .-][0-9]{4}"
+    r"|0[0-9]{1,4}[ .-][0-9]{3,4}[ .-][0-9]{3,4}|0[0-9](?:[ .-][0-9]{2}){4}|0[0-9]{2,4}[ /-][0-9]{5,8})",
 }
 ANY = r"(?<![0-9A-Za-z_])(?:" + "|".join(PATTERNS.values()) + r")(?![0-9A-Za-z_])"
 DATE_FORMATS = ("yyyy-MM-dd", "dd.MM.yyyy", "MM/dd/yyyy", "dd/MM/yyyy")
@@ -126,11 +152,14 @@ def _luhn(digits: Column, doubled: int) -> Column:
 
 
 def _card(m: Column, key: str) -> tuple[Column, Column]:
-    digits = _digits(m)
-    valid = F.length(digits).between(13, 19) & (_luhn(digits, 1) % 10 == 0)
+    right = lambda d: F.length(d).between(13, 19) & (_luhn(d, 1) % 10 == 0)
+    # Three digits behind a card of 16 are part of it or, as a check value is, another number.
+    tail = F.when(right(_digits(m)), F.lit("")).otherwise(F.regexp_extract(m, r"^[0-9]{4}(?:[ -][0-9]{4}){3}([ -][0-9]{3})$", 1))
+    digits = _digits(F.substring(m, F.lit(1), F.length(m) - F.length(tail)))
+    valid = right(digits)
     body = permute_text(F.substring(digits, F.lit(1), F.length(digits) - 1), key, "card")
     checked = F.transform(F.array(body), lambda b: F.concat(b, F.pmod(10 - _luhn(b, 0) % 10, F.lit(10)).cast("string")))
-    return valid, _refilled(m, checked[0])
+    return valid, _refilled(m, F.concat(checked[0], _digits(tail)))
 
 
 def _phone(m: Column, key: str) -> tuple[Column, Column]:

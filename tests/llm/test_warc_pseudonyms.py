@@ -137,3 +137,23 @@ def test_awkward_rows(spark):
     got = pseudonyms.pseudonymise(table(spark, rows), "k")
     assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter((r[0], r[1]) for r in rows)
     assert pseudonyms.pseudonymise(spark.createDataFrame([], SCHEMA), "k").collect() == []
+
+
+MORE = {
+    "iban": ["BE68 5390 0754 7034", "PL61 1090 1014 0000 0712 1981 2874", "AT61 1904 3002 3457 3201", "NO93 8601 1117 947", "BE68539007547034"],
+    "card": ["3782 822463 10005", "3782-822463-10005", "3056 930902 5904", "4041 8949 7460 8795", "4041 8949 7460 8790 007"],
+    "phone": ["838-555-7235", "838.555.7235", "838 555 7235", "1-838-555-7235", "020 7946 0958", "0171/1234567", "01 23 45 67 89"],
+}
+
+
+@pytest.mark.parametrize("token", ["EUR", "PLN 5", "123", "x", "and 838-555-7235", "838 555 7235"])
+def test_values_before_a_token(spark, token):
+    flat = [(k, v) for k, vs in MORE.items() for v in vs]
+    got = _replace(spark, [f"a {v} {token}" for _, v in flat])
+    for i, (kind, value) in enumerate(flat):
+        new = got[i].text[2 : 2 + len(value)]
+        assert got[i][f"n_{kind}"] >= 1 and new != value and _shape(new) == _shape(value), (value, got[i].text)
+        if "838" not in token:
+            assert got[i].text == f"a {new} {token}"
+        if kind == "card":
+            assert _luhn(re.sub(r"\D", "", new))
