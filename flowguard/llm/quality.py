@@ -28,12 +28,12 @@ _DIGIT = re.compile(r"[0-9]")
 _MARK = re.compile(r"[!?]")
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-#: Of the last three, what exceeds a share that ordinary texts reach.
 FEATURES = (
-    "mean_word", "short_share", "symbol_share", "capital_share", "mark_share", "dup_line_excess", "repeat_excess",
-    "digit_excess",
+    "mean_word", "short_share", "symbol_share", "capital_share", "mark_share", "dup_line_share", "repeat_share",
+    "digit_share",
 )
-USUAL_DUP_LINES, USUAL_REPEATS, USUAL_DIGITS = 0.3, 0.3, 0.15
+#: Of these, only what exceeds the share that good texts reach counts: see ``excess``.
+EXCESSES = ("dup_line_share", "repeat_share", "digit_share")
 SHORT = 3
 
 
@@ -75,9 +75,9 @@ def statistics(text: str) -> tuple[list[int], list[float]]:
         per(symbols, chars),
         per(sum(map(str.isupper, text)), chars),
         per(len(_MARK.findall(text)), chars),
-        max(0.0, per(dup, lines) - USUAL_DUP_LINES),
-        max(0.0, per(repeated, n) - USUAL_REPEATS),
-        max(0.0, per(len(_DIGIT.findall(text)), chars) - USUAL_DIGITS),
+        per(dup, lines),
+        per(repeated, n),
+        per(len(_DIGIT.findall(text)), chars),
     ]
     return [n, chars, symbols, dup, repeated], features
 
@@ -89,13 +89,17 @@ def fails_limits(counts: list[int]) -> bool:
 
 @dataclass
 class Forest:
-    """Trees as arrays: split feature (-1 in a leaf), split value, first child, path length."""
+    """Trees as arrays: split feature (-1 in a leaf), split value, first child, path length.
+
+    ``usual`` has, for each of FEATURES, what is subtracted before the trees see it.
+    """
 
     feature: np.ndarray
     value: np.ndarray
     child: np.ndarray
     depth: np.ndarray
     threshold: float = 0.0
+    usual: np.ndarray | None = None
 
     def path_lengths(self, x: np.ndarray) -> np.ndarray:
         """Mean over the trees of the splits that isolate each row."""
@@ -115,8 +119,25 @@ def _unresolved(n: int) -> float:
     return 0.0 if n < 2 else 1.0 if n == 2 else 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
 
 
-def grow(x: np.ndarray, *, trees: int = 200, sample: int = 256, seed: int = 42) -> Forest:
-    """An isolation forest: each tree splits a random sample by random features at random values."""
+def usual_shares(x: np.ndarray, good: np.ndarray, most_lost: float) -> np.ndarray:
+    """For the EXCESSES what all but ``most_lost`` of the good rows stay within; 0 for other features."""
+    usual = np.zeros(len(FEATURES))
+    for name in EXCESSES if good.any() else ():
+        usual[FEATURES.index(name)] = np.quantile(x[good, FEATURES.index(name)], 1 - most_lost)
+    return usual
+
+
+def excess(x: np.ndarray, usual: np.ndarray | None) -> np.ndarray:
+    """The features as the trees see them."""
+    return x if usual is None else np.where(usual > 0, np.maximum(x - usual, 0), x)
+
+
+def grow(x: np.ndarray, *, trees: int = 300, sample: int = 128, seed: int = 42) -> Forest:
+    """An isolation forest: each tree splits a random sample by random features at random values.
+
+    The samples are small on purpose: of few rows only a few are bad, so that
+    bad rows that resemble each other don't hide one another.
+    """
     rng = np.random.default_rng(seed)
     limit = int(np.ceil(np.log2(max(sample, 2)))) + 2
     size = 2 * sample + 1
@@ -207,8 +228,12 @@ def fit(
     rng = np.random.default_rng(seed)
     bad = np.flatnonzero(~good)
     most = int(good.sum() * bad_share / (1 - bad_share))
+    usual = usual_shares(x, good, most_lost)
+    x = excess(x, usual)
     grown = np.concatenate([x[good], x[rng.permutation(bad)[:most]]]) if good.any() else x
-    return calibrate(grow(grown, seed=seed), x, good, most_lost)
+    forest = calibrate(grow(grown, seed=seed), x, good, most_lost)
+    forest.usual = usual
+    return forest
 
 
 def judge(texts: list[str], forest: Forest | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -218,33 +243,37 @@ def judge(texts: list[str], forest: Forest | None) -> tuple[np.ndarray, np.ndarr
     failed = np.array([fails_limits(c) for c, _ in got], bool)
     if forest is None:
         return counts, failed, np.zeros(len(got)), ~failed
-    paths = forest.path_lengths(np.array([f for _, f in got]).reshape(-1, len(FEATURES)))
+    paths = forest.path_lengths(excess(np.array([f for _, f in got]).reshape(-1, len(FEATURES)), forest.usual))
     return counts, failed, paths, ~failed & (paths >= forest.threshold)
 
 
 def score(docs: DataFrame, forest: Forest | None, *, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: id, the COUNTS, base_failed, path_length and kept.
+    """One row per document: id, the COUNTS, base_failed, kept and path_length.
 
     NULL texts have no words and fail the limits, as do empty ones. NULL and
     repeated ids are passed on; an empty table gives no rows; other columns are
     ignored.
     """
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
-    names = ["id", *COUNTS, "base_failed", "path_length", "kept"]
+    names = ["id", *COUNTS, "base_failed", "kept", "path_length"]
 
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, failed, paths, kept = judge([t.as_py() or "" for t in batch.column("text")], forest)
-            columns = [pa.array(c) for c in (*counts.T, failed, paths, kept)]
+            columns = [pa.array(c) for c in (*counts.T, failed, kept, paths)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), *columns], names)
 
     schema = f"id {docs.schema[id_col].dataType.simpleString()}, " + ", ".join(f"{c} bigint" for c in COUNTS)
-    out = narrow.mapInArrow(each, f"{schema}, base_failed boolean, path_length double, kept boolean")
+    out = narrow.mapInArrow(each, f"{schema}, base_failed boolean, kept boolean, path_length double")
     return out.withColumnRenamed("id", id_col)
 
 
 def keep_good(docs: DataFrame, forest: Forest | None, *, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that pass the limits and the forest, with all their columns."""
+    """The rows of ``docs`` that pass the limits and the forest, with all their columns.
+
+    NULL and empty texts fail the limits and go. Repeated rows are judged alike,
+    ids are not looked at, and an empty table stays empty.
+    """
 
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -143,3 +143,50 @@ def test_path_lengths_of_outliers():
     forest = quality.grow(x)
     outer, inner = forest.path_lengths(np.array([[8.0, -8.0, 8.0], [0.0, 0.0, 0.0]]))
     assert outer < inner - 2
+
+
+def plain_path(forest, tree, row, node=0):
+    """Splits from a node to the leaf of a row, and the further ones that the leaf's rows would take."""
+    f = forest.feature[tree, node]
+    if f < 0:
+        return forest.depth[tree, node]
+    return plain_path(forest, tree, row, forest.child[tree, node] + int(row[f] >= forest.value[tree, node]))
+
+
+def test_path_lengths_by_brute_force():
+    r = np.random.default_rng(2)
+    x = np.round(r.normal(size=(300, 4)), 1)
+    forest = quality.grow(x, trees=20, sample=64)
+    rows = np.concatenate([x[:60], r.normal(size=(40, 4)) * 4])
+    want = [np.mean([plain_path(forest, t, row) for t in range(20)]) for row in rows]
+    assert np.allclose(forest.path_lengths(rows), want)
+
+
+def test_trees_by_brute_force():
+    """Each leaf's path length is its depth and the mean number of splits for the rows of the sample in it."""
+    x = np.random.default_rng(3).normal(size=(64, 2))
+    forest = quality.grow(x, trees=5, sample=64)
+    harmonic = lambda n: 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
+    for t in range(5):
+        todo = [(0, x, 0)]
+        while todo:
+            node, part, depth = todo.pop()
+            f = forest.feature[t, node]
+            if f < 0:
+                further = 0 if len(part) < 2 else 1 if len(part) == 2 else harmonic(len(part))
+                assert np.isclose(forest.depth[t, node], depth + further)
+                continue
+            right = part[:, f] >= forest.value[t, node]
+            assert right.any() and not right.all()
+            child = forest.child[t, node]
+            todo += [(child, part[~right], depth + 1), (child + 1, part[right], depth + 1)]
+
+
+def test_usual_shares_come_from_good_rows():
+    x = np.zeros((1_000, len(quality.FEATURES)))
+    at = quality.FEATURES.index("digit_share")
+    x[:, at] = np.arange(1_000) / 1_000
+    usual = quality.usual_shares(x, np.ones(1_000, bool), 0.005)
+    assert 0.99 < usual[at] < 1 and usual.sum() == usual[at]
+    assert (quality.excess(x, usual)[:, at] > 0).sum() == 5
+    assert quality.usual_shares(x, np.zeros(1_000, bool), 0.005).sum() == 0
