@@ -507,18 +507,21 @@ _SCALED = ["f_qty", "f_disc", "f_const", "f_rare"]
 
 
 def _scaled_output(df):
+    """Sums of exact decimals: unlike those of doubles they don't depend on the order of the rows."""
     return df.groupBy("device").agg(
-        *[F.round(F.avg(c), 6).alias(c) for c in _SCALED],
+        *[F.sum(F.round(c, 6).cast("decimal(20,6)")).cast("double").alias(c) for c in _SCALED],
         *[F.round(F.max(c), 6).alias(f"{c}_max") for c in _SCALED],
     )
 
 
 def _scaled_sql(expression: str, fit: str) -> str:
     columns = ", ".join(f"{expression.format(c=c)} AS {c}" for c in _SCALED)
-    means = ", ".join(f"round(avg({c}), 6) AS {c}, round(max({c}), 6) AS {c}_max" for c in _SCALED)
+    sums = ", ".join(
+        f"sum(round({c}, 6)::DECIMAL(20, 6))::DOUBLE AS {c}, round(max({c}), 6) AS {c}_max" for c in _SCALED
+    )
     fits = ", ".join(fit.format(c=c) for c in _SCALED)
     return f"""WITH {_CLEAN}, fit AS (SELECT {fits} FROM flows),
-    scaled AS (SELECT device, {columns} FROM flows, fit) SELECT device, {means} FROM scaled GROUP BY device"""
+    scaled AS (SELECT device, {columns} FROM flows, fit) SELECT device, {sums} FROM scaled GROUP BY device"""
 
 
 @query(
