@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.bounded import settle, small_table
-
+from ..sources.paths import stage
 
 # Rows taken of a group per slice of its hash order, about.
 TAKEN_PER_SLICE = 200
@@ -34,20 +34,55 @@ def hash_order(ids: Sequence[str], seed: int | str) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *parts))
 
 
+def in_ranges(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
+    """The rows in ranges of ``order_by``, numbered in ``_range``.
+
+    Write the result before reading it: ranges are cut anew each time it is computed.
+    """
+    return df.repartitionByRange(*order_by).withColumn("_range", F.spark_partition_id())
+
+
+def _offsets(ranged: DataFrame, sizes: Mapping[int, int], start: int = 0) -> DataFrame:
+    """(_range, _earlier): the rows of all earlier ranges, from one number per range."""
+    offsets, total = [], start
+    for number, n in sorted(sizes.items()):
+        offsets.append({"_range": number, "_earlier": total})
+        total += n
+    return F.broadcast(small_table(ranged.sparkSession, offsets, "_range int, _earlier long"))
+
+
+def number_ranges(
+    ranged: DataFrame, order_by: Sequence[str], name: str, sizes: Mapping[int, int], *, start: int = 0
+) -> DataFrame:
+    """Positions ``start + 1``, ... along ``order_by`` of a written ``in_ranges`` table.
+
+    ``sizes`` has the number of rows of each range.
+    """
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(*order_by))
+    return (
+        ranged.join(_offsets(ranged, sizes, start), "_range")
+        .withColumn(name, F.col("_earlier") + within.cast("long"))
+        .drop("_range", "_earlier")
+    )
+
+
 def number_rows(
     df: DataFrame, order_by: Sequence[str], slice_by: Column, name: str = "row_no"
 ) -> DataFrame:
     """1-based position of every row in the total order ``order_by``.
 
     ``slice_by`` must never be NULL nor decrease along the order. Rows shuffle
-    once, by slice.
+    once, by slice. Slices are summed in ranges and ranges on top of them, so
+    there is no window over all slices either.
     """
     data = df.withColumn("_slice", slice_by)
     counts = data.groupBy("_slice").agg(F.count(F.lit(1)).alias("_n"))
-    # One row per slice: the only unpartitioned window is over this summary.
-    before = counts.select(
-        "_slice",
-        (F.sum("_n").over(Window.orderBy("_slice")) - F.col("_n")).alias("_before"),
+    # One narrow row per slice.
+    ranged = stage(in_ranges(counts, ["_slice"]), "slices")
+    sizes = dict(ranged.groupBy("_range").agg(F.sum("_n")).collect())
+    upto = F.sum("_n").over(Window.partitionBy("_range").orderBy("_slice"))
+    before = ranged.join(_offsets(ranged, sizes), "_range").select(
+        "_slice", (F.col("_earlier") + upto - F.col("_n")).alias("_before")
     )
     within = F.row_number().over(Window.partitionBy("_slice").orderBy(*order_by))
     return (
@@ -99,7 +134,10 @@ def rank_cuts(
     )
     near = keyed.join(edges.select("_group", "_slice").distinct(), ["_group", "_slice"], "left_semi")
     nth = F.row_number().over(Window.partitionBy("_group", "_slice").orderBy("_key"))
-    cuts = near.withColumn("_nth", nth).join(edges, ["_group", "_slice", "_nth"])
+    # A limit known beforehand lets each task drop the rest of its slice before the shuffle.
+    furthest = edges.agg(F.max("_nth")).first()[0] or 0
+    ranked = near.withColumn("_nth", nth).where(F.col("_nth") <= F.lit(furthest))
+    cuts = ranked.join(edges, ["_group", "_slice", "_nth"])
     names = list(takes)
     wide = cuts.groupBy(F.col("_group").alias(group)).agg(
         *[F.max(F.when(F.col("_name") == n, F.col("_key"))).alias(n) for n in names]
@@ -133,3 +171,20 @@ def running_totals(
     return summed.join(offsets, [*keys, "_block"]).select(
         *kept, *[(F.col(v) + F.col(f"_{v}")).alias(v) for v in values]
     )
+
+
+def following(
+    df: DataFrame, keys: Sequence[str], position: str, name: str, *, block: int = 1000
+) -> DataFrame:
+    """Adds the next larger ``position`` within ``keys``, NULL at the last, in two levels like ``running_totals``."""
+    keys = list(keys)
+    data = df.withColumn("_block", F.floor(F.col(position) / block).cast("long"))
+    firsts = data.groupBy(*keys, "_block").agg(F.min(position).alias("_first"))
+    later = firsts.select(
+        *keys, "_block", F.lead("_first").over(Window.partitionBy(*keys).orderBy("_block")).alias("_later")
+    )
+    near = F.lead(position).over(Window.partitionBy(*keys, "_block").orderBy(position))
+    return (
+        data.withColumn(name, near).join(later, [*keys, "_block"])
+        .withColumn(name, F.coalesce(name, "_later")).drop("_block", "_later")
+    )

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.paths import stage
-from .ordering import number_rows, running_totals
+from .ordering import following, number_rows, running_totals
 
 COUNTERS = {
     "total": lambda: F.lit(True),
@@ -85,7 +86,11 @@ def active_devices(counters: DataFrame) -> DataFrame:
 def attack_type_counts(df: DataFrame) -> DataFrame:
     """(scope, device_id, predicted_class, n): attacks per device, and overall (device NULL)."""
     attacks = df.where(F.col("traffic_type") == "ATTACK")
-    per_device = attacks.groupBy("device_id", "predicted_class").agg(F.count(F.lit(1)).alias("n"))
+    return sum_attack_types(attacks.groupBy("device_id", "predicted_class").agg(F.count(F.lit(1)).alias("n")))
+
+
+def sum_attack_types(per_device: DataFrame) -> DataFrame:
+    """Adds the overall rows to attacks per device and class."""
     # Two grouping sets over the summary, not over the flows.
     sets = per_device.groupingSets(
         [[F.col("device_id"), F.col("predicted_class")], [F.col("predicted_class")]],
@@ -107,91 +112,121 @@ def attack_type_map(counts: DataFrame) -> DataFrame:
     )
 
 
-def statistics_snapshots(
-    samples: DataFrame, every: int = SNAPSHOT_EVERY, *, block: int = 1000
-) -> DataFrame:
-    """Counters after every ``every``-th sample: (at_sample, scope, device_id, counters).
+def snapshot_counts(samples: DataFrame, every: int = SNAPSHOT_EVERY) -> DataFrame:
+    """(shot, device_id, counters): each device's samples towards the shot-th snapshot.
 
-    Each complete snapshot lists every device seen so far and the overall row.
-    Samples are first counted per (snapshot, device). Devices are then filled
-    into the snapshots where they were silent, and totals run in two levels, so
-    neither a busy device nor the overall row is one task's work.
+    Snapshots are taken after every ``every``-th sample over all devices. Write
+    the result before ``statistics_changes``, which reads it several times.
     """
-    numbered = samples.withColumn("_shot", F.ceil(F.col("sample_id") / every).cast("long"))
-    names = list(_measures(samples))
-    # Numbering and scoring below this point run once.
-    partial = stage(
-        numbered.groupBy("_shot", "device_id").agg(*[m.alias(n) for n, m in _measures(samples).items()]),
-        "snapshots",
-    )
-    last = (partial.agg(F.sum("total")).first()[0] or 0) // every
-    overall = partial.groupBy("_shot").agg(*[F.sum(n).alias(n) for n in names])
-    counts = partial.withColumn("scope", F.lit("device")).unionByName(
+    shot = F.expr(f"(sample_id + {int(every) - 1}) div {int(every)}").cast("long")
+    return samples.groupBy(shot.alias("shot"), "device_id").agg(*[m.alias(n) for n, m in _measures(samples).items()])
+
+
+def counter_names(df: DataFrame) -> list[str]:
+    return [n for n in (*COUNTERS, *TIER2_COUNTERS) if n in df.columns]
+
+
+def statistics_changes(counts: DataFrame, every: int = SNAPSHOT_EVERY, *, block: int = 1000) -> DataFrame:
+    """The counters of all complete snapshots as change rows.
+
+    Gives scope, device_id, valid_from, valid_to and the running counters: what
+    every snapshot from sample ``valid_from`` on shows, up to but without
+    ``valid_to`` (NULL: still valid). A device has a row only where its counters
+    changed, so rows grow with the samples and not with devices times snapshots.
+    The overall rows (``device_id`` NULL) change in each snapshot. Totals run in
+    two levels: no device, nor the overall row, is one task's work.
+    """
+    names = counter_names(counts)
+    last = (counts.agg(F.sum("total")).first()[0] or 0) // every
+    done = counts.where(F.col("shot") <= last)
+    overall = done.groupBy("shot").agg(*[F.sum(n).alias(n) for n in names])
+    changes = done.withColumn("scope", F.lit("device")).unionByName(
         overall.withColumn("scope", F.lit("overall")), allowMissingColumns=True
     )
-    counts = counts.withColumn("device_id", F.coalesce("device_id", F.lit("")))
-    seen = counts.groupBy("scope", "device_id").agg(F.min("_shot").alias("_first"))
-    # Two explodes keep each generated array at most a block long.
-    blocks = seen.where(F.col("_first") <= last).select(
-        "scope",
-        "device_id",
-        "_first",
-        F.explode(
-            F.sequence(F.floor(F.col("_first") / block), F.lit(last // block).cast("long"))
-        ).alias("_block"),
-    )
-    grid = blocks.select(
-        "scope",
-        "device_id",
-        F.explode(
-            F.sequence(
-                F.greatest("_first", F.col("_block") * block),
-                F.least(F.lit(last).cast("long"), F.col("_block") * block + (block - 1)),
-            )
-        ).alias("_shot"),
-    )
-    dense = grid.join(counts, ["scope", "device_id", "_shot"], "left").na.fill(0, names)
-    totals = running_totals(dense, ["scope", "device_id"], "_shot", names, block=block)
-    return totals.select(
-        (F.col("_shot") * every).alias("at_sample"),
+    changes = changes.withColumn("device_id", F.coalesce("device_id", F.lit("")))
+    totals = running_totals(changes, ["scope", "device_id"], "shot", names, block=block)
+    return change_rows(totals.withColumn("valid_from", F.col("shot") * every).drop("shot"), names, block=block * every)
+
+
+def change_rows(totals: DataFrame, names: Sequence[str], *, block: int) -> DataFrame:
+    """Adds valid_to to running counters per scope, device ('' for overall) and valid_from."""
+    return following(totals, ["scope", "device_id"], "valid_from", "valid_to", block=block).select(
         "scope",
         F.when(F.col("scope") == "device", F.col("device_id")).alias("device_id"),
+        "valid_from",
+        "valid_to",
         *names,
     )
 
 
-def add_alerts(rows: DataFrame) -> DataFrame:
-    """Adds ``alert_level`` and ``alert_message`` by traffic type and tier-2 outcome."""
-    kind, status = F.col("traffic_type"), F.col("tier2_status")
-    label = F.format_string("Sample #%04d (%s)", F.col("sample_id"), F.col("device_id"))
-
-    def verdict(text: str) -> Column:
-        return F.format_string(
-            f"%s | Deep analysis: {text} | Error %.8f, threshold %.8f, score %.3f",
-            label,
-            F.col("tier2_detail.reconstruction_error"),
-            F.col("tier2_detail.threshold"),
-            F.col("tier2_detail.anomaly_score"),
-        )
+def snapshots_at(changes: DataFrame, at: Sequence[int]) -> DataFrame:
+    """The dense snapshots at the named sample numbers: (at_sample, scope, device_id, counters).
+
+    Each lists the overall row and every device seen by then. Between two
+    snapshots the earlier one holds. Rows are looked up by where their validity
+    begins and ends among the named numbers: nothing is joined.
+    """
+    named = sorted(set(int(n) for n in at))
+    names = counter_names(changes)
+    if not named:
+        return changes.limit(0).select(F.col("valid_from").alias("at_sample"), "scope", "device_id", *names)
+    # A number's place is how many named numbers lie below it.
+    splits = [-math.inf, *map(float, named), math.inf]
+    edges = changes.withColumns({
+        "_from": F.col("valid_from") - F.lit(0.5), "_to": F.coalesce(F.col("valid_to") - F.lit(0.5), F.lit(float(named[-1]) + 1))
+    })
+    placed = Bucketizer(
+        splitsArray=[splits, splits], inputCols=["_from", "_to"], outputCols=["_first", "_end"]
+    ).transform(edges).where(F.col("_first") < F.col("_end"))
+    places = F.sequence(F.col("_first").cast("int"), (F.col("_end") - 1).cast("int"))
+    return placed.withColumn("_place", F.explode(places)).select(
+        F.get(F.lit(named).cast("array<bigint>"), F.col("_place")).alias("at_sample"), "scope", "device_id", *names
+    )
+
+
+# What an alert reports, and how serious it is.
+EVENTS = {
+    "benign": "INFO",
+    "attack": "ALERT",
+    "confirmed_anomaly": "ALERT",
+    "confirmed_benign": "INFO",
+    "analysis_failed": "WARNING",
+    "analysis_off": "WARNING",
+}
+
 
-    level = (
-        F.when(kind == "BENIGN", F.lit("INFO"))
-        .when(kind == "ATTACK", F.lit("ALERT"))
-        .when(status == "ANOMALY", F.lit("ALERT"))
-        .when(status == "BENIGN", F.lit("INFO"))
-        .otherwise(F.lit("WARNING"))
+def alerts(rows: DataFrame, events: Sequence[str] = tuple(EVENTS)) -> DataFrame:
+    """One alert per judged sample, as columns: sample_id, device_id, level, event and its figures.
+
+    ``attack_class`` names the class of an attack; ``confidence`` is the first
+    tier's; the error, its threshold, the score and the model's kind are the
+    second tier's where it gave a verdict. ``events`` picks some events only.
+    """
+    kind, status = F.col("traffic_type"), F.col("tier2_status")
+    event = (
+        F.when(kind == "BENIGN", F.lit("benign"))
+        .when(kind == "ATTACK", F.lit("attack"))
+        .when(status == "ANOMALY", F.lit("confirmed_anomaly"))
+        .when(status == "BENIGN", F.lit("confirmed_benign"))
+        .when(status == "ERROR", F.lit("analysis_failed"))
+        .otherwise(F.lit("analysis_off"))
     )
-    message = (
-        F.when(kind == "BENIGN", F.format_string("%s | Benign traffic | Confidence %.3f", label, F.col("confidence")))
-        .when(
-            kind == "ATTACK",
-            F.format_string(
-                "%s | %s attack detected | Confidence %.3f", label, F.col("predicted_class"), F.col("confidence")
-            ),
+    level = None
+    for name, value in EVENTS.items():
+        test = F.col("event") == name
+        level = F.when(test, F.lit(value)) if level is None else level.when(test, F.lit(value))
+    detail = ("reconstruction_error", "threshold", "anomaly_score", "model_type")
+    order = [c for c in ("timestamp",) if c in rows.columns]
+    return (
+        rows.withColumn("event", event).where(F.col("event").isin(*events))
+        .select(
+            "sample_id",
+            "device_id",
+            *order,
+            level.alias("level"),
+            "event",
+            F.when(kind == "ATTACK", F.col("predicted_class")).alias("attack_class"),
+            "confidence",
+            *[F.col(f"tier2_detail.{c}").alias(c) for c in detail],
         )
-        .when(status == "ANOMALY", verdict("confirmed anomaly"))
-        .when(status == "BENIGN", verdict("confirmed benign"))
-        .when(status == "ERROR", F.concat(label, F.lit(" | Deep analysis failed")))
-        .otherwise(F.concat(label, F.lit(" | Deep analysis not available")))
     )
-    return rows.withColumns({"alert_level": level, "alert_message": message})

@@ -5,18 +5,22 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.anomaly import AnomalyParams, add_verdict, reconstruct
 from ..operators.classify import ClassifierPackage, score
 from ..operators.messages import parse_messages, rejected_messages, valid_messages
+from ..operators.ordering import in_ranges, number_ranges
 from ..operators.scaling import scale_features
 from ..operators.sequences import SEQUENCE_LENGTH, newest_rows, rolling_sequences
+from ..operators.stats import EVENTS, SNAPSHOT_EVERY, alerts
 from ..operators.triage import CONFIDENCE_LIMIT, online_triage
 from ..sources.packages import AnomalyPackage
-from ..sources.paths import path_exists, remove_path
+from ..sources.paths import path_exists, remove_path, write_and_read
+from .deltas import MERGE_AFTER, DeltaTable
+from .live import Ledger, record_statistics
 
 TRIGGER = "1 seconds"
 
@@ -117,14 +121,24 @@ def start_cascade(
     keys: Sequence[str] = ("device_id",),
     slice_by: Column | None = None,
     limit: float = CONFIDENCE_LIMIT,
+    stats_interval: int = SNAPSHOT_EVERY,
+    alert_on: Sequence[str] = tuple(EVENTS),
+    merge_after: int = MERGE_AFTER,
+    expire_after: int | None = None,
     trigger: dict | None = None,
 ) -> StreamingQuery:
     """Runs the cascade over a message stream and returns the started query.
 
-    Tables under ``output``: ``results`` and ``rejected``, each with one folder
-    per micro-batch, and ``history``, each device's newest DOUBT vectors. A retried batch rewrites its own folders from
-    the previous batch's history, so each message counts once. The history is a
-    table rather than keyed state so that ``slice_by`` can spread a hot device.
+    Tables under ``output``, each with one folder per micro-batch: ``results``
+    (every valid message, numbered over all devices in ``sample_id``),
+    ``rejected``, ``alerts`` and ``snapshots``; and, as tables that a
+    micro-batch adds its touched keys to, ``history`` (each device's newest
+    DOUBT vectors), ``counters`` and ``attacks``. ``live`` reads them.
+
+    A retried micro-batch rewrites its own folders from what was there before
+    it, so each message counts once. One without messages writes nothing.
+    Devices that were silent for more than ``expire_after`` micro-batches are
+    forgotten: their sequences begin anew.
 
     Arrival order is the micro-batch first, then ``order_by`` (unique per key).
     An output folder with results of another run is refused: a new checkpoint
@@ -134,51 +148,56 @@ def start_cascade(
     if path_exists(spark, f"{output}/results") and not path_exists(spark, f"{checkpoint}/offsets"):
         raise ValueError(f"{output} has results of a run whose checkpoint is not {checkpoint}")
     order = ["_batch", *order_by]
+    arrival = list(dict.fromkeys([*order_by, *keys]))
     carried = list(dict.fromkeys([*keys, *order, "vector"]))
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        parsed = parse_messages(batch, width).persist()
-        triaged = None
-        try:
-            rejected_messages(parsed).write.mode("overwrite").parquet(
-                f"{output}/rejected/batch_id={batch_id}"
-            )
+        session, work = batch.sparkSession, f"{output}/working/{batch_id}"
+        parsed = write_and_read(in_ranges(parse_messages(batch, width), arrival), f"{work}/messages")
+        # The counts that the numbering needs also tell whether there is anything to do.
+        sizes = parsed.groupBy("_range").agg(F.count_if("is_valid")).collect()
+        if sizes:
+            ledger = Ledger(session, output)
+            before = ledger.before(batch_id)
+            rejected_messages(parsed).drop("_range").write.mode("overwrite").parquet(f"{output}/rejected/batch_id={batch_id}")
             valid = valid_messages(parsed).withColumn("_batch", F.lit(batch_id).cast("long"))
-            triaged = classify_messages(valid, tier1, limit).persist()
-            if tier2 is None:
-                results = run_cascade(triaged, None, order)
-            else:
-                results = _judge(triaged, batch_id)
-            results.drop("_batch").write.mode("overwrite").parquet(
-                f"{output}/results/batch_id={batch_id}"
+            numbered = number_ranges(valid, arrival, "sample_id", dict(sizes), start=before.samples)
+            triaged = write_and_read(classify_messages(numbered, tier1, limit), f"{work}/triaged")
+            judged = run_cascade(triaged, None, order) if tier2 is None else judge(triaged, batch_id)
+            results = judged.drop("_batch")
+            target = f"{output}/results/batch_id={batch_id}"
+            results.write.mode("overwrite").parquet(target)
+            written = session.read.schema(results.schema).parquet(target)
+            alerts(written, alert_on).write.mode("overwrite").parquet(f"{output}/alerts/batch_id={batch_id}")
+            after = record_statistics(
+                written, output, batch_id, before, every=stats_interval, merge_after=merge_after, work=work
             )
-        finally:
-            parsed.unpersist()
-            if triaged is not None:
-                triaged.unpersist()
-
-    def _judge(triaged: DataFrame, batch_id: int) -> DataFrame:
+            ledger.write(batch_id, after)
+        remove_path(session, work)
+
+    def newest(rows: DataFrame, batch_id: int) -> DataFrame:
+        """Each device's newest vectors, unless it was silent for too long."""
+        kept = newest_rows(rows, keys, order, tier2.length - 1)
+        if expire_after is None:
+            return kept
+        last = F.max("_batch").over(Window.partitionBy(*keys))
+        return kept.withColumn("_last", last).where(F.col("_last") >= batch_id - expire_after - 1).drop("_last")
+
+    def judge(triaged: DataFrame, batch_id: int) -> DataFrame:
         doubt = triaged.where(F.col("traffic_type") == "DOUBT").withColumn(
             "vector", tier2.vector(F.col("features"))
         )
-        before = f"{output}/history/{batch_id - 1}"
-        if batch_id > 0:
-            # An empty history would pad every device's sequence anew and change its verdicts.
-            if not path_exists(spark, before):
-                raise FileNotFoundError(f"micro-batch {batch_id} needs {before}, which is gone")
-            history = spark.read.parquet(before)
-            wanted = history.join(doubt.select(*keys).distinct(), list(keys), "left_semi")
-            rows = doubt.withColumn("_new", F.lit(True)).unionByName(
-                wanted.withColumn("_new", F.lit(False)), allowMissingColumns=True
-            )
-            known = doubt.select(*carried).unionByName(history)
-        else:
-            rows, known = doubt.withColumn("_new", F.lit(True)), doubt.select(*carried)
-        newest_rows(known, keys, order, tier2.length - 1).write.mode("overwrite").parquet(
-            f"{output}/history/{batch_id}"
+        own = doubt.select(*carried)
+        history = DeltaTable(
+            triaged.sparkSession, f"{output}/history", own.schema, keys, lambda rows: newest(rows, batch_id),
+            merge_after=merge_after,
+        )
+        history.compact(batch_id)
+        held = newest(history.lookup(own, batch_id), batch_id)
+        history.append(batch_id, newest_rows(own, keys, order, tier2.length - 1))
+        rows = doubt.withColumn("_new", F.lit(True)).unionByName(
+            held.withColumn("_new", F.lit(False)), allowMissingColumns=True
         )
-        # The batch before the previous one can no longer be asked for.
-        remove_path(spark, f"{output}/history/{batch_id - 2}")
         # Carried rows only fill sequences: they are judged by no one twice.
         whole_slice = None if slice_by is None else F.struct(
             F.col("_batch").alias("batch"),

@@ -1,6 +1,7 @@
 from types import SimpleNamespace
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,8 +15,10 @@ from flowguard.plans.anomaly import train_anomaly_model
 from flowguard.plans.classifier import score_features, train_flow_classifier, uncertain_extractor
 from flowguard.sources import packages, tables
 from flowguard.sources.bus import MESSAGE_SCHEMA, read_messages
-from flowguard.sources.paths import path_exists, stage, work_folder
+from flowguard.sources.paths import path_exists, remove_path, stage, work_folder
+from flowguard.streaming import rolling
 from flowguard.streaming.cascade import Tier1, Tier2, start_cascade
+from flowguard.streaming.deltas import DeltaTable
 
 
 @pytest.fixture(scope="module")
@@ -191,6 +194,15 @@ def test_monitor_with_trained_packages_equals_batch(spark, classifier, anomaly_r
     assert overall.total == 260 - bad and overall.analysed == doubt.count()
     assert report["snapshots"].where("scope = 'overall'").count() == (260 - bad) // 50
 
+    # What the job has kept says the same as its results.
+    report = monitor.statistics_report(results)
+    final = monitor.final_statistics(spark, out)
+    for name in ("devices", "overall", "attack_types"):
+        assert sorted(map(str, final[name].collect())) == sorted(map(str, report[name].collect()))
+    same = [sorted(map(str, df.collect())) for df in (monitor.recorded_snapshots(spark, out), report["snapshots"])]
+    assert same[0] == same[1] and len(same[0]) > 0
+    assert spark.read.parquet(f"{out}/alerts").count() == results.count()
+
 
 def test_without_a_second_tier(spark, classifier, tmp_path):
     inbox, out = str(tmp_path / "inbox"), str(tmp_path / "out")
@@ -227,8 +239,74 @@ def test_a_retried_batch_gives_the_same_tables(spark, tmp_path):
     run()
     assert sorted(map(str, spark.read.parquet(f"{out}/results").collect())) == first
     assert len(first) == 99 - sum(1 for i in range(1, 100) if i % 17 == 0)
-    kept = [p.name for p in (tmp_path / "out" / "history").iterdir()]
-    assert str(last) in kept and "0" not in kept
+    kept = [p.name for p in (tmp_path / "out" / "history" / "delta").iterdir()]
+    assert str(last) in kept
+    # No sample was numbered or counted twice.
+    rows = spark.read.parquet(f"{out}/results")
+    assert sorted(r.sample_id for r in rows.collect()) == list(range(1, len(first) + 1))
+    assert monitor.final_statistics(spark, out)["overall"].first().total == len(first)
+    same = [sorted(map(str, df.collect())) for df in (monitor.recorded_snapshots(spark, out), monitor.statistics_report(rows)["snapshots"])]
+    assert same[0] == same[1]
+    # Without its ledger entry the next micro-batch would count from nothing.
+    remove_path(spark, f"{out}/ledger/{last}")
+    message_rows(spark, range(100, 110)).write.mode("append").parquet(inbox)
+    with pytest.raises(Exception, match="which is gone"):
+        run()
+
+
+def device_rows(spark, rows):
+    return spark.createDataFrame(rows, "device_id string, n long")
+
+
+@pytest.mark.parametrize("merge_after", [1, 3, 100])
+def test_delta_table_counts_each_micro_batch_once(spark, tmp_path, merge_after):
+    batches = [[("a", 1), ("b", 2)], [("a", 10)], [], [("c", 5), ("b", 1)], [("a", 100)], [("d", 7)], [("a", 1000), ("d", 1)]]
+    total = lambda rows: rows.groupBy("device_id").agg(F.sum("n").alias("n"))
+    table = DeltaTable(spark, str(tmp_path), device_rows(spark, []).schema, ["device_id"], total, buckets=4, merge_after=merge_after)
+    assert table.state().collect() == []
+    want: dict = {}
+    for number, batch in enumerate(batches):
+        after = dict(want)
+        for device, n in batch:
+            after[device] = after.get(device, 0) + n
+        for _ in range(2):  # the second attempt repeats the first
+            table.compact(number)
+            found = total(table.lookup(device_rows(spark, [("a", 0), ("zz", 0)]), number))
+            assert list(map(tuple, found.collect())) == ([("a", want["a"])] if "a" in want else [])
+            assert dict(map(tuple, table.state(number).collect())) == want
+            table.append(number, device_rows(spark, batch))
+            assert dict(map(tuple, table.state().collect())) == after
+        want = after
+    kept = sorted(int(p.name) for p in (tmp_path / "delta").iterdir())
+    assert len(kept) <= 2 * merge_after + 1
+
+
+def test_silent_devices_are_forgotten(spark, tmp_path):
+    """A device that comes back after more than two micro-batches begins a new sequence."""
+    tier1 = Tier1(["BENIGN", "DOUBT"], lambda df: df.withColumn("probability", F.array(F.lit(0.1), F.lit(0.9))))
+    rebuilt = lambda df: df.withColumn("rebuilt", rebuild_by_mean(F.col("sequence")))
+    tier2 = Tier2(lambda f: F.array(F.get(f, F.lit(0))), rebuilt, anomaly.AnomalyParams(1.0, 0, 1), 3)
+
+    def errors(expire_after, merge_after):
+        inbox, out = (str(tmp_path / f"{n}-{expire_after}-{merge_after}") for n in ("inbox", "out"))
+        for number, devices in enumerate(["ab", "b", "b", "b", "ab"]):
+            rows = [(d, f"{10 * number}.0", number) for d in devices]
+            df = spark.createDataFrame(rows, "device_id string, csv_data string, n long")
+            df.select("device_id", "csv_data", F.timestamp_seconds("n").alias("timestamp")).coalesce(1).write.mode("append").parquet(inbox)
+            start_cascade(
+                read_messages(spark, "parquet", path=inbox), tier1, tier2, output=out, checkpoint=f"{out}/checkpoint", width=1,
+                expire_after=expire_after, merge_after=merge_after, trigger={"availableNow": True},
+            ).awaitTermination()
+        last = spark.read.parquet(f"{out}/results").where("batch_id = 4").collect()
+        return {r.device_id: round(r.tier2_detail.reconstruction_error, 6) for r in last}
+
+    kept = errors(None, 20)
+    # a: 40, 0, 40 (padded in front by the current value) against three times 40.
+    assert kept["a"] == pytest.approx(355.555556) and kept["b"] == pytest.approx(66.666667)
+    for merge_after in (1, 20):
+        gone = errors(2, merge_after)
+        assert gone["a"] < 1e-9 and gone["b"] == kept["b"]
+        assert errors(3, merge_after) == kept
 
 
 def test_one_device_with_a_third_of_all_rows_is_split(spark):
@@ -317,3 +395,84 @@ def test_output_of_another_run_is_refused(spark, tmp_path):
     (tmp_path / "out" / "results").mkdir(parents=True)
     with pytest.raises(ValueError, match="checkpoint"):
         start_cascade(spark.range(1), Tier1(["a"], lambda d: d), None, output=str(tmp_path / "out"), checkpoint=str(tmp_path / "cp"))
+
+
+class MapStore(dict):
+    """What SortedRuns needs of a map state."""
+
+    def updateValue(self, key, value):
+        self[key] = value
+
+    def getValue(self, key):
+        return self[key]
+
+    def removeKey(self, key):
+        del self[key]
+
+
+@pytest.mark.parametrize("n, chunk, block, fan", [(1, 3, 2, 2), (50, 7, 3, 2), (400, 9, 4, 3), (400, 50, 100, 32)])
+def test_sorted_runs_merge_in_order_and_in_bounded_parts(n, chunk, block, fan):
+    r = np.random.default_rng(n + fan)
+    rows = pd.DataFrame({"t": r.integers(0, 12, n), "i": r.permutation(n), "v": [[float(x)] for x in range(n)]})
+    store = MapStore()
+    runs = rolling.SortedRuns(store, ["t", "i"], block, fan)
+    for start in range(0, n, chunk):
+        runs.add(rows.iloc[start : start + chunk])
+    parts = list(runs.merged())
+    got = pd.concat(parts, ignore_index=True)
+    want = rows.sort_values(["t", "i"], ignore_index=True)
+    assert got[["t", "i"]].equals(want[["t", "i"]]) and [list(v) for v in got["v"]] == [list(v) for v in want["v"]]
+    assert not store and max(map(len, parts)) <= block * max(fan, sum(map(len, runs.levels)))
+
+
+def test_rolling_state_of_a_key_in_many_chunks(spark, tmp_path):
+    """One key has all rows, which reach the state in chunks of seven."""
+    confs = {
+        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "7",
+    }
+    before = {c: spark.conf.get(c) for c in confs}
+    inbox, out = str(tmp_path / "inbox"), str(tmp_path / "out")
+    schema = T.StructType([T.StructField("device_id", T.StringType()), T.StructField("n", T.LongType()), T.StructField("vector", T.ArrayType(T.DoubleType()))])
+    order = np.random.default_rng(5).permutation(300)
+    try:
+        for c, v in confs.items():
+            spark.conf.set(c, v)
+        for part in (order[:180], order[180:]):
+            rows = [("hot", int(i) + (0 if i in order[:180] else 1000), [float(i)]) for i in part] + [("d", int(part[0]) , [0.5])]
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(inbox)
+            stream = spark.readStream.schema(schema).parquet(inbox)
+            rolling.rolling_sequence_stream(stream, order_by=["n"], length=4).writeStream.format("parquet").option(
+                "checkpointLocation", f"{out}/checkpoint"
+            ).trigger(availableNow=True).start(f"{out}/rows").awaitTermination()
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    got = spark.read.parquet(f"{out}/rows").where("device_id = 'hot'").orderBy("device_sample_no").collect()
+    arrival = [float(i) for i in sorted(order[:180])] + [float(i) for i in sorted(order[180:])]
+    assert [r.device_sample_no for r in got] == list(range(1, 301))
+    for i, r in enumerate(got):
+        window = arrival[max(0, i - 3) : i + 1]
+        assert [v[0] for v in r.sequence] == [arrival[i]] * (4 - len(window)) + window
+
+
+def test_monitor_settings():
+    args = monitor.arguments(["--brokers", "b", "--topic", "t", "--classifier", "c", "--output", "o"])
+    assert (args.stats_interval, args.expire_after) == (25, None)
+    args = monitor.arguments(["--brokers", "b", "--topic", "t", "--classifier", "c", "--output", "o", "--stats-interval", "7"])
+    assert args.stats_interval == 7
+
+
+def test_final_statistics_are_written_when_the_job_is_stopped(spark, tmp_path):
+    class Stopped:
+        stopped = False
+
+        def awaitTermination(self):
+            raise KeyboardInterrupt
+
+        def stop(self):
+            self.stopped = True
+
+    query = Stopped()
+    final = monitor.until_stopped(query, spark, str(tmp_path))
+    assert query.stopped and final["devices"].collect() == [] and path_exists(spark, f"{tmp_path}/final/overall/_SUCCESS")

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowguard.operators import ordering, sampling
+from flowguard.sources.paths import write_and_read
 
 
 def classes(spark, sizes):
@@ -129,3 +130,29 @@ def test_running_totals_cross_blocks(spark):
         got = ordering.running_totals(df, ["k"], "p", ["v"], block=block).collect()
         assert len(got) == 78
         assert all(r.v == sum(1 + q % 3 for q in range(1, r.p + 1)) for r in got)
+
+
+def test_number_ranges_goes_on_from_a_start(spark, tmp_path):
+    df = spark.range(500).select((F.col("id") * 37 % 500).alias("v"), F.lit("x").alias("k")).repartition(7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else there is one range
+    try:
+        ranged = write_and_read(ordering.in_ranges(df, ["v"]), str(tmp_path / "ranged"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = dict(ranged.groupBy("_range").count().collect())
+    got = ordering.number_ranges(ranged, ["v"], "no", sizes, start=1000)
+    assert got.columns == ["v", "k", "no"] and len(sizes) > 1
+    assert all(r.no == r.v + 1001 for r in got.collect())
+
+
+def test_following_crosses_blocks(spark):
+    df = spark.createDataFrame([("a", p) for p in (1, 5, 6, 40)] + [("b", 7)], "k string, p long")
+    for block in (1, 3, 1000):
+        got = {(r.k, r.p): r.n for r in ordering.following(df, ["k"], "p", "n", block=block).collect()}
+        assert got == {("a", 1): 5, ("a", 5): 6, ("a", 6): 40, ("a", 40): None, ("b", 7): None}
+
+
+def test_small_takes_of_large_groups_are_limited_before_the_shuffle(spark):
+    df = spark.range(5000).select(F.lit("g").alias("g"), F.md5(F.col("id").cast("string")).alias("k"))
+    cuts = ordering.rank_cuts(df, "g", "k", {"cut": {"g": 3}}, prefix=1)
+    assert cuts.first()["cut"] == sorted(r.k for r in df.collect())[2]

@@ -105,7 +105,8 @@ def test_attack_maps(spark):
 
 @pytest.mark.parametrize("block", [1, 2, 1000])
 def test_snapshots_list_silent_devices(spark, block):
-    got = stats.statistics_snapshots(triaged(spark, ROWS), 2, block=block)
+    changes = stats.statistics_changes(stats.snapshot_counts(triaged(spark, ROWS), 2), 2, block=block)
+    got = stats.snapshots_at(changes, [2, 4, 6])
     table = {(r.at_sample, r.device_id): r.total for r in got.collect()}
     assert table == {
         (2, "a"): 1, (2, "b"): 1, (2, None): 2,
@@ -114,17 +115,53 @@ def test_snapshots_list_silent_devices(spark, block):
     }
 
 
+@pytest.mark.parametrize("block", [1, 2, 1000])
+def test_change_rows_hold_until_the_next_change(spark, block):
+    changes = stats.statistics_changes(stats.snapshot_counts(triaged(spark, ROWS), 2), 2, block=block)
+    rows = {(r.scope, r.device_id, r.valid_from): (r.valid_to, r.total) for r in changes.collect()}
+    assert rows == {
+        ("device", "a", 2): (4, 1), ("device", "a", 4): (None, 3),
+        ("device", "b", 2): (6, 1), ("device", "b", 6): (None, 2),
+        ("device", "c", 6): (None, 1),
+        ("overall", None, 2): (4, 2), ("overall", None, 4): (6, 4), ("overall", None, 6): (None, 6),
+    }
+
+
+def test_snapshots_between_and_before_snapshots(spark):
+    changes = stats.statistics_changes(stats.snapshot_counts(triaged(spark, ROWS), 2), 2)
+    got = {(r.at_sample, r.device_id): r.total for r in stats.snapshots_at(changes, [1, 3, 3, 99]).collect()}
+    assert got == {
+        (3, "a"): 1, (3, "b"): 1, (3, None): 2, (99, "a"): 3, (99, "b"): 2, (99, "c"): 1, (99, None): 6,
+    }
+    assert stats.snapshots_at(changes, []).collect() == []
+    nothing = stats.statistics_changes(stats.snapshot_counts(triaged(spark, ROWS[:1]), 2), 2)
+    assert nothing.collect() == [] and stats.snapshots_at(nothing, [2]).collect() == []
+
+
+def test_change_rows_grow_with_changes(spark):
+    """One busy device and many that spoke once: no row for what stayed the same."""
+    rows = [(i, f"d{i}" if i <= 50 else "busy", "BENIGN", "BENIGN", None) for i in range(1, 301)]
+    changes = stats.statistics_changes(stats.snapshot_counts(triaged(spark, rows), 10), 10, block=3)
+    assert changes.count() == 50 + 25 + 30
+
+
 def test_alerts(spark):
     rows = triaged(spark, ROWS).withColumn("confidence", F.lit(0.5)).withColumn(
         "tier2_detail",
-        F.expr("named_struct('reconstruction_error', 2.0D, 'threshold', 1.0D, 'anomaly_score', 2.0D)"),
+        F.expr(
+            "CASE WHEN tier2_status IN ('ANOMALY', 'BENIGN') THEN named_struct('reconstruction_error', 2.0D, "
+            "'threshold', 1.0D, 'anomaly_score', 2.0D, 'model_type', 'standard') END"
+        ),
     )
-    got = {r.sample_id: (r.alert_level, r.alert_message) for r in stats.add_alerts(rows).collect()}
-    assert got[1] == ("INFO", "Sample #0001 (a) | Benign traffic | Confidence 0.500")
-    assert got[2] == ("ALERT", "Sample #0002 (b) | DoS attack detected | Confidence 0.500")
-    assert got[3][0] == "ALERT" and "confirmed anomaly | Error 2.00000000" in got[3][1]
-    assert got[4] == ("WARNING", "Sample #0004 (a) | Deep analysis failed")
-    assert got[5] == ("WARNING", "Sample #0005 (c) | Deep analysis not available")
+    got = {r.sample_id: r for r in stats.alerts(rows).collect()}
+    assert {n: (r.level, r.event) for n, r in got.items()} == {
+        1: ("INFO", "benign"), 2: ("ALERT", "attack"), 3: ("ALERT", "confirmed_anomaly"), 4: ("WARNING", "analysis_failed"),
+        5: ("WARNING", "analysis_off"), 6: ("ALERT", "attack"), 7: ("INFO", "benign"),
+    }
+    assert (got[2].attack_class, got[2].device_id, got[2].confidence) == ("DoS", "b", 0.5)
+    assert (got[3].reconstruction_error, got[3].threshold, got[3].model_type, got[3].attack_class) == (2.0, 1.0, "standard", None)
+    assert got[4].reconstruction_error is None
+    assert [r.sample_id for r in stats.alerts(rows, ["confirmed_anomaly"]).collect()] == [3]
 
 
 def test_active_devices_are_sorted(spark):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from flowguard.operators import metrics, ordering, stats, triage
+from flowguard.sources.paths import stage
 
 from .testmap import CLASSES, LINE_KEY, SCORES, rounded, scores, sql
 
@@ -341,4 +342,8 @@ _SNAPSHOT = 500
       FROM per_device GROUP BY shot""",
 )
 def snapshots(spark, sf):
-    return stats.statistics_snapshots(numbered(spark, sf), _SNAPSHOT)
+    """Dense snapshots after every 500th sample, looked up in the changes of every 25th."""
+    counts = stage(stats.snapshot_counts(numbered(spark, sf)), "snapshot-counts")
+    last = counts.agg(F.sum("total")).first()[0] // _SNAPSHOT
+    at = [_SNAPSHOT * k for k in range(1, last + 1)]
+    return stats.snapshots_at(stats.statistics_changes(counts), at)
