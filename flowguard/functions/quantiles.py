@@ -52,7 +52,7 @@ def quantiles(
 ) -> dict[str, list[float | None]]:
     """Quantiles of each column, NULLs ignored; an all-NULL column gives ``None``.
 
-    ``counts`` passes on the numbers of non-NULL values where they are known.
+    ``df`` is read in several passes: hand in a written table. ``counts`` passes on the numbers of non-NULL values where they are known.
     """
     columns, probabilities = list(columns), list(probabilities)
     if not columns:
@@ -88,6 +88,29 @@ def quantiles(
     return result
 
 
+# Groups whose quantiles are found in one fit.
+MOST_GROUPS = 100
+
+
+def quantiles_by(
+    df: DataFrame, group: str, columns: Sequence[str], probabilities: Sequence[float], *, exact: bool = True
+) -> dict[object, dict[str, list[float | None]]]:
+    """Quantiles of each column within each value of ``group``, in one set of passes.
+
+    Each group's values of a column are a column of their own to ``quantiles``,
+    which shares its passes among all of them. Rows without a group are left
+    out. Like ``quantiles``, it reads ``df`` several times: hand in a written
+    table. More than ``MOST_GROUPS`` groups are refused.
+    """
+    names = [r[0] for r in df.select(group).where(F.col(group).isNotNull()).distinct().limit(MOST_GROUPS + 1).collect()]
+    if len(names) > MOST_GROUPS:
+        raise ValueError(f"{group} has more than {MOST_GROUPS} values")
+    own = {(n, c): f"g{i}_{j}" for i, n in enumerate(sorted(names)) for j, c in enumerate(columns)}
+    parts = df.select(*[F.when(F.col(group) == F.lit(n), F.col(c).cast("double")).alias(a) for (n, c), a in own.items()])
+    found = quantiles(parts, list(own.values()), probabilities, exact=exact)
+    return {n: {c: found[own[n, c]] for c in columns} for n in sorted(names)}
+
+
 def _find(data: DataFrame, targets: list[_Target], picked: int, accuracy: int) -> None:
     open_ = targets
     while open_:

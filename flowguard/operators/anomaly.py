@@ -7,11 +7,11 @@ fitted matrix is small enough to travel with each scoring task.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector
@@ -57,22 +57,30 @@ def reconstruct(
     mean = model.stages[0].mean.toArray()
     basis = model.stages[1].pc.toArray()
 
-    @F.pandas_udf("array<array<double>>")
-    def rebuild(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            out = pd.Series([None] * len(batch), index=batch.index, dtype=object)
-            windows = {
-                i: np.stack(w).astype(float)
-                for i, w in batch.items()
-                if w is not None and all(r is not None for r in w)
-            }
-            fits = {i: w for i, w in windows.items() if w.size == mean.size}
-            if fits:
-                x = np.stack([w.ravel() for w in fits.values()])
-                y = mean + (x - mean) @ basis @ basis.T
-                for (i, w), r in zip(fits.items(), y):
-                    out[i] = r.reshape(w.shape).tolist()
-            yield out
+    @F.arrow_udf("array<array<double>>")
+    def rebuild(windows: pa.Array) -> pa.Array:
+        """All windows of a batch at once, over their flat cells."""
+        rows = windows.flatten()
+        sizes = pc.fill_null(pc.list_value_length(windows), 0).to_numpy(zero_copy_only=False)
+        widths = pc.list_value_length(rows)
+        cells = rows.flatten().to_numpy(zero_copy_only=False).astype(float)
+        # A window's cells lie between two row edges; a missing row has none.
+        edges = np.concatenate([[0], np.cumsum(pc.fill_null(widths, 0).to_numpy(zero_copy_only=False))])
+        missing = np.concatenate([[0], np.cumsum(widths.is_null().to_numpy(zero_copy_only=False))])
+        ends = np.cumsum(sizes)
+        starts = ends - sizes
+        fits = windows.is_valid().to_numpy(zero_copy_only=False)
+        fits &= (edges[ends] - edges[starts] == mean.size) & (missing[ends] == missing[starts])
+        chosen = np.flatnonzero(fits)
+        at = edges[starts[chosen]][:, None] + np.arange(mean.size)[None, :]
+        x = cells[at] if len(chosen) else np.empty((0, mean.size))
+        y = mean + (x - mean) @ basis @ basis.T
+        kept = np.concatenate([np.arange(s, e) for s, e in zip(starts[chosen], ends[chosen])]) if len(chosen) else np.empty(0, int)
+        lengths = (edges[1:] - edges[:-1])[kept]
+        inner = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(y.ravel()))
+        counts = np.where(fits, sizes, 0)
+        outer = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32(), mask=np.concatenate([~fits, [False]]))
+        return pa.ListArray.from_arrays(outer, inner)
 
     return sequences.withColumn(output, rebuild(F.col(column)))
 

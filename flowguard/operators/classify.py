@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bounded import compute_once, small_table
+from .boosting import BoostedModel, boosted_probabilities, fit_boosted, losses_by_round
 from .labels import encode
 from .scaling import ScaleParams, scale_features
 
@@ -30,7 +31,7 @@ TOP_FEATURES = 20
 class ClassifierPackage:
     """Everything scoring needs: model, scaler, class order, feature order."""
 
-    model: PipelineModel
+    model: PipelineModel | BoostedModel
     scaler: ScaleParams
     classes: list[str]
     feature_columns: list[str] = field(default_factory=list)
@@ -54,11 +55,18 @@ def train_classifier(
 ) -> ClassifierPackage:
     """Trains on unscaled rows, scaling them with the fitted scaler.
 
-    ``forest`` is one multiclass random forest. ``boosted`` is one binary
-    gradient-boosted ensemble per class, whose probabilities are normalised;
-    MLlib's boosted trees are binary only.
+    ``forest`` is one multiclass random forest. ``joint`` boosts one sequence of
+    trees for all classes together: see ``boosting``. ``boosted`` is one binary
+    gradient-boosted ensemble of MLlib per class, whose probabilities are
+    normalised.
     """
     columns = list(scaler.columns)
+    if method == "joint":
+        model = fit_boosted(
+            train, _scaled(F.array(*[F.col(c).cast("double") for c in columns]), scaler), encode(F.col(label), classes),
+            len(classes), columns, rounds=trees, depth=depth, step=step, row_share=row_share, column_share=column_share, seed=seed,
+        )
+        return ClassifierPackage(model, scaler, list(classes), columns, method, list(range(len(classes))))
     rows = train.select(
         encode(F.col(label), classes).cast("double").alias("label"),
         array_to_vector(_scaled(F.array(*columns), scaler)).alias("vector"),
@@ -106,6 +114,10 @@ def score(df: DataFrame, package: ClassifierPackage, features: Column | None = N
     """
     if features is None:
         features = F.array(*[F.col(c).cast("double") for c in package.feature_columns])
+    if package.method == "joint":
+        scaled = _scaled(features, package.scaler)
+        share = boosted_probabilities(package.model, scaled, len(package.feature_columns))
+        return df.select("*", compute_once(share).alias("probability"))
     rows = df.withColumn("vector", array_to_vector(_scaled(features, package.scaler)))
     scored = package.model.transform(rows)
     n = len(package.classes)
@@ -126,9 +138,25 @@ def score(df: DataFrame, package: ClassifierPackage, features: Column | None = N
 
 def feature_importances(package: ClassifierPackage, df: DataFrame, top: int = TOP_FEATURES) -> DataFrame:
     """(feature, importance), the most important first."""
-    values = np.mean([m.featureImportances.toArray() for m in package.model.stages], axis=0)
+    if package.method == "joint":
+        values = package.model.importances()
+    else:
+        values = np.mean([m.featureImportances.toArray() for m in package.model.stages], axis=0)
     rows = [
         {"feature": c, "importance": float(v)} for c, v in zip(package.feature_columns, values)
     ]
     table = small_table(df.sparkSession, rows, "feature string, importance double")
     return table.orderBy(F.desc("importance"), F.asc("feature")).limit(top)
+
+
+def loss_by_round(
+    df: DataFrame, package: ClassifierPackage, *, label: str = "Label", part: Column | None = None
+) -> DataFrame:
+    """(part, round, log_loss, n) of a jointly boosted package: the loss after each of its rounds."""
+    if package.method != "joint":
+        raise ValueError(f"a {package.method!r} package has no rounds")
+    features = _scaled(F.array(*[F.col(c).cast("double") for c in package.feature_columns]), package.scaler)
+    index = encode(F.col(label), package.classes)
+    return losses_by_round(
+        df, package.model, features, index, len(package.feature_columns), F.lit("all") if part is None else part
+    )

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bounded import small_table
-from ..functions.quantiles import quantiles
+from ..functions.quantiles import quantiles, quantiles_by
 
 BINS = 50
 QQ_POINTS = 99
@@ -60,53 +60,34 @@ def error_scatter(detected: DataFrame, index: list[str]) -> DataFrame:
     return detected.select(*index, "mse", "mae", "is_anomaly")
 
 
-def box_summary(detected: DataFrame, column: str = "mse") -> DataFrame:
-    """Box-plot numbers per class: quartiles, whiskers, outlier count.
+def box_summary(detected: DataFrame, column: str = "mse", by: str = "is_anomaly", *, least_groups: int = 2) -> DataFrame:
+    """Box-plot numbers per value of ``by``: quartiles, whiskers, outlier count.
 
-    Whiskers reach the outermost values within 1.5 IQR of the box. Empty unless
-    both classes occur.
+    Whiskers reach the outermost values within 1.5 IQR of the box. Empty where
+    fewer than ``least_groups`` groups occur: by default, unless both classes do.
+    All groups come from one set of passes.
     """
     spark = detected.sparkSession
-    rows = []
-    for flag in (False, True):
-        part = detected.where(F.col("is_anomaly") == flag)
-        q1, median, q3 = quantiles(part, [column], [0.25, 0.5, 0.75])[column]
-        if q1 is None:
-            return small_table(spark, [], _BOX)
-        rows.append((flag, q1, median, q3))
-    measures = []
-    for flag, q1, _, q3 in rows:
-        reach = 1.5 * (q3 - q1)
-        mine = F.col("is_anomaly") == flag
-        inside = mine & F.col(column).between(q1 - reach, q3 + reach)
-        tag = str(flag).lower()
-        measures += [
-            F.count_if(mine).alias(f"n_{tag}"),
-            F.min(F.when(inside, F.col(column))).alias(f"low_{tag}"),
-            F.max(F.when(inside, F.col(column))).alias(f"high_{tag}"),
-            F.count_if(mine & ~inside).alias(f"out_{tag}"),
-        ]
-    found = detected.agg(*measures).first()
-    return small_table(
-        spark,
-        [
-            {
-                "is_anomaly": flag,
-                "n": found[f"n_{str(flag).lower()}"],
-                "q1": q1,
-                "median": median,
-                "q3": q3,
-                "low_whisker": found[f"low_{str(flag).lower()}"],
-                "high_whisker": found[f"high_{str(flag).lower()}"],
-                "outliers": found[f"out_{str(flag).lower()}"],
-            }
-            for flag, q1, median, q3 in rows
-        ],
-        _BOX,
+    kind = detected.schema[by].dataType.simpleString()
+    schema = f"`{by}` {kind}, n long, {_BOX}"
+    boxes = {g: q[column] for g, q in quantiles_by(detected, by, [column], [0.25, 0.5, 0.75]).items() if q[column][0] is not None}
+    if len(boxes) < max(1, least_groups):
+        return small_table(spark, [], schema)
+    fences = [
+        {by: g, "q1": q1, "median": median, "q3": q3, "_low": q1 - 1.5 * (q3 - q1), "_high": q3 + 1.5 * (q3 - q1)}
+        for g, (q1, median, q3) in boxes.items()
+    ]
+    table = small_table(spark, fences, f"`{by}` {kind}, q1 double, median double, q3 double, _low double, _high double")
+    value = F.col(column).cast("double")
+    inside = value.between(F.col("_low"), F.col("_high"))
+    joined = detected.select(by, value.alias(column)).join(F.broadcast(table), by)
+    return joined.groupBy(by).agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.first(c).alias(c) for c in ("q1", "median", "q3")],
+        F.min(F.when(inside, value)).alias("low_whisker"),
+        F.max(F.when(inside, value)).alias("high_whisker"),
+        F.count_if(~inside).alias("outliers"),
     )
 
 
-_BOX = (
-    "is_anomaly boolean, n long, q1 double, median double, q3 double, "
-    "low_whisker double, high_whisker double, outliers long"
-)
+_BOX = "q1 double, median double, q3 double, low_whisker double, high_whisker double, outliers long"

@@ -87,6 +87,7 @@ def train_flow_classifier(
         "importances": classify.feature_importances(package, flows),
         "losses": _losses(balanced, part["validation"], package, label),
         "triage": triage.training_triage_summary(triaged),
+        **({"loss_by_round": _loss_by_round(balanced, part["validation"], package, label)} if package.method == "joint" else {}),
         "uncertain": uncertain,
     }
     return ClassifierRun(package, params, tables)
@@ -96,12 +97,24 @@ def _losses(
     train: DataFrame, validation: DataFrame, package: classify.ClassifierPackage, label: str
 ) -> DataFrame:
     """(part, log_loss, n) for training and validation rows."""
+    scored = classify.score(_parts(train, validation, package, label), package)
+    return metrics.log_loss(scored, package.classes, actual=label, by=["part"])
+
+
+def _loss_by_round(
+    train: DataFrame, validation: DataFrame, package: classify.ClassifierPackage, label: str
+) -> DataFrame:
+    """(part, round, log_loss, n) for training and validation rows, from one pass."""
+    return classify.loss_by_round(_parts(train, validation, package, label), package, label=label, part=F.col("part"))
+
+
+def _parts(
+    train: DataFrame, validation: DataFrame, package: classify.ClassifierPackage, label: str
+) -> DataFrame:
     columns = [*package.feature_columns, label]
-    both = train.select(*columns, F.lit("train").alias("part")).unionByName(
+    return train.select(*columns, F.lit("train").alias("part")).unionByName(
         validation.select(*columns, F.lit("validation").alias("part"))
     )
-    scored = classify.score(both, package)
-    return metrics.log_loss(scored, package.classes, actual=label, by=["part"])
 
 
 def score_features(

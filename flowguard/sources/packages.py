@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.bounded import small_table
 from ..functions.numbers import DEFAULT_THRESHOLD
 from ..operators.anomaly import AnomalyParams
+from ..operators.boosting import BoostedModel, Tree
 from ..operators.classify import ClassifierPackage
 from ..operators.scaling import ScaleParams
 from ..operators.sequences import SEQUENCE_LENGTH
@@ -68,7 +70,10 @@ def _write_row(spark: SparkSession, row: dict, schema: str, path: str) -> None:
 
 
 def save_classifier(spark: SparkSession, package: ClassifierPackage, path: str) -> None:
-    package.model.write().overwrite().save(f"{path}/model")
+    if package.method == "joint":
+        _save_boosted(spark, package.model, f"{path}/model")
+    else:
+        package.model.write().overwrite().save(f"{path}/model")
     row = {
         "feature_columns": package.feature_columns,
         "classes": package.classes,
@@ -78,6 +83,30 @@ def save_classifier(spark: SparkSession, package: ClassifierPackage, path: str)
     _write_row(spark, row, _CLASSIFIER, path)
 
 
+_TREES = "round long, feature array<int>, bin array<int>, gain array<double>, value array<array<double>>"
+
+
+def _save_boosted(spark: SparkSession, model: BoostedModel, path: str) -> None:
+    """Trees as rows, and the edges and first margins as one row."""
+    trees = [
+        {"round": i, "feature": t.feature.tolist(), "bin": t.bin.tolist(), "gain": t.gain.tolist(), "value": t.value.tolist()}
+        for i, t in enumerate(model.trees)
+    ]
+    small_table(spark, trees, _TREES).write.mode("overwrite").parquet(f"{path}/trees")
+    start = [{"edges": model.edges, "start": model.start}]
+    small_table(spark, start, "edges array<array<double>>, start array<double>").write.mode("overwrite").parquet(f"{path}/start")
+
+
+def _load_boosted(spark: SparkSession, path: str) -> BoostedModel:
+    row = spark.read.parquet(f"{path}/start").first()
+    trees = spark.read.parquet(f"{path}/trees").orderBy("round").collect()
+    return BoostedModel(
+        [list(e) for e in row["edges"]],
+        list(row["start"]),
+        [Tree(np.array(t.feature, np.int32), np.array(t.bin, np.int32), np.array(t.gain), np.array(t.value)) for t in trees],
+    )
+
+
 def load_classifier(spark: SparkSession, path: str) -> ClassifierPackage:
     """Fails when the package is absent or one of its parts is missing."""
     for part in ("model", "params"):
@@ -88,8 +117,9 @@ def load_classifier(spark: SparkSession, path: str) -> ClassifierPackage:
     for part in CLASSIFIER_PARTS:
         if not found.get(part):
             raise KeyError(f"{path}: missing {part}")
+    joint = row["method"] == "joint"
     return ClassifierPackage(
-        PipelineModel.load(f"{path}/model"),
+        _load_boosted(spark, f"{path}/model") if joint else PipelineModel.load(f"{path}/model"),
         _scaler(row),
         list(row["classes"]),
         list(row["feature_columns"]),

@@ -28,6 +28,30 @@ def children(spark: SparkSession, path: str) -> list[str]:
     return sorted(f.getPath().getName() for f in system.listStatus(target)) if system.exists(target) else []
 
 
+def first_line(spark: SparkSession, path: str, block: int = 1 << 16) -> str | None:
+    """The first line of a text file in any store that Spark reads, or None where it is empty.
+
+    Reads one block, or as many as the line is long; compressed files are
+    decompressed as Spark does it, by their names.
+    """
+    hadoop = spark._jvm.org.apache.hadoop
+    conf, target = spark._jsc.hadoopConfiguration(), hadoop.fs.Path(path)
+    codec = hadoop.io.compress.CompressionCodecFactory(conf).getCodec(target)
+    stream = target.getFileSystem(conf).open(target)
+    try:
+        stream = stream if codec is None else codec.createInputStream(stream)
+        data = b""
+        while not (b"\n" in data or b"\r" in data[:-1]):
+            part = bytes(stream.readNBytes(block))
+            data += part
+            if len(part) < block:
+                break
+    finally:
+        stream.close()
+    lines = data.decode("utf-8", "replace").removeprefix("\ufeff").splitlines()
+    return lines[0] if lines else None
+
+
 def work_folder(spark: SparkSession, name: str) -> str:
     """A new folder under the cluster's shared ``spark.checkpoint.dir``.
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Callable, Sequence
 from multiprocessing.pool import ThreadPool
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .paths import path_exists, write_and_read
+from .paths import first_line, path_exists, write_and_read
 
 # Header lines that are read at the same time.
 HEADERS_AT_ONCE = 16
@@ -41,6 +42,8 @@ def read_labelled_flows(
     else:
         groups = {None: [path]}
     parts = [_read_alike(spark, files, header, schema, file_format) for header, files in groups.items()]
+    if not parts:
+        raise ValueError(f"{path} has no file with a header")
     df = parts[0]
     for part in parts[1:]:
         df = df.unionByName(part)
@@ -48,19 +51,28 @@ def read_labelled_flows(
 
 
 def _files_by_header(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
-    """The files below ``path`` by their header line, of which only the first line is read."""
+    """The files below ``path`` by their header line.
+
+    Only the first block of each file is read, several at a time, and no Spark
+    job is run for it, however many files there are.
+    """
     files = sorted(spark.read.text(path).inputFiles())
-    if len(files) < 2:
-        return {tuple(spark.read.option("header", True).csv(path).columns): [path]}
     with ThreadPool(HEADERS_AT_ONCE) as pool:
-        headers = pool.map(lambda f: tuple(spark.read.option("header", True).csv(f).columns), files)
+        lines = pool.map(lambda f: first_line(spark, f), files)
     groups: dict[tuple[str, ...], list[str]] = {}
-    for header, file in zip(headers, files, strict=True):
-        if header:  # an empty file has none
-            groups.setdefault(header, []).append(file)
+    for line, file in zip(lines, files, strict=True):
+        if line:  # an empty file has none
+            groups.setdefault(header_names(line), []).append(file)
     return groups
 
 
+def header_names(line: str) -> tuple[str, ...]:
+    """The column names of a header line, made unique as Spark does it: empty and repeated ones get their place."""
+    fields = next(csv.reader([line], escapechar="\\", doublequote=False))
+    seen = [f.lower() for f in fields]
+    return tuple(f"_c{i}" if not f else f"{f}{i}" if seen.count(f.lower()) > 1 else f for i, f in enumerate(fields))
+
+
 def _read_alike(
     spark: SparkSession, files: list[str], header: tuple[str, ...] | None, schema: T.StructType | None, file_format: str
 ) -> DataFrame:
@@ -72,6 +84,7 @@ def _read_alike(
         types = {f.name: f.dataType for f in schema.fields}
         reader = reader.schema(T.StructType([T.StructField(h, types.get(plain_name(h), T.StringType())) for h in header]))
     elif header is not None:
+        # Types are discovered over the whole text of all the files of this header, in one pass.
         reader = reader.option("inferSchema", True)
     elif schema is not None:
         reader = reader.schema(schema)

@@ -476,3 +476,32 @@ def test_final_statistics_are_written_when_the_job_is_stopped(spark, tmp_path):
     query = Stopped()
     final = monitor.until_stopped(query, spark, str(tmp_path))
     assert query.stopped and final["devices"].collect() == [] and path_exists(spark, f"{tmp_path}/final/overall/_SUCCESS")
+
+
+def test_headers_of_many_files_take_no_job_each(spark, tmp_path):
+    import gzip
+
+    from flowguard.sources.paths import first_line
+
+    folder = tmp_path / "many"
+    folder.mkdir()
+    for i in range(40):
+        names = ["x", "y", "Label"] if i % 2 else ["Label", "y", "x"]
+        values = {"x": str(i), "y": "1.5", "Label": '"a,b"'}
+        (folder / f"{i}.csv").write_text(",".join(names) + "\n" + ",".join(values[n] for n in names) + "\n")
+    (folder / "empty.csv").write_text("")
+    with gzip.open(folder / "z.csv.gz", "wt") as f:
+        f.write("y,x,Label\n2.5,99,c\n")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("headers", "")
+    got = tables.read_labelled_flows(spark, str(folder), T.StructType([*tables.flow_schema(["x", "y"]).fields, T.StructField("Label", T.StringType())]))
+    assert len(tracker.getJobIdsForGroup("headers")) <= 2  # Spark lists the folder
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    rows = sorted(map(tuple, got.collect()))
+    assert rows == [(float(i), 1.5, "a,b") for i in range(40)] + [(99.0, 2.5, "c")]
+    assert first_line(spark, str(folder / "1.csv"), block=1) == "x,y,Label" and first_line(spark, str(folder / "empty.csv")) is None
+    assert tables.header_names('a,"b,c",,a,D') == ("a0", "b,c", "_c2", "a3", "D")
+    with pytest.raises(ValueError, match="no file"):
+        (tmp_path / "none").mkdir()
+        (tmp_path / "none" / "e.csv").write_text("")
+        tables.read_labelled_flows(spark, str(tmp_path / "none"))

@@ -169,3 +169,39 @@ def test_overfit_ratio(spark):
     row = anomaly.overfit_ratio(both).first()
     assert row.train_mse == 2.0 and row.overfit_ratio == 0.5
     assert math.isclose(anomaly.split_errors(both).where("split='train'").first().mae, 1.0)
+
+
+def test_boxes_of_any_grouping_in_one_set_of_passes(spark):
+    rng = np.random.default_rng(8)
+    rows = [(["p", "q", "r", None][i % 4], float(v)) for i, v in enumerate(rng.normal(size=400) ** 3)] + [("r", None)]
+    df = spark.createDataFrame(rows, "part string, mse double")
+    boxes = {r.part: r for r in diagnostics.box_summary(df, "mse", "part").collect()}
+    assert set(boxes) == {"p", "q", "r"}
+    for name, box in boxes.items():
+        v = np.array([x for p, x in rows if p == name and x is not None])
+        q1, median, q3 = np.quantile(v, [0.25, 0.5, 0.75])
+        inside = v[(v >= q1 - 1.5 * (q3 - q1)) & (v <= q3 + 1.5 * (q3 - q1))]
+        assert np.allclose([box.q1, box.median, box.q3, box.low_whisker, box.high_whisker], [q1, median, q3, inside.min(), inside.max()])
+        assert box.outliers == len(v) - len(inside)
+    assert diagnostics.box_summary(df.where("part = 'p'"), "mse", "part").count() == 0
+    assert diagnostics.box_summary(df.where("part = 'p'"), "mse", "part", least_groups=1).count() == 1
+    with pytest.raises(ValueError, match="more than"):
+        diagnostics.box_summary(df.withColumn("part", F.monotonically_increasing_id()), "mse", "part")
+
+
+def test_reconstruction_of_odd_windows(spark):
+    """Missing windows, missing rows, other widths and NULL cells, among good windows of one batch."""
+    rng = np.random.default_rng(9)
+    good = rng.normal(size=(60, 3, 2)).tolist()
+    model = anomaly.fit_reconstruction(spark.createDataFrame([(w,) for w in good], "sequence array<array<double>>"), 2)
+    odd = [None, [], [[1.0, 2.0]], [[1.0, 2.0], None, [3.0, 4.0]], [[1.0], [2.0], [3.0]], [[1.0, None], [2.0, 3.0], [4.0, 5.0]]]
+    rows = [(i, w) for i, w in enumerate([good[0], *odd[:3], good[1], *odd[3:], good[2]])]
+    df = spark.createDataFrame(rows, "i int, sequence array<array<double>>").coalesce(1)
+    got = {r.i: r.rebuilt for r in anomaly.reconstruct(df, model).collect()}
+    mean, basis = model.stages[0].mean.toArray(), model.stages[1].pc.toArray()
+    for i, w in rows:
+        if w in good:
+            x = np.array(w).ravel()
+            assert np.allclose(np.array(got[i]).ravel(), mean + (x - mean) @ basis @ basis.T)
+    assert [got[i] for i, w in rows if w is None or w == [] or None in w or len(w) < 3 or len(w[0]) < 2] == [None] * 5
+    assert np.isnan(np.array(got[7])).any()

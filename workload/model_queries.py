@@ -1,11 +1,14 @@
 """Trained models, saved packages and file sources.
 
-Fitted numbers have no SQL counterpart; what SQL can say about them (row counts,
-probability sums, round trips) is compared, the rest is rows only.
+Fitted numbers have no SQL counterpart; what SQL can say about them is compared:
+row counts, probability sums, losses against the class shares, variances, round
+trips.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,23 +52,99 @@ def trained(rows, **settings):
     )
 
 
+#: Less than the defaults, for queries whose point isn't the model, and for the timings.
 SMALL = dict(trees=10, depth=4)
 
+_GROUPED = f"""flows AS ({sql(_FLOWS)}), grouped AS (SELECT *, CASE WHEN Label IN ('DoS Hulk', 'DDoS') THEN 'DoS'
+  WHEN Label = 'PortScan' THEN 'Reconnaissance' WHEN Label = 'FTP-Patator' THEN 'Brute Force' WHEN Label = 'Bot' THEN 'Malware'
+  WHEN Label = 'Heartbleed' THEN 'Advanced Attack' ELSE Label END AS class FROM flows),
+shares AS (SELECT class, count(*) AS n, count(*) / sum(count(*)) OVER () AS share FROM grouped GROUP BY class)"""
+# The loss of a model that always answers with the class shares.
+_BY_CLASS = f"""WITH {_GROUPED} SELECT class AS "Label", n, true AS better_than_shares FROM shares"""
+
+
+def by_class(rows, package):
+    """Rows of each class, and whether the model's loss is below that of the class shares."""
+    scored = stage(classify.score(rows, package).select("Label", "probability"), "scored")
+    loss = metrics.log_loss(scored, package.classes, actual="Label").first()["log_loss"]
+    counts = scored.groupBy("Label").agg(F.count(F.lit(1)).alias("n"))
+    shares = [r.n for r in counts.collect()]
+    entropy = -sum(n / sum(shares) * math.log(n / sum(shares)) for n in shares)
+    return counts.withColumn("better_than_shares", F.lit(loss < entropy))
 
-@query("M1_train_forest")
+
+@query("M1_train_forest", _BY_CLASS)
 def train_forest(spark, sf):
-    """Training and validation log-loss of a multiclass forest."""
+    """A small multiclass forest against the class shares."""
     rows = flows(spark, sf)
-    package = trained(rows, **SMALL)
-    return metrics.log_loss(classify.score(rows, package), package.classes, actual="Label", by=["Label"])
+    return by_class(rows, trained(rows, **SMALL))
+
 
+@query("M1_train_forest_default", _BY_CLASS)
+def train_default_forest(spark, sf):
+    """The same with the default settings: 250 trees of depth 6."""
+    rows = flows(spark, sf)
+    return by_class(rows, trained(rows))
 
-@query("M1_train_boosted")
+
+@query("M1_train_boosted", _BY_CLASS)
 def train_boosted(spark, sf):
     """One boosted ensemble per class, normalised."""
     rows = flows(spark, sf)
-    package = trained(rows, method="boosted", trees=3, depth=3)
-    return metrics.log_loss(classify.score(rows, package), package.classes, actual="Label", by=["Label"])
+    return by_class(rows, trained(rows, method="boosted", trees=3, depth=3))
+
+
+#: Rounds of the registered queries; the default is 250.
+ROUNDS = 30
+
+
+@query(
+    "M1_joint_boosting",
+    f"WITH {_GROUPED} SELECT sum(n)::BIGINT AS n, round(-sum(share * ln(share)), 6) AS loss_of_shares, true AS below_shares, "
+    "true AS below_forest FROM shares",
+)
+def joint_boosting(spark, sf):
+    """Boosting over all classes together ends below the class shares and below the default forest."""
+    rows = flows(spark, sf)
+    package = trained(rows, method="joint", trees=ROUNDS)
+    scored = stage(classify.score(rows, package).select("Label", "probability"), "scored")
+    forest = metrics.log_loss(classify.score(rows, trained(rows)), package.classes, actual="Label").first()["log_loss"]
+    first = classify.loss_by_round(rows, package).where("round = 0").first()["log_loss"]
+    return metrics.log_loss(scored, package.classes, actual="Label").select(
+        "n",
+        F.lit(round(first, 6)).alias("loss_of_shares"),
+        (F.col("log_loss") < first).alias("below_shares"),
+        (F.col("log_loss") < forest).alias("below_forest"),
+    )
+
+
+@query(
+    "M15_loss_by_round",
+    f"""WITH {_GROUPED}, parts AS (SELECT class, CASE WHEN l_orderkey % 5 = 0 THEN 'validation' ELSE 'train' END AS part FROM grouped),
+    prior AS (SELECT class, ln(count(*) / sum(count(*)) OVER ()) AS l FROM parts WHERE part = 'train' GROUP BY class),
+    r AS (SELECT unnest(range(0, {ROUNDS + 1})) AS round)
+    SELECT part, round, count(*) AS n, CASE WHEN round = 0 THEN round(-avg(l), 6) END AS loss_of_shares, true AS falls,
+      true AS last_is_log_loss FROM parts JOIN prior USING (class), r GROUP BY part, round""",
+)
+def loss_by_round(spark, sf):
+    """Training and validation loss after each round, from one pass; the last is that of the whole model."""
+    rows = flows(spark, sf).withColumn("part", F.when(F.col("l_orderkey") % 5 == 0, "validation").otherwise("train"))
+    package = trained(rows.where("part = 'train'"), method="joint", trees=ROUNDS)
+    losses = stage(classify.loss_by_round(rows, package, part=F.col("part")), "losses")
+    whole = metrics.log_loss(classify.score(rows, package), package.classes, actual="Label", by=["part"])
+    whole = {r.part: r.log_loss for r in whole.collect()}
+    # Rounds of the training part never go up by more than a subsample's noise, and end lower than they began.
+    first = {r.part: r.log_loss for r in losses.where("round = 0").collect()}
+    start = F.when(F.col("part") == "train", first["train"]).otherwise(first["validation"])
+    end = F.when(F.col("part") == "train", whole["train"]).otherwise(whole["validation"])
+    return losses.select(
+        "part",
+        "round",
+        "n",
+        F.when(F.col("round") == 0, F.round("log_loss", 6)).alias("loss_of_shares"),
+        ((F.col("part") != "train") | (F.col("round") == 0) | (F.col("log_loss") < start)).alias("falls"),
+        ((F.col("round") < ROUNDS) | (F.abs(F.col("log_loss") - end) < 1e-9)).alias("last_is_log_loss"),
+    )
 
 
 @query(
@@ -75,7 +154,7 @@ def train_boosted(spark, sf):
 def probabilities(spark, sf):
     """Every row gets six probabilities between 0 and 1 that sum to 1."""
     rows = flows(spark, sf)
-    package = trained(rows, **SMALL)
+    package = trained(rows)
     scored = classify.score(rows, package)
     total = F.aggregate("probability", F.lit(0.0), lambda s, v: s + v)
     return scored.agg(
@@ -86,19 +165,43 @@ def probabilities(spark, sf):
     )
 
 
-@query("M2_batch_scoring")
+@query(
+    "M2_batch_scoring",
+    "SELECT count(*) AS n, CAST(6 AS BIGINT) AS probabilities, true AS known_classes, true AS largest_wins FROM lineitem",
+)
 def scoring(spark, sf):
+    """The prediction table: the predicted class is the one of the largest probability."""
     rows = flows(spark, sf)
-    package = trained(rows, **SMALL)
-    return triage.prediction_summary(
-        triage.prediction_table(classify.score(rows, package), package.classes)
+    package = trained(rows)
+    table = triage.prediction_table(classify.score(rows, package), package.classes)
+    names = [f"prob_{c}" for c in package.classes]
+    own = F.coalesce(*[F.when(F.col("prediction") == c, F.col(f"`prob_{c}`")) for c in package.classes])
+    most = F.greatest(*[F.col(f"`{n}`") for n in names])
+    return table.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.lit(len(names)).cast("long").alias("probabilities"),
+        F.bool_and(F.col("prediction").isin(package.classes)).alias("known_classes"),
+        F.bool_and((own == most) & (most == F.col("max_probability"))).alias("largest_wins"),
     )
 
 
-@query("M14_feature_importances")
+@query(
+    "M14_feature_importances",
+    f"SELECT unnest({COLUMNS}) AS feature, true AS in_range, true AS falling, 1.0::DOUBLE AS total",
+)
 def importances(spark, sf):
+    """Importances of all features fall, lie between 0 and 1 and sum to 1."""
     rows = flows(spark, sf)
-    return classify.feature_importances(trained(rows, **SMALL), rows)
+    table = classify.feature_importances(trained(rows), rows).collect()
+    values = [r.importance for r in table]
+    return small_table(
+        spark,
+        [
+            {"feature": r.feature, "in_range": 0 <= r.importance <= 1, "falling": values == sorted(values, reverse=True), "total": round(sum(values), 9)}
+            for r in table
+        ],
+        "feature string, in_range boolean, falling boolean, total double",
+    )
 
 
 @query(
@@ -108,7 +211,7 @@ def importances(spark, sf):
 def classifier_round_trip(spark, sf):
     """Scores of a saved and reloaded package equal those of the original."""
     rows = flows(spark, sf)
-    package = trained(rows, **SMALL)
+    package = trained(rows)
     path = work_folder(spark, "classifier")
     packages.save_classifier(spark, package, path)
     loaded = packages.load_classifier(spark, path)
@@ -127,15 +230,39 @@ def sequence_windows(spark, sf):
     return stage(made, "windows")
 
 
-@query("W3_fit_reconstruction")
+# All cells of all windows, and the sum of their variances per place in the window.
+_CELLS = f"""WITH s AS ({sql(SEQUENCES)}), n AS (SELECT *, row_number() OVER (PARTITION BY device_id ORDER BY ts, event_id) AS n FROM s),
+cells AS (SELECT n AS row_no, device_id, i, j, CASE j WHEN 0 THEN v ELSE sqrt(v) END AS x FROM (
+  SELECT n, device_id, unnest(range(10)) AS i, unnest(list(value) OVER (PARTITION BY device_id ORDER BY ts, event_id
+    ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)) AS v FROM n QUALIFY n >= 10 AND (n - 10) % 3 = 0), (VALUES (0), (1)) AS t(j)),
+spread AS (SELECT sum(s) AS total FROM (SELECT var_pop(x) AS s FROM cells GROUP BY i, j)),
+wins AS (SELECT count(*) AS n FROM n WHERE n >= 10 AND (n - 10) % 3 = 0)"""
+
+
+def variance_of(errors, shares):
+    """The windows' whole variance, by what the components leave of it: their errors."""
+    cells = 20
+    return errors.agg(F.avg("mse")).first()[0] * cells / (1 - sum(shares))
+
+
+@query(
+    "W3_fit_reconstruction",
+    f"{_CELLS} SELECT CAST(component AS BIGINT) AS component, true AS falling, round(total, 4) AS variance "
+    "FROM spread, (SELECT unnest(range(1, 5)) AS component)",
+)
 def fit_reconstruction(spark, sf):
-    """Share of the variance each component explains."""
-    model = anomaly.fit_reconstruction(sequence_windows(spark, sf), 4)
-    shares = model.stages[1].explainedVariance.toArray()
+    """Components explain falling shares, and what they leave unexplained is the reconstruction error."""
+    windows = sequence_windows(spark, sf)
+    model = anomaly.fit_reconstruction(windows, 4)
+    shares = [float(v) for v in model.stages[1].explainedVariance.toArray()]
+    total = variance_of(anomaly.add_errors(anomaly.reconstruct(windows, model)), shares)
     return small_table(
         spark,
-        [{"component": i, "share": round(float(v), 6)} for i, v in enumerate(shares, start=1)],
-        "component long, share double",
+        [
+            {"component": i, "falling": i == 1 or share <= shares[i - 2], "variance": round(total, 4)}
+            for i, share in enumerate(shares, start=1)
+        ],
+        "component long, falling boolean, variance double",
     )
 
 
@@ -152,12 +279,30 @@ def full_reconstruction(spark, sf):
     return errors.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("mse") < 1e-12).alias("exact"))
 
 
-@query("W4_pca_errors")
+@query(
+    "W4_pca_errors",
+    f"{_CELLS} SELECT n, n AS judged, round(total, 4) AS variance, true AS split_by_threshold, true AS more_components_fit_better "
+    "FROM wins, spread",
+)
 def pca_errors(spark, sf):
+    """Errors of eight components: their mean is the variance left, and the threshold splits them."""
     windows = sequence_windows(spark, sf)
-    errors = anomaly.add_errors(anomaly.reconstruct(windows, anomaly.fit_reconstruction(windows, 4)))
-    errors = stage(errors.drop("sequence", "rebuilt"), "errors")
-    return anomaly.detection_summary(anomaly.detect_anomalies(errors, anomaly.fit_threshold(errors)))
+    model = anomaly.fit_reconstruction(windows, 8)
+    errors = stage(anomaly.add_errors(anomaly.reconstruct(windows, model)).drop("sequence", "rebuilt"), "errors")
+    fitted = anomaly.fit_threshold(errors)
+    row = anomaly.detection_summary(anomaly.detect_anomalies(errors, fitted)).first()
+    above = errors.where(F.col("mse") > fitted.threshold).count()
+    shares = [float(v) for v in model.stages[1].explainedVariance.toArray()]
+    fewer = anomaly.add_errors(anomaly.reconstruct(windows, anomaly.fit_reconstruction(windows, 4)))
+    better = errors.agg(F.avg("mse")).first()[0] < fewer.agg(F.avg("mse")).first()[0]
+    return small_table(
+        spark,
+        [{
+            "n": row.total, "judged": row.anomalies + row.normal, "variance": round(variance_of(errors, shares), 4),
+            "split_by_threshold": row.anomalies == above > 0, "more_components_fit_better": better,
+        }],
+        "n long, judged long, variance double, split_by_threshold boolean, more_components_fit_better boolean",
+    )
 
 
 @query(

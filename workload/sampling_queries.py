@@ -85,16 +85,16 @@ def undersampled(spark, sf):
 
 # --- minority classes: embedding labels, some of them made rare ---
 
-_MINORITY = """mi AS (SELECT vec_id, CAST(label AS VARCHAR) AS Label, embedding FROM embeddings
-  WHERE label > 2 OR vec_id % (label + 2) = 0),
-plan AS (SELECT Label, count(*) AS n, least(2000, count(*) * 3) AS target FROM mi GROUP BY Label HAVING count(*) < 1000),
+_LABEL = "CASE WHEN label > 2 OR vec_id % (label + 2) = 0 THEN CAST(label AS VARCHAR(9)) ELSE 'BENIGN' END AS Label"
+_MINORITY = f"""mi AS (SELECT vec_id, {_LABEL}, embedding FROM embeddings),
+plan AS (SELECT Label, count(*) AS n, least(2000, count(*) * 3) AS target FROM mi WHERE Label <> 'BENIGN' GROUP BY Label
+  HAVING count(*) < 1000),
 k AS (SELECT min(n) AS smallest, CASE WHEN min(n) > 1 THEN least(5, min(n) - 1) WHEN min(n) = 1 THEN 1 END AS k FROM plan)"""
 
 
 def minority(spark, sf):
-    return table(spark, sf, "embeddings").where("label > 2 OR vec_id % (label + 2) = 0").select(
-        "vec_id", F.col("label").cast("string").alias("Label"), "embedding"
-    )
+    """All embeddings: classes of several sizes, and the large class that is never oversampled."""
+    return table(spark, sf, "embeddings").selectExpr("vec_id", _LABEL, "embedding")
 
 
 @query("T4_oversampling_plan", f"WITH {_MINORITY} SELECT Label, n, CAST(target AS BIGINT) AS target FROM plan")
@@ -111,7 +111,7 @@ _NEAR = f"""{_MINORITY},
 pairs AS (SELECT a.Label, a.vec_id, b.vec_id AS neighbour_id,
     list_sum(list_transform(list_zip(a.embedding, b.embedding),
       lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE))) AS d
-  FROM mi a JOIN mi b ON a.Label = b.Label AND a.vec_id <> b.vec_id),
+  FROM mi a JOIN mi b ON a.Label = b.Label AND a.vec_id <> b.vec_id AND a.Label IN (SELECT Label FROM plan)),
 near AS (SELECT Label, vec_id, neighbour_id, row_number() OVER (PARTITION BY Label, vec_id ORDER BY d, neighbour_id) AS rank
   FROM pairs QUALIFY rank <= (SELECT k FROM k))"""
 
@@ -137,8 +137,10 @@ _HEX = "CAST(concat('0x', substr(h, {0}, 8)) AS BIGINT)"
         {_HEX.format(9)} % (SELECT least(k, d.n - 1) FROM k) + 1 AS pick, {_HEX.format(17)} / 4294967296.0::DOUBLE AS u
       FROM draws d JOIN ordered o ON o.Label = d.Label AND o.place = {_HEX.format(1)} % d.n)
     SELECT c.Label, c.synthetic_no, c.base_id, n.neighbour_id,
-      round(c.a[1]::DOUBLE + c.u * (m.embedding[1]::DOUBLE - c.a[1]::DOUBLE), 6) AS first_value,
-      round(c.a[64]::DOUBLE + c.u * (m.embedding[64]::DOUBLE - c.a[64]::DOUBLE), 6) AS last_value
+      round(list_sum(list_transform(range(1, 65), lambda i:
+        i * (c.a[i]::DOUBLE + c.u * (m.embedding[i]::DOUBLE - c.a[i]::DOUBLE)))), 4) AS weighted_values,
+      round(list_sum(list_transform(range(1, 65), lambda i:
+        abs(c.a[i]::DOUBLE + c.u * (m.embedding[i]::DOUBLE - c.a[i]::DOUBLE)))), 4) AS absolute_values
     FROM chosen c JOIN near n ON n.vec_id = c.base_id AND n.rank = c.pick JOIN mi m ON m.vec_id = n.neighbour_id""",
 )
 def smote(spark, sf):
@@ -152,16 +154,21 @@ def smote(spark, sf):
             "synthetic_no",
             "base_id",
             "neighbour_id",
-            F.element_at("embedding", 1).alias("first_value"),
-            F.element_at("embedding", 64).alias("last_value"),
+            # All 64 values, each with its own weight.
+            F.round(_folded(F.transform("embedding", lambda v, i: v * (i + 1))), 4).alias("weighted_values"),
+            F.round(_folded(F.transform("embedding", F.abs)), 4).alias("absolute_values"),
         )
     )
 
 
+def _folded(values):
+    return F.aggregate(values, F.lit(0.0), lambda s, v: s + v)
+
+
 @query(
     "T6_balanced_classes",
     f"""WITH {_MINORITY} SELECT Label, CAST(greatest(n, target) AS BIGINT) AS n FROM plan
-    UNION ALL SELECT Label, count(*) FROM mi GROUP BY Label HAVING count(*) >= 1000""",
+    UNION ALL SELECT Label, count(*) FROM mi GROUP BY Label HAVING count(*) >= 1000 OR Label = 'BENIGN'""",
 )
 def balanced(spark, sf):
     columns = [f"x{i}" for i in range(4)]
