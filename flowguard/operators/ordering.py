@@ -42,13 +42,13 @@ def in_ranges(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
     return df.repartitionByRange(*order_by).withColumn("_range", F.spark_partition_id())
 
 
-def _offsets(ranged: DataFrame, sizes: Mapping[int, int], start: int = 0) -> DataFrame:
+def offsets(ranged: DataFrame, sizes: Mapping[int, int], start: int = 0) -> DataFrame:
     """(_range, _earlier): the rows of all earlier ranges, from one number per range."""
-    offsets, total = [], start
+    rows, total = [], start
     for number, n in sorted(sizes.items()):
-        offsets.append({"_range": number, "_earlier": total})
+        rows.append({"_range": number, "_earlier": total})
         total += n
-    return F.broadcast(small_table(ranged.sparkSession, offsets, "_range int, _earlier long"))
+    return F.broadcast(small_table(ranged.sparkSession, rows, "_range int, _earlier long"))
 
 
 def number_ranges(
@@ -60,7 +60,7 @@ def number_ranges(
     """
     within = F.row_number().over(Window.partitionBy("_range").orderBy(*order_by))
     return (
-        ranged.join(_offsets(ranged, sizes, start), "_range")
+        ranged.join(offsets(ranged, sizes, start), "_range")
         .withColumn(name, F.col("_earlier") + within.cast("long"))
         .drop("_range", "_earlier")
     )
@@ -81,7 +81,7 @@ def number_rows(
     ranged = stage(in_ranges(counts, ["_slice"]), "slices")
     sizes = dict(ranged.groupBy("_range").agg(F.sum("_n")).collect())
     upto = F.sum("_n").over(Window.partitionBy("_range").orderBy("_slice"))
-    before = ranged.join(_offsets(ranged, sizes), "_range").select(
+    before = ranged.join(offsets(ranged, sizes), "_range").select(
         "_slice", (F.col("_earlier") + upto - F.col("_n")).alias("_before")
     )
     within = F.row_number().over(Window.partitionBy("_slice").orderBy(*order_by))

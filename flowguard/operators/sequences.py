@@ -14,7 +14,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.bounded import settle
 from ..functions.vectors import last_items
+from ..sources.paths import stage
+from .ordering import in_ranges, offsets
 
 # Rows per sequence, and the step between training sequences.
 SEQUENCE_LENGTH = 10
@@ -83,20 +86,14 @@ def _carried(
             ).alias("_tail")
         )
     )
-    # Every slice present has a row, so the last length - 1 slices hold enough.
-    back = Window.partitionBy(*keys).orderBy("_slice")
-    carry = last_items(
-        F.flatten(F.collect_list("_tail").over(back.rowsBetween(-(length - 1), -1))), length - 1
-    )
     if number:
         sizes = data.groupBy(*place).agg(F.count(F.lit(1)).alias("_n"))
         tails = tails.join(sizes, place)
-        before = F.coalesce(
-            F.sum("_n").over(back.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-        )
     else:
-        before = F.lit(None).cast("long")
-    per_slice = tails.select(*place, carry.alias("_carry"), before.alias("_before"))
+        tails = tails.withColumn("_n", F.lit(0).cast("long"))
+    per_slice = _look_back(tails, keys, length) if keys else _look_back_in_ranges(tails, length)
+    if not number:
+        per_slice = per_slice.withColumn("_before", F.lit(None).cast("long"))
     return per_slice.select(
         *place, "_before", F.size("_carry").alias("_size"), F.posexplode("_carry").alias("_at", "_row")
     ).select(
@@ -107,6 +104,51 @@ def _carried(
     )
 
 
+def _look_back(tails: DataFrame, keys: list[str], length: int) -> DataFrame:
+    """(keys, _slice, _carry, _before): the last rows of the earlier slices, and how many rows those have."""
+    # Every slice present has a row, so the last length - 1 slices hold enough.
+    back = Window.partitionBy(*keys).orderBy("_slice")
+    carry = last_items(
+        F.flatten(F.collect_list("_tail").over(back.rowsBetween(-(length - 1), -1))), length - 1
+    )
+    before = F.coalesce(F.sum("_n").over(back.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return tails.select(*keys, "_slice", carry.alias("_carry"), before.alias("_before"))
+
+
+def _look_back_in_ranges(tails: DataFrame, length: int) -> DataFrame:
+    """The same for one global order: slices look back within ranges of slices, and ranges at each other.
+
+    Neither the slices nor the ranges meet in one task.
+    """
+    ranged = stage(in_ranges(tails, ["_slice"]), "slice-tails")
+    sizes = dict(ranged.groupBy("_range").agg(F.sum("_n")).collect())
+    # Each range holds a row, so the length - 1 ranges before one hold enough.
+    newest = Window.partitionBy("_range").orderBy(F.desc("_slice"))
+    ends = (
+        ranged.withColumn("_place", F.row_number().over(newest)).where(F.col("_place") < length)
+        .groupBy("_range")
+        .agg(F.sort_array(F.collect_list(F.struct((-F.col("_place")).alias("place"), F.col("_tail").alias("tail")))).alias("_ends"))
+        .select("_range", last_items(F.flatten(F.transform("_ends", lambda e: e["tail"])), length - 1).alias("_end"))
+    )
+    numbers = sorted(sizes)
+    # Ranges without a slice have no number: the next ones are counted by place.
+    place = F.array_position(F.array(*[F.lit(n) for n in numbers]), F.col("_range")).cast("int") if numbers else F.lit(0)
+    given = ends.select(place.alias("_from"), "_end").withColumn(
+        "_to", F.explode(F.sequence(F.col("_from") + 1, F.col("_from") + (length - 1)))
+    )
+    earlier = given.groupBy("_to").agg(
+        F.sort_array(F.collect_list(F.struct(F.col("_from").alias("from"), F.col("_end").alias("end")))).alias("_parts")
+    ).select("_to", F.flatten(F.transform("_parts", lambda e: e["end"])).alias("_outer"))
+    inner = _look_back(ranged.withColumnRenamed("_range", "_r"), ["_r"], length).withColumnRenamed("_r", "_range")
+    joined = inner.withColumn("_to", place).join(settle(earlier), "_to", "left").join(offsets(ranged, sizes), "_range")
+    nothing = F.slice("_carry", 1, 0)
+    return joined.select(
+        "_slice",
+        last_items(F.concat(F.coalesce("_outer", nothing), "_carry"), length - 1).alias("_carry"),
+        (F.col("_before") + F.col("_earlier")).alias("_before"),
+    )
+
+
 def strided_sequences(
     df: DataFrame,
     keys: Sequence[str],

@@ -205,3 +205,18 @@ def test_reconstruction_of_odd_windows(spark):
             assert np.allclose(np.array(got[i]).ravel(), mean + (x - mean) @ basis @ basis.T)
     assert [got[i] for i, w in rows if w is None or w == [] or None in w or len(w) < 3 or len(w[0]) < 2] == [None] * 5
     assert np.isnan(np.array(got[7])).any()
+
+
+@pytest.mark.parametrize("number", [True, False])
+def test_global_order_over_many_slices_in_several_ranges(spark, number):
+    """Slices of one or two rows: windows reach over several slices and ranges."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.range(200).select(F.col("id").alias("i"), F.col("id").cast("double").alias("v")).repartition(5)
+        rows = sequences.recent_values(df, [], ["i"], "v", length=7, slice_by=F.expr("(i * 2) div 3"), number=number).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(rows) == 200
+    for r in rows:
+        assert r.recent == [float(x) for x in range(max(0, r.i - 6), r.i + 1)]
+        assert not number or r.row_no == r.i + 1
