@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 
 from .texts import whole, written
 
-#: Shorter lines are left alone: headings and single words repeat by chance.
+#: Shorter lines are not compared for edits: short words are one character apart by chance.
 LEAST_CHARS = 20
+#: Equal lines go from so many characters on: all but blank ones.
+LEAST_COPIED = 1
 #: Up to so many hashes (16 bytes each) a table is broadcast; a larger one is joined by shuffling.
 BROADCAST_ROWS = 500_000
 
@@ -44,7 +46,6 @@ def _document(id_col: str, text: str) -> Column:
     return (number.cast("decimal(20,0)") * F.lit(Decimal(_PART)) + F.pmod(F.xxhash64(whole(text)), F.lit(_PART))).cast("decimal(29,0)")
 
 
-
 def _document_of(place: Column) -> Column:
     return ((place - place % F.lit(Decimal(_PART))) / F.lit(Decimal(_PART))).cast("decimal(29,0)")
 
@@ -187,7 +188,7 @@ def repeated_lines(
     text: str = "text",
     edits: int = 1,
     least_chars: int = LEAST_CHARS,
-    least_copied: int | None = None,
+    least_copied: int = LEAST_COPIED,
     broadcast_rows: int = BROADCAST_ROWS,
     folder: str | None = None,
 ) -> DataFrame:
@@ -195,16 +196,19 @@ def repeated_lines(
 
     ``at`` and ``earlier`` are places, numbers that stand for the document
     and the line number from 0. Ids are integers. Lines are the text between
-    line feeds without spaces around them; those under ``least_chars`` characters take no part,
-    but equal ones do from ``least_copied`` characters on, where that is given (1: all but blank lines). A line
+    line feeds without spaces around them; equal ones count from ``least_copied``
+    characters on, those that differ by an edit from ``least_chars`` on. A line
     goes if an equal line, or one within ``edits`` (0 or 1) inserted, deleted or
     replaced characters, stands earlier: in a document with a smaller id, or
     before it in the same one, whether or not that line stays itself. NULL ids
-    come last. Rows equal in id and text are one document.
+    come last, NULL texts count as empty. Rows equal in id and text are one
+    document. An empty table gives no rows.
     """
     if edits not in (0, 1):
         raise ValueError("edits must be 0 or 1")
-    lines = _lines(docs, id_col, text, least_chars if least_copied is None else min(least_copied, least_chars))
+    if least_copied > least_chars:
+        raise ValueError("least_copied must not exceed least_chars")
+    lines = _lines(docs, id_col, text, min(max(1, least_copied), least_chars))
     narrow, parts, names = lines.select("at", "h1", "h2"), [], [f"half_{i}" for i in range(4)]
     if edits:
         # Each half is hashed once, before the aggregation.
@@ -242,7 +246,16 @@ def _with_gone(docs: DataFrame, gone: DataFrame, columns: list[Column], id_col:
 
 
 def _kept_text(text: Column) -> Column:
-    kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda _, i: ~F.array_contains("_gone", i)), "\n")
+    """The lines between those that go, in time linear in the text: runs are cut out, nothing is looked up per line."""
+    parts = F.struct(F.split(text, "\n", -1).alias("lines"), F.sort_array("_gone").alias("gone"))
+
+    def runs(p: Column) -> Column:
+        starts = F.concat(F.array(F.lit(-1)), p["gone"])
+        ends = F.concat(p["gone"], F.array(F.size(p["lines"])))
+        return F.flatten(F.zip_with(starts, ends, lambda s, e: F.slice(p["lines"], s + 2, e - s - 1)))
+
+    # As a lambda's variable the lines are split once.
+    kept = F.array_join(F.transform(F.array(parts), runs)[0], "\n")
     return F.when(F.col("_gone").isNull(), text).otherwise(kept)
 
 
@@ -250,8 +263,8 @@ def drop_repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text: str =
     """The rows of ``docs`` with repeated lines taken out of the text; all columns and rows stay.
 
     A text that loses nothing is unchanged, NULL included; one that loses all
-    its lines becomes empty. Rows equal in id and text are treated alike.
-    Options are those of ``repeated_lines``.
+    its lines becomes empty. Rows equal in id and text are treated alike, and an
+    empty table stays empty. Options are those of ``repeated_lines``.
     """
     gone = repeated_lines(docs, id_col=id_col, text=text, **options)
     whole_row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
@@ -263,8 +276,8 @@ def line_report(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text",
     """One row per document: id, n_lines, n_repeated, n_near and the text that stays.
 
     n_repeated counts the lines dropped, n_near those of them without an equal
-    earlier line. NULL texts count as empty, which is one line. Other columns
-    are ignored.
+    earlier line. NULL texts count as empty, which is one line. An empty table
+    gives no rows. Other columns are ignored.
     """
     gone = repeated_lines(docs, id_col=id_col, text=text, **options)
     columns = [F.col(id_col).alias("id"), whole(text).alias("text")]

@@ -78,8 +78,20 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in two arrivals, the one with the smaller ids first: the second meets a filled index."""
+    docs = read(spark, sf_dir, "documents")
+    middle = docs.agg(F.percentile_approx("doc_id", 0.5)).first()[0]
+    early = F.coalesce(F.col("doc_id") <= F.lit(middle), F.lit(False))
     name = f"digest_index_{uuid.uuid4().hex[:12]}"
-    return digests.exact_duplicates(read(spark, sf_dir, "documents"), name, work_folder(spark, name))
+    path = work_folder(spark, name)
+    parts = [digests.exact_duplicates(docs.where(p), name, path, arrival=a) for a, p in (("early", early), ("late", ~early))]
+    digests.close_index(spark, name)
+    both = parts[0].unionByName(parts[1])
+    # A text's rows of both arrivals.
+    sizes = both.groupBy("text_sha256").agg(F.count(F.lit(1)).alias("all_rows"))
+    return both.join(sizes.hint("merge"), "text_sha256").select(
+        "doc_id", "keep_id", F.col("all_rows").alias("group_size"), "kept", "text_sha256"
+    )
 
 
 def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,8 +142,8 @@ SQL = {
         p AS (
             SELECT *, trim(raw, ' ') AS line, doc_id::HUGEINT * 1000000000 + line_no AS place FROM l
         ),
-        d AS (SELECT line, min(place) AS first_place FROM p WHERE length(line) >= 20 GROUP BY line),
-        m AS (SELECT line, first_place, length(line) + o AS m FROM d, (VALUES (0), (1)) AS t(o)),
+        d AS (SELECT line, min(place) AS first_place FROM p WHERE line <> '' GROUP BY line),
+        m AS (SELECT line, first_place, length(line) + o AS m FROM d, (VALUES (0), (1)) AS t(o) WHERE length(line) >= 20),
         k AS (
             SELECT line, first_place, m, 0 AS side, substr(line, 1, m // 2) AS half FROM m
             UNION ALL

@@ -1,7 +1,10 @@
 """SimHash fingerprints and their exact comparison in tiles.
 
 Distinct fingerprints are dealt into cells so that every pair within the radius
-shares a cell: of ``radius + 1`` bit blocks such a pair agrees in one. Inside a
+shares a cell: of m bit blocks such a pair agrees in m - radius, and every choice
+of so many blocks is a key. More blocks make finer cells and more keys; their
+number follows the number of fingerprints, so that a cell's mean size is bounded
+and the pairs compared grow with the input, not with its square. Inside a
 cell all pairs are compared, tile by tile, with numpy exclusive-or and bit
 counts; the tiles follow the population count, and tile pairs whose counts
 differ beyond the radius are skipped. A cell that holds too much for one task is
@@ -11,6 +14,7 @@ work. A cell gives a spanning forest of its links, never all pairs.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -32,6 +36,8 @@ BLOCK = 32_768
 #: Fingerprints of one tile inside a task, and of one tile of a cut cell.
 TILE = 256
 CELL = 4_096
+#: With eight blocks a key has 32 bits: cells stay small beyond 10^13 fingerprints.
+MOST_BLOCKS = 8
 
 
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
@@ -74,10 +80,19 @@ def fingerprints(docs: DataFrame, text: Column, kept: dict[str, Column], shingle
     return map_batches(narrow, one, schema)
 
 
-def block_widths(radius: int) -> list[tuple[int, int]]:
-    """(first bit, number of bits) of ``radius + 1`` blocks that cover 64 bits."""
-    edges = [64 * i // (radius + 1) for i in range(radius + 2)]
-    return [(a, b - a) for a, b in zip(edges, edges[1:])]
+def key_masks(blocks: int, radius: int) -> list[int]:
+    """The bits of each key: every choice of ``blocks - radius`` of the blocks that cover 64 bits."""
+    edges = [64 * i // blocks for i in range(blocks + 1)]
+    widths = [((1 << (b - a)) - 1) << a for a, b in itertools.pairwise(edges)]
+    return [sum(chosen) for chosen in itertools.combinations(widths, blocks - radius)]
+
+
+def blocks_for(fingerprints: int, radius: int, cell_size: int) -> int:
+    """The fewest blocks with which cells of evenly spread fingerprints hold at most ``cell_size``."""
+    blocks = radius + 1
+    while blocks < MOST_BLOCKS and fingerprints >> (64 * (blocks - radius) // blocks) > cell_size:
+        blocks += 1
+    return blocks
 
 
 def forest(fps: np.ndarray, radius: int, sides: np.ndarray | None = None, tile: int = TILE) -> list[tuple[int, int]]:
@@ -150,25 +165,25 @@ def _forests(batches: Iterable[pa.RecordBatch], radius: int) -> Iterator[pa.Reco
         yield solve(pa.Table.from_batches(held))
 
 
-def near_links(distinct: DataFrame, radius: int = RADIUS, cell_size: int = CELL) -> DataFrame:
+def near_links(
+    distinct: DataFrame, radius: int = RADIUS, cell_size: int = CELL, blocks: int | None = None
+) -> DataFrame:
     """Links (a, b) between distinct fingerprints that give the same components as all pairs.
 
-    ``distinct`` has the column fp. No pair within the radius is left out: cells
+    ``distinct`` is a written table with the column fp, which is counted to
+    choose the number of ``blocks`` where none is given. No pair within the radius is left out: cells
     over ``cell_size`` are cut into tiles of one population count and a hash
     salt, and every two tiles within the radius meet in a cell of their own.
     """
-    blocks = [
-        F.struct(
-            F.lit(b).alias("block"),
-            F.shiftrightunsigned("fp", first).bitwiseAND((1 << width) - 1).alias("value"),
-        )
-        for b, (first, width) in enumerate(block_widths(radius))
+    masks = key_masks(blocks or blocks_for(distinct.count(), radius, cell_size), radius)
+    keys = [
+        F.struct(F.lit(k).alias("block"), F.col("fp").bitwiseAND(F.lit(_signed(mask))).alias("value"))
+        for k, mask in enumerate(masks)
     ]
-    rows = distinct.select("fp", F.bit_count("fp").alias("pop"), F.explode(F.array(*blocks)).alias("cell")).select(
+    rows = distinct.select("fp", F.bit_count("fp").alias("pop"), F.explode(F.array(*keys)).alias("cell")).select(
         "cell.block", "cell.value", "fp", "pop"
     )
-    # At most one row for each block value and population count, whatever the input: the block
-    # values number (radius + 1) * 2 ** 13 for the default radius. Only cut cells are kept.
+    # One row for each key value and population count. Only cut cells are kept.
     counts = rows.groupBy("block", "value", "pop").agg(F.count(F.lit(1)).alias("n"))
     grid = (
         counts.groupBy("block", "value")
@@ -208,6 +223,10 @@ def near_links(distinct: DataFrame, radius: int = RADIUS, cell_size: int = CELL)
     return together.mapInArrow(lambda it: _forests(it, radius), "a bigint, b bigint")
 
 
+def _signed(bits: int) -> int:
+    return bits - (1 << 64) if bits >> 63 else bits
+
+
 def near_duplicates(
     docs: DataFrame,
     *,
@@ -259,7 +278,9 @@ def drop_near_duplicates(
 
     Of rows that share the smallest id and the text, one stays; of those with
     different texts, the one with the smallest text hash. NULL ids come last.
-    All columns are kept as they are.
+    NULL and empty texts have the fingerprint zero: they form one component, and
+    link to others like any document. An empty table stays empty. All columns
+    are kept as they are.
     """
     key = row_key(id_col, text)
     rows = written(fingerprints(docs, F.col(text), {"key": key}, shingle), "fingerprints", folder)

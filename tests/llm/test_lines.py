@@ -22,7 +22,7 @@ def _distance(a, b):
     return old[-1]
 
 
-def _brute(rows, edits=1, least=20):
+def _brute(rows, edits=1, least=20, copied=1):
     """Texts after dropping, by (id, text); documents equal in both are one."""
     docs = sorted({(r[0] is None, r[0] or 0, r[1] or "") for r in rows})
     seen, out = [], {}
@@ -30,8 +30,9 @@ def _brute(rows, edits=1, least=20):
         kept = []
         for raw in text.split("\n"):
             line = raw.strip(" ")
-            if len(line) >= least:
-                gone = any(line == s or edits and _distance(line, s) <= 1 for s in seen)
+            if len(line) >= copied:
+                long = edits and len(line) >= least
+                gone = any(line == s or long and len(s) >= least and _distance(line, s) <= 1 for s in seen)
                 seen.append(line)
                 if gone:
                     continue
@@ -89,15 +90,22 @@ def test_long_lines_and_no_rows(spark, tmp_path):
     assert lines.drop_repeated_lines(spark.createDataFrame([], SCHEMA), folder=f"{tmp_path}/b").collect() == []
 
 
-def test_short_copies_go_where_asked(spark, tmp_path):
+def test_a_document_of_very_many_repeated_lines(spark, tmp_path):
+    """Taking lines out costs in proportion to the text, not to its square."""
+    text = "\n".join(["the same line again and again"] * 400_000 + ["the last line, which is another one"])
+    out = lines.drop_repeated_lines(table(spark, [row(1, text), row(2, "the same line again and again")]), folder=f"{tmp_path}/a").collect()
+    assert {r.doc_id: r.text for r in out} == {1: "the same line again and again\nthe last line, which is another one", 2: ""}
+
+
+def test_short_copies_go(spark, tmp_path):
     rows = [row(1, "menu\nmenu\n\n  \na heading of 17 ch."), row(2, " menu\nmenx\n\na heading of 17 cx.\nb"), row(3, "b\nb")]
     docs = table(spark, rows)
-    out = lines.drop_repeated_lines(docs, least_copied=1, folder=f"{tmp_path}/a").collect()
+    out = lines.drop_repeated_lines(docs, folder=f"{tmp_path}/a").collect()
     # Equal short lines go, blank lines and those one edit apart stay.
     assert {r.doc_id: r.text for r in out} == {1: "menu\n\n  \na heading of 17 ch.", 2: "menx\n\na heading of 17 cx.\nb", 3: ""}
-    out = lines.drop_repeated_lines(docs, edits=0, least_copied=1, folder=f"{tmp_path}/b").collect()
+    out = lines.drop_repeated_lines(docs, edits=0, folder=f"{tmp_path}/b").collect()
     assert {r.doc_id: r.text for r in out}[3] == ""
-    kept = lines.drop_repeated_lines(docs, folder=f"{tmp_path}/c").collect()
+    kept = lines.drop_repeated_lines(docs, least_copied=20, folder=f"{tmp_path}/c").collect()
     assert {r.doc_id: r.text for r in kept} == {r[0]: r[1] for r in rows}
 
 
