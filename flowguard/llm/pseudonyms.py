@@ -3,12 +3,13 @@
 Found values are validated, then permuted by a keyed Feistel network inside
 their own format: a card number becomes a card number with a right check digit,
 a date another date. Equal values get equal pseudonyms in every document, and
-different ones different pseudonyms. Everything is Spark expressions: a text is
+different values of a format different pseudonyms. Everything is Spark expressions: a text is
 cut at the matches of one pattern, the matches are permuted, the parts joined.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -59,6 +60,8 @@ ANY = r"(?<![0-9A-Za-z_])(?:" + "|".join(PATTERNS.values()) + r")(?![0-9A-Za-z_]
 DATE_FORMATS = ("yyyy-MM-dd", "dd.MM.yyyy", "MM/dd/yyyy", "dd/MM/yyyy")
 # 73,051 days from 1900-01-01 to 2100-01-02, a number with two factors of about one size.
 FIRST_DAY, DAYS = "1900-01-01", (319, 229)
+# Three of five days can't be months: the odds of so many turns are below 10^-50.
+MOST_TURNS = 128
 # Social numbers: areas 001-899 but 666, groups 01-99, serials 0001-9999.
 SOCIAL = (898 * 99, 9_999)
 ADDRESSES = (1 << 16, 1 << 16)
@@ -72,9 +75,14 @@ def _digits(text: Column) -> Column:
     return F.regexp_replace(text, "[^0-9]", "")
 
 
-def _keyed(key: str, *parts: Column) -> Column:
-    """60 bits of SHA-256 over the key and the parts."""
-    text = F.concat_ws(":", F.lit(key), *[p.cast("string") for p in parts])
+def round_key(key: str, kind: str) -> str:
+    """What a kind's rounds are keyed with. Plans, and so event logs, hold this and not the key."""
+    return hashlib.sha256(f"{kind}:{key}".encode()).hexdigest()
+
+
+def _keyed(key: str, kind: str, *parts: Column) -> Column:
+    """60 bits of SHA-256 over the kind's round key and the parts."""
+    text = F.concat_ws(":", F.lit(round_key(key, kind)), *[p.cast("string") for p in parts])
     return F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("long")
 
 
@@ -99,7 +107,7 @@ def permute_number(number: Column, sizes: tuple[int, int], key: str, kind: str)
 
     def change(half: str, value: Column, other: Column, i: Column) -> Column:
         size = F.lit(left if half == "a" else right).cast("long")
-        return F.pmod(value + F.pmod(_keyed(key, F.lit(kind), i, other), size), size)
+        return F.pmod(value + F.pmod(_keyed(key, kind, i, other), size), size)
 
     return _feistel(start, change, lambda s: s["a"] * right + s["b"])
 
@@ -125,7 +133,7 @@ def permute_text(text: Column, key: str, kind: str) -> Column:
     start = F.struct(F.substring(text, F.lit(1), cut).alias("a"), F.substring(text, cut + 1, n - cut).alias("b"))
 
     def change(half: str, value: Column, other: Column, i: Column) -> Column:
-        moved = lambda c, at: _shifted(c, _keyed(key, F.lit(kind), n, i, at, other))
+        moved = lambda c, at: _shifted(c, _keyed(key, kind, n, i, at, other))
         return F.array_join(F.transform(_chars(value), moved), "")
 
     return _feistel(start, change, lambda s: F.concat(s["a"], s["b"]))
@@ -177,13 +185,28 @@ def _email(m: Column, key: str) -> tuple[Column, Column]:
 
 def _date(m: Column, key: str) -> tuple[Column, Column]:
     parsed = [F.try_to_timestamp(m, F.lit(f)).cast("date") for f in DATE_FORMATS]
-    day = F.datediff(F.coalesce(*parsed), F.lit(FIRST_DAY).cast("date")).cast("long")
-    moved = permute_number(day, DAYS, key, "date").cast("int")
+    first = F.lit(FIRST_DAY).cast("date")
+    day = F.datediff(F.coalesce(*parsed), first).cast("long")
+    inside = F.coalesce(day.between(0, DAYS[0] * DAYS[1] - 1), F.lit(False))
+    # With slashes, the month stands first wherever that can be; a text that only a day can
+    # begin stays one, so that the two kinds of texts never meet.
+    day_first = parsed[3].isNotNull() & parsed[2].isNull()
+
+    def walk(found: Column, _: Column) -> Column:
+        """Permutes again until the day can't be a month: a permutation of the days of that kind."""
+        again = found["turns"].isNull() | (F.dayofmonth(F.date_add(first, found["day"].cast("int"))) <= 12)
+        moved = permute_number(found["day"], DAYS, key, "date")
+        turns = F.coalesce(found["turns"], F.lit(0)) + 1
+        return F.when(again, F.struct(moved.alias("day"), turns.alias("turns"))).otherwise(found)
+
+    start = F.struct(day.alias("day"), F.lit(None).cast("int").alias("turns"))
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(MOST_TURNS)), start, walk, lambda f: f["day"])
+    moved = F.when(day_first, walked).otherwise(permute_number(day, DAYS, key, "date")).cast("int")
     out = None
     for found, form in zip(parsed, DATE_FORMATS, strict=True):
-        written = F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), moved), form)
+        written = F.date_format(F.date_add(first, moved), form)
         out = F.when(found.isNotNull(), written) if out is None else out.when(found.isNotNull(), written)
-    return F.coalesce(day.between(0, DAYS[0] * DAYS[1] - 1), F.lit(False)), out
+    return inside, out
 
 
 def _social(m: Column, key: str) -> tuple[Column, Column]:
@@ -260,7 +283,9 @@ def pseudonymise(docs: DataFrame, key: str, *, id_col: str = "doc_id", text: str
     telephone numbers (a country code that stands apart stays). What isn't
     valid stays as it is. NULL texts give NULL and no values; NULL and repeated
     ids are passed on; an empty table gives no rows; other columns are ignored.
-    Who holds ``key`` can undo it, so keep it apart from the texts.
+    Who holds ``key`` can undo it, so keep it apart from the texts. The plan, and
+    so an event log, has keys derived from it, which undo it as well, but don't
+    tell the key.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
     # Most texts have nothing to look for.

@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from .gru import Network, Scorer, train
 from .texts import SPACE, whole
 
-#: Rows trained on, at most, of either label, and characters of such a row.
-SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 2_000, 3_000, 50_000
+#: Rows trained on, at most, of either label. Their texts are whole.
+SAMPLE_TOXIC, SAMPLE_CLEAN = 2_000, 3_000
 #: The score that a text at the network's own threshold gets.
 THRESHOLD = 0.7
 #: Texts whose words are numbered together.
@@ -38,16 +38,28 @@ def held_out(id_col: str) -> Column:
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text: str = "text", label: str = "toxic", seed: int = 42, epochs: int = 8
+    docs: DataFrame,
+    labels: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text: str = "text",
+    label: str = "toxic",
+    sample_toxic: int = SAMPLE_TOXIC,
+    sample_clean: int = SAMPLE_CLEAN,
+    seed: int = 42,
+    epochs: int = 8,
 ) -> Network:
-    """A network from the labelled rows with the smallest hash of the id, up to the sample's bounds."""
+    """A network from the labelled rows with the smallest hash of the id, at most so many of either label.
+
+    The rows' whole texts are read, very long ones too: they are what the driver holds.
+    """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull() & ~held_out(id_col))
     known = known.select(F.col(id_col).alias("id"), (F.col(label) == 1).alias("toxic"))
     order = [F.xxhash64("id", F.lit(seed)), F.col("id")]
-    chosen = [known.where(F.col("toxic") == k).orderBy(*order).limit(n) for k, n in ((True, SAMPLE_TOXIC), (False, SAMPLE_CLEAN))]
+    chosen = [known.where(F.col("toxic") == k).orderBy(*order).limit(n) for k, n in ((True, sample_toxic), (False, sample_clean))]
     # Bounded by the sample's size, so that broadcasting it is safe at any size of the input.
-    texts = docs.select(F.col(id_col).alias("id"), whole(text).alias("text")).where(F.length("text") <= SAMPLE_CHARS)
-    rows = texts.join(F.broadcast(chosen[0].unionByName(chosen[1])), "id").limit(SAMPLE_TOXIC + SAMPLE_CLEAN).toArrow()
+    texts = docs.select(F.col(id_col).alias("id"), whole(text).alias("text"))
+    rows = texts.join(F.broadcast(chosen[0].unionByName(chosen[1])), "id").limit(sample_toxic + sample_clean).toArrow()
     found = sorted(zip(rows.column("text").to_pylist(), rows.column("toxic").to_pylist(), strict=True))
     return train((words(t) for t, _ in found), [k for _, k in found], seed=seed, epochs=epochs)
 

@@ -19,7 +19,7 @@ from urllib.parse import quote
 import pyarrow as pa
 import zstandard
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.paths import work_folder
@@ -135,13 +135,19 @@ def dictionary_frame(dictionary: bytes) -> bytes:
 
 
 def filesystem(path: str) -> tuple[fs.FileSystem, str]:
-    """A file system pyarrow can open for a path or URI, and the path in it."""
+    """A file system pyarrow can open for a URI (or a path on this machine), and the path in it."""
     uri = path.replace("s3a://", "s3://", 1)
     if "://" not in uri:
         uri = f"file://{uri.removeprefix('file:')}"
     return fs.FileSystem.from_uri(uri)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme that the cluster's configuration gives it."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(target).toString()
+
+
 class ArchiveWriter:
     """Writes records to new archives below a folder; ``done`` lists those closed."""
 
@@ -190,25 +196,45 @@ def read_dictionary(stream) -> tuple[bytes | None, bytes]:
 
 
 def frames(stream) -> Iterator[tuple[bytes, str | None]]:
-    """Each frame's content in order, with what is wrong if it can't be decoded; then reading ends."""
+    """Each frame's content in order; a gap that can't be decoded gives one row with what is wrong.
+
+    Behind a gap reading goes on at the next frame that begins a record. While
+    it is looked for, memory holds what was read since the gap's last try.
+    """
     dictionary, rest = read_dictionary(stream)
     decoder = zstandard.ZstdDecompressor(dict_data=dictionary and zstandard.ZstdCompressionDict(dictionary))
+    lost = False
     while rest or (rest := stream.read(READ_BYTES)):
-        frame, parts = decoder.decompressobj(), []
+        if lost:
+            # Its first byte has been tried.
+            at = rest.find(ZSTD_MAGIC, 1)
+            if at < 0:
+                more = stream.read(READ_BYTES)
+                if not more:
+                    return
+                rest = rest[-len(ZSTD_MAGIC) :] + more
+                continue
+            rest = rest[at:]
+        frame, parts, read = decoder.decompressobj(), [], [rest]
         try:
             while True:
-                parts.append(frame.decompress(rest))
+                parts.append(frame.decompress(read[-1]))
                 if frame.eof:
-                    rest = frame.unused_data
                     break
-                rest = stream.read(READ_BYTES)
-                if not rest:
-                    yield b"", "the frame is cut off"
-                    return
+                read.append(stream.read(READ_BYTES))
+                if not read[-1]:
+                    raise zstandard.ZstdError("it is cut off")
         except zstandard.ZstdError as e:
-            yield b"", f"the frame can't be decoded: {e}"
-            return
-        yield b"".join(parts), None
+            if not lost:
+                yield b"", f"the frame can't be decoded: {e}"
+            lost, rest = True, b"".join(read)
+            continue
+        content = b"".join(parts)
+        if lost and not content.startswith(b"WARC/"):
+            rest = b"".join(read)
+            continue
+        lost, rest = False, frame.unused_data
+        yield content, None
 
 
 def write_archives(
@@ -229,8 +255,11 @@ def write_archives(
     responses, the others revisit it. NULL ids come last: they revisit a page
     with an id, and are responses if there is none. Rows that repeat the
     smallest id are each a response. An empty table gives no archive; other
-    columns are ignored. ``folder`` must be shared and open to pyarrow.
+    columns are ignored. ``folder`` must be shared, in a store that pyarrow can
+    open; without a scheme it lies in the cluster's default store, for the tasks
+    as for Spark.
     """
+    folder = qualified(pages.sparkSession, folder)
     rows = pages.select(
         F.col(id_col).cast("long").alias("page"), F.col(url).cast("string").alias("url"), whole(html).alias("html"),
         F.sha1(whole(html)).alias("digest"),
@@ -272,9 +301,10 @@ READ_SCHEMA = (
 def read_archives(archives: DataFrame, *, payloads: bool = True) -> DataFrame:
     """One row per record of the archives in the column ``path``, with ``READ_SCHEMA``.
 
-    ``problem`` is NULL for a valid record. What can't be decoded gives a row
-    with the reason, and the rest of that archive is not read. Without
-    ``payloads`` they are checked but not returned.
+    ``problem`` is NULL for a valid record. What can't be decoded gives one row
+    per gap with the reason; reading goes on at the next record. Without
+    ``payloads`` they are checked but not returned. Without archives there are
+    no rows.
     """
     names = [part.split()[0] for part in READ_SCHEMA.split(", ")]
     schema = pa.schema([
