@@ -23,6 +23,7 @@ from . import (
     warc,
     winnowing,
 )
+from .texts import written
 
 #: A key for the registered query; a real one is kept apart from code and texts.
 DEMONSTRATION_KEY = "demonstration"
@@ -87,8 +88,8 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = [digests.exact_duplicates(docs.where(p), name, path, arrival=a) for a, p in (("early", early), ("late", ~early))]
     digests.close_index(spark, name)
     both = parts[0].unionByName(parts[1])
-    # A text's rows of both arrivals.
-    sizes = both.groupBy("text_sha256").agg(F.count(F.lit(1)).alias("all_rows"))
+    # A text's rows of both arrivals; as a table, so that adaptive execution can split a text that many rows share.
+    sizes = written(both.groupBy("text_sha256").agg(F.count(F.lit(1)).alias("all_rows")), "text-sizes")
     return both.join(sizes.hint("merge"), "text_sha256").select(
         "doc_id", "keep_id", F.col("all_rows").alias("group_size"), "kept", "text_sha256"
     )
