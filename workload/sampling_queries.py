@@ -85,8 +85,8 @@ def undersampled(spark, sf):
 
 # --- minority classes: embedding labels, some of them made rare ---
 
-_LABEL = "CASE WHEN label > 2 OR vec_id % (label + 2) = 0 THEN CAST(label AS VARCHAR(9)) ELSE 'BENIGN' END AS Label"
-_MINORITY = f"""mi AS (SELECT vec_id, {_LABEL}, embedding FROM embeddings),
+_SIZED = "CASE WHEN label > 2 OR vec_id % (label + 2) = 0 THEN CAST(label AS VARCHAR(9)) ELSE 'BENIGN' END AS Label"
+_MINORITY = f"""mi AS (SELECT vec_id, {_SIZED}, embedding FROM embeddings),
 plan AS (SELECT Label, count(*) AS n, least(2000, count(*) * 3) AS target FROM mi WHERE Label <> 'BENIGN' GROUP BY Label
   HAVING count(*) < 1000),
 k AS (SELECT min(n) AS smallest, CASE WHEN min(n) > 1 THEN least(5, min(n) - 1) WHEN min(n) = 1 THEN 1 END AS k FROM plan)"""
@@ -94,7 +94,7 @@ k AS (SELECT min(n) AS smallest, CASE WHEN min(n) > 1 THEN least(5, min(n) - 1)
 
 def minority(spark, sf):
     """All embeddings: classes of several sizes, and the large class that is never oversampled."""
-    return table(spark, sf, "embeddings").selectExpr("vec_id", _LABEL, "embedding")
+    return table(spark, sf, "embeddings").selectExpr("vec_id", _SIZED, "embedding")
 
 
 @query("T4_oversampling_plan", f"WITH {_MINORITY} SELECT Label, n, CAST(target AS BIGINT) AS target FROM plan")

@@ -383,13 +383,13 @@ def box(spark, sf):
     "V5_box_by_group",
     f"""WITH {_WINDOWS}, g AS (SELECT mse, 'class ' || (event_id % 7) AS part FROM errors), b AS (SELECT part, quantile_cont(mse, 0.25) AS q1,
       quantile_cont(mse, 0.5) AS median, quantile_cont(mse, 0.75) AS q3 FROM g GROUP BY part)
-    SELECT part, count(*) AS n, round(any_value(q1), 6) AS q1, round(any_value(median), 6) AS median, round(any_value(q3), 6) AS q3,
-      round(min(mse) FILTER (mse BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)), 6) AS low_whisker,
-      round(max(mse) FILTER (mse BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)), 6) AS high_whisker,
+    SELECT part, count(*) AS n, round(any_value(q1), 3) AS q1, round(any_value(median), 3) AS median, round(any_value(q3), 3) AS q3,
+      round(min(mse) FILTER (mse BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)), 3) AS low_whisker,
+      round(max(mse) FILTER (mse BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)), 3) AS high_whisker,
       count(*) FILTER (mse NOT BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS outliers
     FROM g JOIN b USING (part) GROUP BY part""",
 )
 def box_by_part(spark, sf):
     """Boxes by a column of several values, from the same passes as by two classes."""
     rows = fit_errors(spark, sf).withColumn("part", F.concat(F.lit("class "), F.col("event_id") % 7))
-    return rounded(diagnostics.box_summary(rows, "mse", "part"))
+    return rounded(diagnostics.box_summary(rows, "mse", "part"), 3)
