@@ -38,10 +38,14 @@ BASE = (
     Rule("access", "AKIA", "[A-Z0-9]+", 12),
     Rule("hex", "", "[0-9a-f]{32,}"),
 )
+# What follows a private key's first line: base64 or the name of a field, whose value goes to the end
+# of its line. Two dashes end it, as before END; one behind a word belongs to it, as in DEK-Info.
+# Line ends may be written out, as in JSON.
+KEY_LINES = r"""([\r\n\\]+([A-Za-z0-9+/=]+-?)*(: ?[^\r\n\\"]*)?)*"""
 MORE = (
     Rule("github", "gh[opsur]_", "[A-Za-z0-9]+", 36),
     Rule("slack", "xox[abprs]-", "[A-Za-z0-9-]+", 10),
-    Rule("private_key", "-----BEGIN ([A-Z]+ )*PRIVATE KEY", "-----"),
+    Rule("private_key", "-----BEGIN ([A-Z]+ )*PRIVATE KEY( BLOCK)?", "-----" + KEY_LINES),
 )
 
 

@@ -20,7 +20,11 @@ PLAIN = [
     ("hex", re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 32),
     ("github", re.compile("gh[opsur]_([A-Za-z0-9]+)"), lambda m: len(m[1]) >= 36),
     ("slack", re.compile("xox[abprs]-([A-Za-z0-9-]+)"), lambda m: len(m[1]) >= 10),
-    ("private_key", re.compile("-----BEGIN ([A-Z]+ )*PRIVATE KEY-----"), bool),
+    (
+        "private_key",
+        re.compile(r"""-----BEGIN ([A-Z]+ )*PRIVATE KEY( BLOCK)?-----([\r\n\\]+([A-Za-z0-9+/=]+-?)*(: ?[^\r\n\\"]*)?)*"""),
+        bool,
+    ),
 ]
 
 
@@ -32,6 +36,7 @@ def plain_spans(text):
 PARTS = [
     "password", "passwd", "secret", "TOKEN", "api_key", "apikey", '"', "'", " ", ":", "=", "abc", "deadbeef", "0123456789abcdef",
     "AKIA", "ABCD1234", "é", "x", "_", ".", "ghp_", "aB3dE5gH7j", "xoxb-", "-", "-----BEGIN RSA PRIVATE KEY-----", "\n", "ſ", "K",
+    "-----BEGIN PGP PRIVATE KEY BLOCK-----", "-----END RSA PRIVATE KEY-----", "\r\n", "\\n", "Proc-Type: 4",
 ]
 
 
@@ -84,6 +89,31 @@ def test_redact():
     assert secrets.redact("a token=abcdefgh b", [("assign", 2, 16)]) == "a [assign] b"
 
 
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\\n"])
+@pytest.mark.parametrize("name, fields", [
+    ("PRIVATE KEY", []),
+    ("RSA PRIVATE KEY", ["Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,0A1B2C", ""]),
+    ("PGP PRIVATE KEY BLOCK", ["Version: GnuPG v2", "Comment: one - two", ""]),
+])
+def test_key_material_is_redacted(end, name, fields):
+    material = ["MIIEpAIBAAKCAQEA+/x9", "Zm9vYmFy0==", "=aB3d"]
+    block = end.join([f"-----BEGIN {name}-----", *fields, *material, f"-----END {name}-----"])
+    text = f'é "{block}" between "{block}" behind'
+    scan = secrets.scanner(secrets.BASE + secrets.MORE)
+    left = secrets.redact(text, scan.spans(text))
+    assert not any(m in left for m in material)
+    # The n of a line end that is written out is a word with a dash behind it.
+    rest = f'"[private_key]{"-" * (4 if end == chr(92) + "n" else 5)}END {name}-----"'
+    assert left == f"é {rest} between {rest} behind"
+
+
+def test_a_key_without_its_end():
+    scan = secrets.scanner(secrets.MORE)
+    assert scan.spans("-----BEGIN PRIVATE KEY----- is a header") == [("private_key", 0, 27)]
+    two = "-----BEGIN PRIVATE KEY-----\nQUJD\n"
+    assert scan.spans(two * 2) == [("private_key", 0, 33), ("private_key", 33, 66)]
+
+
 def plain_counts(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     windows = Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))
