@@ -1,16 +1,18 @@
-"""Anomaly-model training end to end: clean, scale, sequence, fit, threshold, detect, save."""
+"""Anomaly models end to end: extract, clean, scale, sequence, fit, threshold, detect, save; and judging new tables."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import anomaly, cleaning, diagnostics, sampling, scaling, sequences
-from ..sources.packages import AnomalyPackage, save_anomaly_model
+from ..sources.packages import AnomalyPackage, load_anomaly_model, load_classifier, save_anomaly_model
 from ..sources.paths import spread_for_training, write_and_read
+from ..sources.tables import load_or_extract
+from .classifier import uncertain_extractor
 
 
 @dataclass
@@ -94,3 +96,86 @@ def train_anomaly_model(
         "boxes": diagnostics.box_summary(judged),
     }
     return AnomalyRun(package, params, thresholds, tables)
+
+
+def train_from_flows(
+    spark: SparkSession,
+    work: str,
+    *,
+    order_by: Sequence[str],
+    keys: Sequence[str] = (),
+    saved: str | None = None,
+    flows: DataFrame | None = None,
+    classifier: str | None = None,
+    **options,
+) -> AnomalyRun:
+    """``train_anomaly_model`` on the uncertain rows saved at ``saved``, or extracted now and saved there.
+
+    Extraction takes ``flows`` and the path of a saved ``classifier``: of all
+    columns, the classifier's features, the keys and the order stay. A rerun
+    finds the saved rows and does not score again. Without saved rows and
+    without both sources it fails. ``saved`` is ``uncertain`` below ``work`` by
+    default.
+    """
+    extract = None
+    if flows is not None and classifier is not None:
+        package = load_classifier(spark, classifier)
+        names = list(dict.fromkeys([*keys, *order_by, *package.feature_columns]))
+        extract = uncertain_extractor(flows.select(*[F.col(f"`{c}`") for c in names]), package)
+    uncertain = load_or_extract(spark, saved or f"{work}/uncertain", extract)
+    return train_anomaly_model(uncertain, work, order_by=order_by, keys=keys, **options)
+
+
+def judge_flows(
+    flows: DataFrame,
+    package: AnomalyPackage | str,
+    work: str,
+    *,
+    order_by: Sequence[str],
+    keys: Sequence[str] = (),
+    slice_by: Column | None = None,
+    stride: int = 1,
+) -> dict[str, DataFrame]:
+    """Judges a new table with a fitted or saved package.
+
+    The package's columns are taken by name and go through the scaling that live
+    messages go through: missing and infinite values become numbers, and no row
+    is left out. Windows are those of training, one at every ``stride``-th row
+    of a key.
+
+    Tables: ``judged`` (written below ``work``: keys, window_no, order of the
+    window's last row, mse, mae, is_anomaly, anomaly_confidence), ``summary``
+    (one row), ``by_key`` (windows, anomalies, their share and the largest
+    error; without keys one row) and ``expected_rate`` (share above the
+    package's threshold). A key of fewer rows than a window is not judged; with
+    no keys, too few rows are an error. A package that is not there fails, too.
+    """
+    if isinstance(package, str):
+        path, package = package, load_anomaly_model(flows.sparkSession, package)
+        if package is None:
+            raise FileNotFoundError(f"{path}: no anomaly package")
+    absent = [c for c in package.feature_columns if c not in flows.columns]
+    if absent:
+        raise ValueError(f"columns the model needs are missing: {absent}")
+    carried = list(dict.fromkeys([*keys, *order_by]))
+    features = F.array(*[F.col(f"`{c}`").cast("double") for c in package.feature_columns])
+    vectors = flows.select(
+        *[F.col(f"`{c}`") for c in carried], scaling.scale_features(features, package.scaler).alias("vector")
+    )
+    windows = sequences.strided_sequences(
+        vectors, keys, order_by, "vector", length=package.sequence_length, stride=stride, slice_by=slice_by,
+        on_short="skip" if keys else "error",
+    )
+    errors = anomaly.add_errors(anomaly.reconstruct(windows, package.model)).drop("sequence", "rebuilt")
+    judged = write_and_read(anomaly.detect_anomalies(errors, package.params), f"{work}/judged")
+    by_key = judged.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("windows"),
+        F.count_if("is_anomaly").alias("anomalies"),
+        F.max("mse").alias("highest_mse"),
+    )
+    return {
+        "judged": judged,
+        "summary": anomaly.detection_summary(judged),
+        "by_key": by_key.withColumn("anomaly_share", F.try_divide(F.col("anomalies"), F.col("windows"))),
+        "expected_rate": anomaly.expected_anomaly_rate(judged, package.params.threshold),
+    }

@@ -11,7 +11,7 @@ from flowguard.functions.vectors import rebuild_by_mean
 from flowguard.operators import anomaly, classify, messages, scaling, sequences, stats
 from flowguard.operators.ordering import time_slice
 from flowguard.plans import monitor
-from flowguard.plans.anomaly import train_anomaly_model
+from flowguard.plans.anomaly import judge_flows, train_anomaly_model, train_from_flows
 from flowguard.plans.classifier import score_features, train_flow_classifier, uncertain_extractor
 from flowguard.sources import packages, tables
 from flowguard.sources.bus import MESSAGE_SCHEMA, read_messages
@@ -142,6 +142,98 @@ def test_saved_anomaly_model(spark, anomaly_run, tmp_path):
     assert packages.package_summary(spark, f"{work}/package").first().features == len(loaded.feature_columns)
 
 
+def new_flows(spark):
+    """Columns in another order, names that operators use, gaps, and a device of too few rows."""
+    rng = np.random.default_rng(14)
+    rows = [(float(c), f"d{i % 4}", i, float(b), float(a), "x", 1.0) for i, (a, b, c) in enumerate(rng.normal(size=(120, 3)) * 8)]
+    rows[10] = (None, *rows[10][1:])
+    rows[21] = (float("inf"), *rows[21][1:3], float("nan"), *rows[21][4:])
+    rows += [(1.0, "short", i, 1.0, 1.0, "x", 1.0) for i in range(4)]
+    return spark.createDataFrame(rows, "c double, device string, i long, b double, a double, sequence string, mse double")
+
+
+def judged_by_hand(rows, package, stride):
+    """(device, window, mse) with numpy: clean numbers, scale, window, project."""
+    mean = package.model.stages[0].mean.toArray()
+    basis = package.model.stages[1].pc.toArray()
+    s = package.scaler
+
+    def scaled(row):
+        out = []
+        for i, c in enumerate(package.feature_columns):
+            v = row[c]
+            v = 0.0 if v is None or np.isnan(v) else min(max(v, -1e6), 1e6)
+            v = (v - s.centre[i]) / s.spread[i]
+            v = -1 + 2 * (v - s.low[i]) / ((s.high[i] - s.low[i]) or 1)
+            out.append(min(max(v, -5.0), 5.0))
+        return out
+
+    found = {}
+    for device in {r.device for r in rows}:
+        vectors = [scaled(r) for r in sorted(rows, key=lambda r: r.i) if r.device == device]
+        for w, at in enumerate(range(0, len(vectors) - package.sequence_length + 1, stride)):
+            x = np.ravel(vectors[at : at + package.sequence_length])
+            found[device, w] = float(np.mean((x - mean - (x - mean) @ basis @ basis.T) ** 2))
+    return found
+
+
+@pytest.mark.parametrize("stride", [1, 4])
+def test_new_table_judged_by_a_saved_package(spark, anomaly_run, tmp_path, stride):
+    df = new_flows(spark)
+    package = anomaly_run[1].package
+    tables_ = judge_flows(
+        df.repartition(6), f"{anomaly_run[0]}/package", str(tmp_path), keys=["device"], order_by=["i"],
+        slice_by=F.expr("i div 30"), stride=stride,
+    )
+    want = judged_by_hand(df.collect(), package, stride)
+    got = {(r.device, r.window_no): r for r in tables_["judged"].collect()}
+    limit, std = package.params.threshold, package.params.mse_std
+    assert got.keys() == want.keys() and "short" not in {d for d, _ in got}
+    for k, mse in want.items():
+        assert got[k].mse == pytest.approx(mse) and got[k].is_anomaly == (mse > limit)
+        assert got[k].anomaly_confidence == pytest.approx(abs(mse - limit) / std)
+    above = sum(v > limit for v in want.values())
+    total = tables_["summary"].first()
+    assert (total.total, total.anomalies, total.normal) == (len(want), above, len(want) - above)
+    assert tables_["expected_rate"].first()[0] == pytest.approx(above / len(want))
+    for r in tables_["by_key"].collect():
+        mine = [v for (d, _), v in want.items() if d == r.device]
+        assert (r.windows, r.anomalies) == (len(mine), sum(v > limit for v in mine))
+        assert r.highest_mse == pytest.approx(max(mine)) and r.anomaly_share == pytest.approx(r.anomalies / r.windows)
+
+
+def test_what_cannot_be_judged(spark, anomaly_run, tmp_path):
+    package = anomaly_run[1].package
+    with pytest.raises(FileNotFoundError):
+        judge_flows(new_flows(spark), str(tmp_path / "none"), str(tmp_path), order_by=["i"])
+    with pytest.raises(ValueError, match="'c'"):
+        judge_flows(new_flows(spark).drop("c"), package, str(tmp_path), order_by=["i"])
+    few = new_flows(spark).where("device = 'short'")
+    with pytest.raises(ValueError, match="not enough rows"):
+        judge_flows(few, package, str(tmp_path), order_by=["i"])
+    empty = judge_flows(few, package, str(tmp_path / "empty"), keys=["device"], order_by=["i"])
+    assert empty["judged"].count() == 0 and empty["summary"].first().total == 0 and empty["by_key"].count() == 0
+
+
+def test_training_from_flows_extracts_once(spark, classifier, flows, tmp_path):
+    """Saved classifier, extraction, training; the second run reads what the first one saved."""
+    path, work = f"{classifier[0]}/package", str(tmp_path / "anomaly")
+    # Between the two large classes the classifier is unsure.
+    between = flows.where("Label = 'BENIGN'").withColumns({c: F.col(c) + 2 for c in "abc"})
+    numbered = flows.unionByName(between).withColumn("i", F.monotonically_increasing_id()).withColumn("device", F.lit("d")).withColumn("extra", F.lit(3.5))
+    numbered = stage(numbered, "numbered")
+    settings = dict(order_by=["i"], keys=["device"], length=3, components=2)
+    run = train_from_flows(spark, work, flows=numbered, classifier=path, **settings)
+    saved = spark.read.parquet(f"{work}/uncertain")
+    want = uncertain_extractor(numbered, packages.load_classifier(spark, path))()
+    assert saved.columns == ["device", "i", "a", "b", "c"] and 100 < saved.count() < numbered.count()
+    assert sorted(r.i for r in saved.collect()) == sorted(r.i for r in want.select("i").collect())
+    again = train_from_flows(spark, str(tmp_path / "again"), saved=f"{work}/uncertain", **settings)
+    assert again.package.params.threshold == pytest.approx(run.package.params.threshold)
+    with pytest.raises(ValueError, match="no saved rows"):
+        train_from_flows(spark, str(tmp_path / "nothing"), flows=numbered, **settings)
+
+
 def test_global_order_needs_enough_rows(spark, tmp_path):
     df = spark.createDataFrame([(i, float(i), float(i % 2) * 5) for i in range(6)], "i long, a double, b double")
     with pytest.raises(ValueError, match="not enough rows"):

@@ -15,11 +15,12 @@ from pyspark.sql import types as T
 from flowguard.functions.bounded import small_table
 from flowguard.operators import anomaly, classify, cleaning, labels, metrics, sequences, triage
 from flowguard.operators.ordering import time_slice
-from flowguard.operators.scaling import fit_standard
+from flowguard.operators.scaling import ScaleParams, fit_standard, scale_features
+from flowguard.plans.anomaly import judge_flows, train_from_flows
 from flowguard.sources import packages, tables
 from flowguard.sources.paths import spread_for_training, stage, work_folder
 
-from .testmap import FLOWS, MESSAGES, SEQUENCES, WEEK, sql, view
+from .testmap import FLOWS, MESSAGES, SEQUENCES, WEEK, rounded, sql, view
 
 QUERIES, SQL = {}, {}
 
@@ -326,6 +327,64 @@ def anomaly_round_trip(spark, sf):
     ).withColumn("absent_is_off", F.lit(absent))
 
 
+@query(
+    "W11_judge_saved_package",
+    f"""WITH s AS ({sql(SEQUENCES)}),
+    v AS (SELECT *, least(greatest((coalesce(value, 0) - 50) / 25, -5), 5) AS y FROM s),
+    w AS (SELECT device_id, y, lag(y) OVER (PARTITION BY device_id ORDER BY ts, event_id) AS x FROM v QUALIFY x IS NOT NULL),
+    m AS (SELECT avg(x) AS mx, avg(y) AS my, atan2(2 * covar_pop(x, y), var_pop(x) - var_pop(y)) / 2 AS angle FROM w),
+    e AS (SELECT device_id, pow((y - my) * cos(angle) - (x - mx) * sin(angle), 2) / 2 AS mse FROM w, m)
+    SELECT device_id, count(*) AS windows, count(*) FILTER (mse > 0.5) AS anomalies, round(max(mse), 6) AS highest_mse,
+           round(count(*) FILTER (mse > 0.5) / count(*), 6) AS anomaly_share
+    FROM e GROUP BY device_id""",
+)
+def judge_saved_package(spark, sf):
+    """A saved model of pairs of rows judges the table: what one axis of two leaves is known in closed form."""
+    rows = view(spark, sf, SEQUENCES)
+    scaler = ScaleParams(["value"], [50.0], [25.0])
+    vectors = rows.withColumn("vector", scale_features(F.array("value"), scaler))
+    pairs = sequences.strided_sequences(
+        vectors, ["device_id"], ["ts", "event_id"], "vector", length=2, slice_by=time_slice(F.col("ts"), WEEK)
+    )
+    path = work_folder(spark, "judging")
+    model = anomaly.fit_reconstruction(stage(pairs, "pairs"), 1)
+    package = packages.AnomalyPackage(model, scaler, anomaly.AnomalyParams(0.5, 0.25, 0.25), ["value"], 2)
+    packages.save_anomaly_model(spark, package, f"{path}/package")
+    tables = judge_flows(
+        rows, f"{path}/package", f"{path}/judging", keys=["device_id"], order_by=["ts", "event_id"],
+        slice_by=time_slice(F.col("ts"), WEEK),
+    )
+    return rounded(tables["by_key"])
+
+
+_MARKED = (FLOWS[0], [*FLOWS[1], "l_orderkey", "l_linenumber"])
+
+
+@query(
+    "S3_M8_train_from_flows",
+    f"""SELECT device, count(*) AS uncertain, count(*) - 4 AS windows FROM ({sql(_MARKED)}) WHERE f_rare = 1
+    GROUP BY device HAVING count(*) > 4""",
+)
+def chain_from_flows(spark, sf):
+    """A classifier that knows one column to mean DOUBT; its rows are extracted, trained on and judged."""
+    rows = stage(view(spark, sf, _MARKED).withColumn("Label", F.when(F.col("f_rare") == 1, "DOUBT").otherwise("BENIGN")), "marked")
+    columns = ["f_rare", "f_qty", "f_disc", "f_tax"]
+    classifier = classify.train_classifier(
+        spread_for_training(rows), fit_standard(rows, columns), ["BENIGN", "DOUBT"], method="joint", trees=10, depth=2
+    )
+    path = work_folder(spark, "chain")
+    packages.save_classifier(spark, classifier, f"{path}/classifier")
+    by_device = dict(keys=["device"], order_by=["l_orderkey", "l_linenumber"])
+    train_from_flows(
+        spark, f"{path}/anomaly", flows=rows, classifier=f"{path}/classifier", length=5, components=4, **by_device
+    )
+    uncertain = spark.read.parquet(f"{path}/anomaly/uncertain")
+    judged = judge_flows(uncertain, f"{path}/anomaly/package", f"{path}/judging", **by_device)["by_key"]
+    return uncertain.groupBy("device").agg(F.count(F.lit(1)).alias("uncertain")).join(judged, "device").select(
+        "device", "uncertain", "windows"
+    )
+
+
 # --- files ---
 
 _CSV = "f_qty, f_disc, f_tax, f_rare, device, Label"
