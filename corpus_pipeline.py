@@ -1,8 +1,8 @@
 """The corpus pipeline: five stages from raw documents to packed batches.
 
 Each stage works on all rows its predecessor kept, and all but the last return
-the columns of documents. Repeated rows, NULLs and empty texts are treated as
-the operators' docstrings say.
+the columns of documents, whatever further columns there are and whatever their
+names. An empty table stays empty through every stage.
 """
 
 from __future__ import annotations
@@ -14,28 +14,54 @@ from flowguard.llm.texts import written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the limits or the calibrated forest go."""
+    """Documents that fail the limits or the calibrated forest go.
+
+    NULL and empty texts fail the limits. Rows are judged by their text alone:
+    repeated rows share a verdict, and ids may be NULL. Without labels of any of
+    the documents only the limits decide.
+    """
     forest = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.keep_good(docs, forest)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that repeat an earlier one, or differ from it by one character, go; documents stay."""
+    """Lines that repeat an earlier one, or differ from it by one character, go; documents stay.
+
+    Earlier is what has a smaller id (NULL ids last), then a smaller text hash,
+    then stands further up. Rows equal in id and text keep the same lines. A
+    text that loses nothing is unchanged, NULL included; one that loses all its
+    lines becomes empty. A text of any length is one line if it has no line end.
+    """
     return lines.drop_repeated_lines(docs)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
+    """One document of each group of near duplicates stays: the one with the smallest id.
+
+    Of rows that share it, one stays: that with the smallest text hash. NULL
+    ids come last. NULL and empty texts, and those without words, have the
+    fingerprint zero and form a group like any other.
+    """
     return simhash.drop_near_duplicates(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are taken as often as their source's target asks for."""
+    """Documents are taken as often as their source's target asks for.
+
+    A NULL source is a source, weighed last. Documents without words (NULL and
+    empty texts among them) are not taken. Rows equal in id and text come from
+    the first of them, as often as all of them are taken; NULL ids are ids.
+    """
     return mixing.mixed(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per sequence: where it starts in its document, its bucket, batch and slot."""
+    """One row per sequence: where it starts in its document, its bucket, batch and slot.
+
+    Long documents give several sequences, repeated rows are packed as often as
+    they occur, and NULL ids are passed on. Documents without words give one
+    row of length 0 in no batch (NULLs).
+    """
     return packing.pack(docs)
 
 
