@@ -350,11 +350,11 @@ def judge_saved_package(spark, sf):
     model = anomaly.fit_reconstruction(stage(pairs, "pairs"), 1)
     package = packages.AnomalyPackage(model, scaler, anomaly.AnomalyParams(0.5, 0.25, 0.25), ["value"], 2)
     packages.save_anomaly_model(spark, package, f"{path}/package")
-    tables = judge_flows(
+    judged = judge_flows(
         rows, f"{path}/package", f"{path}/judging", keys=["device_id"], order_by=["ts", "event_id"],
         slice_by=time_slice(F.col("ts"), WEEK),
     )
-    return rounded(tables["by_key"])
+    return rounded(judged["by_key"])
 
 
 _MARKED = (FLOWS[0], [*FLOWS[1], "l_orderkey", "l_linenumber"])
