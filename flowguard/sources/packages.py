@@ -1,4 +1,4 @@
-"""Saved models: an MLlib model next to a one-row parameter table."""
+"""Saved models: trees as a table, or an MLlib model, next to a one-row parameter table."""
 
 from __future__ import annotations
 
@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 from ..functions.bounded import small_table
 from ..functions.numbers import DEFAULT_THRESHOLD
 from ..operators.anomaly import AnomalyParams
-from ..operators.boosting import BoostedModel, Tree
+from ..operators.boosting import BoostedModel
 from ..operators.classify import ClassifierPackage
+from ..operators.forest import ForestModel
 from ..operators.scaling import ScaleParams
 from ..operators.sequences import SEQUENCE_LENGTH
-from .paths import path_exists
+from ..operators.trees import Tree
+from .paths import path_exists, remove_path
 
 _SCALER = (
     "scaler_columns array<string>, centre array<double>, spread array<double>, "
@@ -70,10 +72,11 @@ def _write_row(spark: SparkSession, row: dict, schema: str, path: str) -> None:
 
 
 def save_classifier(spark: SparkSession, package: ClassifierPackage, path: str) -> None:
-    if package.method == "joint":
-        _save_boosted(spark, package.model, f"{path}/model")
-    else:
+    if isinstance(package.model, PipelineModel):
         package.model.write().overwrite().save(f"{path}/model")
+    else:
+        remove_path(spark, f"{path}/model")
+        _save_trees(spark, package.model, f"{path}/model")
     row = {
         "feature_columns": package.feature_columns,
         "classes": package.classes,
@@ -86,8 +89,8 @@ def save_classifier(spark: SparkSession, package: ClassifierPackage, path: str)
 _TREES = "round long, feature array<int>, bin array<int>, gain array<double>, value array<array<double>>"
 
 
-def _save_boosted(spark: SparkSession, model: BoostedModel, path: str) -> None:
-    """Trees as rows, and the edges and first margins as one row."""
+def _save_trees(spark: SparkSession, model: BoostedModel | ForestModel, path: str) -> None:
+    """Trees as rows, and the edges and what the rows start from as one row."""
     trees = [
         {"round": i, "feature": t.feature.tolist(), "bin": t.bin.tolist(), "gain": t.gain.tolist(), "value": t.value.tolist()}
         for i, t in enumerate(model.trees)
@@ -97,10 +100,10 @@ def _save_boosted(spark: SparkSession, model: BoostedModel, path: str) -> None:
     small_table(spark, start, "edges array<array<double>>, start array<double>").write.mode("overwrite").parquet(f"{path}/start")
 
 
-def _load_boosted(spark: SparkSession, path: str) -> BoostedModel:
+def _load_trees(spark: SparkSession, path: str, kind: type) -> BoostedModel | ForestModel:
     row = spark.read.parquet(f"{path}/start").first()
     trees = spark.read.parquet(f"{path}/trees").orderBy("round").collect()
-    return BoostedModel(
+    return kind(
         [list(e) for e in row["edges"]],
         list(row["start"]),
         [Tree(np.array(t.feature, np.int32), np.array(t.bin, np.int32), np.array(t.gain), np.array(t.value)) for t in trees],
@@ -117,9 +120,10 @@ def load_classifier(spark: SparkSession, path: str) -> ClassifierPackage:
     for part in CLASSIFIER_PARTS:
         if not found.get(part):
             raise KeyError(f"{path}: missing {part}")
-    joint = row["method"] == "joint"
+    kind = {"joint": BoostedModel, "forest": ForestModel}.get(row["method"])
+    own = kind is not None and path_exists(spark, f"{path}/model/trees")
     return ClassifierPackage(
-        _load_boosted(spark, f"{path}/model") if joint else PipelineModel.load(f"{path}/model"),
+        _load_trees(spark, f"{path}/model", kind) if own else PipelineModel.load(f"{path}/model"),
         _scaler(row),
         list(row["classes"]),
         list(row["feature_columns"]),
