@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.bounded import compute_once
 from ..functions.numbers import parse_number
 
 # Fixed value: the device name of a message without a key.
@@ -39,10 +40,11 @@ def parse_messages(messages: DataFrame, width: int | None = None) -> DataFrame:
     """Adds ``features`` and ``is_valid``, and fills in the device.
 
     A message is invalid when its text is NULL, when any field is not a number,
-    or when the field count differs from ``width``.
+    or when the field count differs from ``width``. Each text is parsed once,
+    whatever reads its features later.
     """
     parsed = messages.withColumn("device_id", device_or_unknown(F.col("device_id"))).withColumn(
-        "features", parse_features(F.col("csv_data"))
+        "features", compute_once(parse_features(F.col("csv_data")))
     )
     ok = F.col("features").isNotNull() & ~F.exists("features", lambda v: v.isNull())
     if width is not None:

@@ -153,7 +153,9 @@ def start_cascade(
 
     def process(batch: DataFrame, batch_id: int) -> None:
         session, work = batch.sparkSession, f"{output}/working/{batch_id}"
-        parsed = write_and_read(in_ranges(parse_messages(batch, width), arrival), f"{work}/messages")
+        # Cutting ranges reads what it cuts twice: the messages as they came, not the parsed ones. Rows equal
+        # in ``order_by`` are in one range, so the order by ``arrival`` holds inside ranges and between them.
+        parsed = write_and_read(parse_messages(in_ranges(batch, order_by), width), f"{work}/messages")
         # The counts that the numbering needs also tell whether there is anything to do.
         sizes = parsed.groupBy("_range").agg(F.count_if("is_valid")).collect()
         if sizes:

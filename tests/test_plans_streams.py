@@ -16,7 +16,7 @@ from flowguard.plans.classifier import score_features, train_flow_classifier, un
 from flowguard.sources import packages, tables
 from flowguard.sources.bus import MESSAGE_SCHEMA, read_messages
 from flowguard.sources.paths import path_exists, remove_path, stage, work_folder
-from flowguard.streaming import rolling
+from flowguard.streaming import cascade, rolling
 from flowguard.streaming.cascade import Tier1, Tier2, start_cascade
 from flowguard.streaming.deltas import DeltaTable
 
@@ -415,6 +415,32 @@ def test_one_device_with_a_third_of_all_rows_is_split(spark):
     assert rows.count() == 3000
 
 
+def test_a_message_is_parsed_once(spark):
+    """The filter on valid messages and the readers of their fields share one parsed array."""
+    rows = spark.createDataFrame([("a", "1,2,3"), ("b", None), ("c", "1,x,2"), ("d", "1,2")], "device_id string, csv_data string")
+    valid = messages.valid_messages(messages.parse_messages(rows, 3))
+    read = valid.select("device_id", *[F.get("features", F.lit(i)).alias(f"f{i}") for i in range(3)]).where("f0 < f1 AND f1 < f2")
+    assert read._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    assert [tuple(r) for r in read.collect()] == [("a", 1.0, 2.0, 3.0)]
+
+
+def test_ranges_are_cut_before_messages_are_parsed(spark, tmp_path, monkeypatch):
+    """Cutting ranges computes its input twice; devices that tie in time are numbered by their names all the same."""
+    cut, whole = [], cascade.in_ranges
+    monkeypatch.setattr(cascade, "in_ranges", lambda df, by: (cut.append((df.columns, list(by))), whole(df, by))[1])
+    inbox, out = str(tmp_path / "inbox"), str(tmp_path / "out")
+    rows = [(d, "1,2", f"2024-01-0{1 + i % 3} 00:00:00") for i in range(30) for d in ("z", None, "b", "", "unknown0")]
+    messages = spark.createDataFrame(rows, "device_id string, csv_data string, timestamp string").withColumn("timestamp", F.to_timestamp("timestamp"))
+    messages.write.parquet(inbox)
+    tier1 = cascade.Tier1(["BENIGN", "DoS"], lambda df: df.withColumn("probability", F.array(F.lit(0.1), F.lit(0.9))))
+    cascade.start_cascade(
+        read_messages(spark, "parquet", path=inbox), tier1, None, output=out, checkpoint=f"{out}/checkpoint", width=2, trigger={"availableNow": True}
+    ).awaitTermination()
+    assert cut and all("features" not in columns and by == ["timestamp"] for columns, by in cut)
+    got = [(str(r.timestamp), r.device_id) for r in spark.read.parquet(f"{out}/results").orderBy("sample_id").collect()]
+    assert len(got) == 150 and got == sorted(got)
+
+
 def test_kafka_options_are_built_lazily(spark):
     with pytest.raises(Exception, match="(?i)kafka"):
         read_messages(spark, brokers="h:1", topic="t")
