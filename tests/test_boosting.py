@@ -109,3 +109,12 @@ def test_one_class_and_constant_features(spark):
     model = fitted(rows)
     assert all((t.feature < 0).all() and (t.value == 0).all() for t in model.trees)
     assert model.importances().sum() == 0
+
+
+def test_boosted_ensembles_read_rows_that_were_written_once(rows, monkeypatch):
+    paths, real = [], classify.write_and_read
+    monkeypatch.setattr(classify, "write_and_read", lambda df, path: paths.append(path) or real(df, path))
+    known = rows.where("Label IS NOT NULL").na.fill(0.0)
+    package = classify.train_classifier(known, fit_standard(known, COLUMNS), CLASSES, method="boosted", trees=2, depth=2)
+    assert len(paths) == 1 and len(package.model.stages) == 3
+    assert all(sum(r.probability) == pytest.approx(1.0) for r in classify.score(known, package).collect())
