@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from flowguard.operators import boosting, classify, metrics
 from flowguard.operators.scaling import fit_standard
 from flowguard.sources import packages
+from workload import model_queries
 
 CLASSES = ["a", "b", "c"]
 COLUMNS = ["x", "y", "z"]
@@ -111,6 +112,25 @@ def test_one_class_and_constant_features(spark):
     assert model.importances().sum() == 0
 
 
+def test_a_round_computes_the_probabilities_of_its_rows_once(spark):
+    r = np.random.default_rng(2)
+    n, margins = 1000, r.normal(size=(3, 1000))
+    y, draw, bins = r.integers(0, 3, n).astype(np.int32), r.integers(-(2**63), 2**63 - 1, n), r.integers(0, 9, (2, n)).astype(np.uint8)
+    state = spark.sparkContext.parallelize([tuple(v.tobytes() for v in (y, draw, bins, margins))], 1)
+    ((some, part, p),) = boosting._drawn(state, 3, 0.5, 2, 3).collect()
+    taken = boosting._taken(draw, 3, 0.5)
+    assert 400 < taken.sum() < 600 and (np.frombuffer(some, np.int32) == y[taken]).all()
+    assert (np.frombuffer(part, np.uint8).reshape(2, -1) == bins[:, taken]).all()
+    want = np.exp(margins[:, taken]) / np.exp(margins[:, taken]).sum(axis=0)
+    assert np.allclose(np.frombuffer(p, np.float32).reshape(3, -1), want, atol=1e-6)
+
+
+def test_flows_are_dealt_to_all_cores(spark, sf):
+    assert spark.read.parquet(f"{sf}/lineitem.parquet").rdd.getNumPartitions() == 1
+    rows = model_queries.flows(spark, sf)
+    assert rows.rdd.getNumPartitions() > 4 and rows.count() == spark.read.parquet(f"{sf}/lineitem.parquet").count()
+
+
 def test_boosted_ensembles_read_rows_that_were_written_once(rows, monkeypatch):
     paths, real = [], classify.write_and_read
     monkeypatch.setattr(classify, "write_and_read", lambda df, path: paths.append(path) or real(df, path))

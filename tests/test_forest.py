@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from flowguard.operators import classify, forest
 from flowguard.operators.scaling import fit_standard
-from flowguard.operators.trees import blocks
+from flowguard.operators.trees import Tree, block_rdd, blocks
 from flowguard.sources import packages
 
 CLASSES = ["a", "b", "c"]
@@ -113,3 +113,43 @@ def test_one_class_and_constant_features(spark):
     data = spark.createDataFrame([(1.0, 1.0, 1.0, "b")] * 20, "x double, y double, z double, Label string")
     model = fitted(data)
     assert model.probabilities(np.ones((2, 3))).tolist() == [[0.0, 1.0, 0.0]] * 2 and model.importances().sum() == 0
+
+
+def test_all_trees_at_once_are_the_trees_walked_one_by_one(monkeypatch):
+    r = np.random.default_rng(5)
+    edges = [list(map(float, range(n))) for n in (31, 9, 1)]
+    trees = [Tree.empty(6, 3) for _ in range(9)]
+    for tree in trees:
+        tree.value[:] = r.random(tree.value.shape)
+        for node in range(63):
+            # Some nodes aren't split, and nothing is below them.
+            if (node == 0 or tree.feature[(node - 1) // 2] >= 0) and r.random() < 0.9:
+                tree.feature[node], tree.bin[node] = r.integers(0, 3), r.integers(0, 31)
+    x = np.stack([r.integers(-1, n + 1, 300) + 0.5 for n in (31, 9, 1)], axis=1)
+    x[::17] = np.nan
+    whole = forest.ForestModel(edges, [0.2, 0.3, 0.5], trees)
+    assert whole._ends is not None
+    bins = forest.binned(edges, x)
+    want = np.zeros((300, 3))
+    for tree in trees:
+        for i, row in enumerate(bins):
+            path = [0]
+            while path[-1] < 63 and tree.feature[path[-1]] >= 0:
+                path.append(2 * path[-1] + 1 + int(row[tree.feature[path[-1]]] > tree.bin[path[-1]]))
+            want[i] += tree.value[path[-1]] / 9
+            assert [tree.nodes(bins[i : i + 1].T, k)[0] for k in range(7)] == [path[min(k, len(path) - 1)] for k in range(7)]
+    want /= want.sum(axis=1, keepdims=True)
+    assert np.allclose(whole.probabilities(x), want)
+    monkeypatch.setattr(forest, "_MASKED_FEATURES", 2)
+    walked = forest.ForestModel(edges, [0.2, 0.3, 0.5], trees)
+    assert walked._ends is None and np.allclose(walked.probabilities(x), want)
+    assert forest.ForestModel(edges, [0.2, 0.3, 0.5], [Tree.empty(2, 3)])._ends[1].shape == (4, 3)
+
+
+def test_blocks_are_dealt_by_their_number(spark):
+    table = spark.range(40).selectExpr("cast(cast(id as string) as binary) AS b").repartition(1)
+    cores = spark.sparkContext.defaultParallelism
+    assert block_rdd(table, ["b"], 100).getNumPartitions() == cores
+    few = block_rdd(table, ["b"], 2)
+    assert few.getNumPartitions() == cores * -(-40 // (2 * cores))
+    assert sorted(int(v[0]) for v in few.collect()) == list(range(40))
