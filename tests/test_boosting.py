@@ -138,3 +138,46 @@ def test_boosted_ensembles_read_rows_that_were_written_once(rows, monkeypatch):
     package = classify.train_classifier(known, fit_standard(known, COLUMNS), CLASSES, method="boosted", trees=2, depth=2)
     assert len(paths) == 1 and len(package.model.stages) == 3
     assert all(sum(r.probability) == pytest.approx(1.0) for r in classify.score(known, package).collect())
+
+
+@pytest.fixture(scope="module")
+def repeated(spark):
+    """Few different rows, most of them many times, one of them a third of all."""
+    r = np.random.default_rng(8)
+    x, y = r.integers(0, 3, (600, 3)), r.integers(0, 3, 600)
+    x[:200], y[:200] = 1, 0
+    return spark.createDataFrame([(*map(float, v), CLASSES[k]) for v, k in zip(x, y, strict=True)], "x double, y double, z double, Label string").repartition(4).cache()
+
+
+def test_rows_in_the_same_bins_are_one_group(spark, repeated, tmp_path, monkeypatch):
+    kept = []
+    monkeypatch.setattr(boosting, "remove_path", lambda spark, path: kept.append(path))
+    model = fitted(repeated, folder=str(tmp_path))
+    known = repeated.collect()
+    x, y = np.array([[r.x, r.y, r.z] for r in known]), np.array([CLASSES.index(r.Label) for r in known])
+    for got, want in zip(model.margins(x), plain(model, x, y, 4, 3), strict=True):
+        assert np.allclose(got, want)
+    state = spark.read.parquet(str(tmp_path / "state-0"))
+    size = state.agg(F.sum(F.length("y") / 4).alias("rows"), F.sum(F.length("bins") / 3).alias("groups")).first()
+    assert size.rows == 600 and size.groups < 300
+
+
+def test_a_round_takes_the_same_rows_of_groups_as_of_rows(spark):
+    r = np.random.default_rng(2)
+    owner = np.sort(r.integers(0, 50, 1000)).astype(np.int32)
+    y, draw = r.integers(0, 3, 1000).astype(np.int32), r.integers(-(2**63), 2**63 - 1, 1000)
+    bins, margins = r.integers(0, 9, (2, 50)).astype(np.uint8), r.normal(size=(3, 50))
+    grouped = tuple(v.tobytes() for v in (y, draw, bins, margins, owner))
+    single = (*(v.tobytes() for v in (y, draw, bins[:, owner], margins[:, owner])), b"")
+    tree = boosting.Tree.empty(2, 3)
+    tree.feature[0], tree.bin[0] = 1, 4
+    tree.feature[1] = -1
+    for level in (0, 1):
+        one, other = (
+            boosting._best_splits(boosting._drawn(spark.sparkContext.parallelize([block], 1), 3, 0.5, 2, 3), tree, level, [0, 1], 2)
+            for block in (grouped, single)
+        )
+        assert [v[:3] for v in one] == [v[:3] for v in other] and len(one) == level + 1
+        assert all(np.allclose(a, b) for v, w in zip(one, other, strict=True) for a, b in zip(v[3:], w[3:], strict=True))
+    added = boosting._added(spark.sparkContext.parallelize([grouped], 1), tree, 2).first()
+    assert added[4] == grouped[4] and len(added[3]) == len(grouped[3])
