@@ -153,3 +153,39 @@ def test_blocks_are_dealt_by_their_number(spark):
     few = block_rdd(table, ["b"], 2)
     assert few.getNumPartitions() == cores * -(-40 // (2 * cores))
     assert sorted(int(v[0]) for v in few.collect()) == list(range(40))
+
+
+def test_rows_of_one_class_in_the_same_bins_are_one_entry(spark, tmp_path, monkeypatch):
+    r = np.random.default_rng(8)
+    x, y = r.integers(0, 3, (600, 3)), r.integers(0, 3, 600)
+    x[:200], y[:200] = 1, 0
+    rows = spark.createDataFrame([(*map(float, v), CLASSES[k]) for v, k in zip(x, y, strict=True)], "x double, y double, z double, Label string")
+    kept = []
+    monkeypatch.setattr(forest, "remove_path", lambda spark, path: kept.append(path))
+    # A sample that takes every row once.
+    monkeypatch.setattr(forest, "_drawn_times", lambda generator, draws, n, runs, tables, share: n.astype(float))
+    monkeypatch.setattr(forest, "_times", lambda share: np.ones(1 << 16))
+    model = fitted(rows.repartition(4), column_share=1.0, folder=str(tmp_path))
+    assert np.allclose(model.probabilities(x.astype(float)), plain(forest.binned(model.edges, x.astype(float)), y, 3))
+    sizes = spark.read.parquet(*kept).agg(F.sum(F.length("y") / 4), F.sum(F.length("bins") / 3)).first()
+    assert sizes[0] == sizes[1] < 300
+
+
+def test_entries_are_drawn_as_often_as_their_rows():
+    n = np.sort(np.random.default_rng(1).integers(1, 60, 20000))
+    runs = forest._runs(n)
+    assert [v for v, _, _ in runs] == list(range(1, forest._TABLED + 1)) and forest._runs(n[:0]) == []
+    tables = {v: forest._times(0.8 * v).astype(np.uint8) for v, _, _ in runs}
+    total = np.zeros(len(n))
+    squares = np.zeros(len(n))
+    for i in range(200):
+        generator = np.random.SFC64([42, 3, i])
+        draws = generator.random_raw(len(n) // 4).view(np.uint16)
+        times = forest._drawn_times(generator, draws, n, runs, tables, 0.8)
+        total += times
+        squares += times**2
+    # A Poisson draw's mean and variance are the same.
+    for v in (1, 2, 10, 32, 33, 59):
+        mean = total[n == v].mean() / 200
+        assert mean == pytest.approx(0.8 * v, rel=0.02)
+        assert squares[n == v].mean() / 200 - mean**2 == pytest.approx(0.8 * v, rel=0.04)
