@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.bounded import small_table
-from ..operators.ordering import running_totals
+from ..operators.ordering import block_length, running_totals
 from ..operators.stats import (
     COUNTERS,
     SNAPSHOT_EVERY,
@@ -166,7 +166,8 @@ def record_statistics(
     known = counters.lookup(touched, batch_id).withColumns({"scope": F.lit("device"), "shot": F.lit(done).cast("long")})
     so_far = small_table(spark, [{"scope": "overall", "device_id": "", "shot": done} | before.overall], f"scope string, device_id string, shot long, {kinds}")
     rows = reduce(DataFrame.unionByName, [touched, overall, known, so_far])
-    totals = running_totals(rows, ["scope", "device_id"], "shot", names).where(F.col("shot") > done)
+    totals = running_totals(rows, ["scope", "device_id"], "shot", names, block=block_length(last - done))
+    totals = totals.where(F.col("shot") > done)
     totals.select("scope", "device_id", (F.col("shot") * every).alias("valid_from"), *names).write.mode("overwrite").parquet(
         f"{output}/snapshots/batch_id={batch_id}"
     )
@@ -181,4 +182,5 @@ _SNAPSHOTS = T.StructType(
 def live_snapshots(spark: SparkSession, output: str, every: int = SNAPSHOT_EVERY) -> DataFrame:
     """The recorded snapshots as change rows, like ``statistics_changes``; ``snapshots_at`` looks them up."""
     rows = spark.read.schema(_SNAPSHOTS).option("basePath", f"{output}/snapshots").parquet(f"{output}/snapshots")
-    return change_rows(rows.select(*_SNAPSHOTS.names), ALL_COUNTERS, block=1000 * every)
+    shots = (rows.agg(F.max("valid_from")).first()[0] or 0) // every
+    return change_rows(rows.select(*_SNAPSHOTS.names), ALL_COUNTERS, block=block_length(shots) * every)

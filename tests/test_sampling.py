@@ -152,6 +152,25 @@ def test_following_crosses_blocks(spark):
         assert got == {("a", 1): 5, ("a", 5): 6, ("a", 6): 40, ("a", 40): None, ("b", 7): None}
 
 
+def test_totals_and_following_at_once(spark):
+    at = {"a": (1, 5, 6, 40, 41), "b": (7,), "c": tuple(range(2, 60, 3))}
+    df = spark.createDataFrame([(k, p, p % 4) for k, ps in at.items() for p in ps], "k string, p long, v long")
+    for block in (1, 3, 10, 1000):
+        rows = ordering.totals_and_following(df, ["k"], "p", ["v"], "n", block=block).collect()
+        assert {(r.k, r.p): (r.n, r.v) for r in rows} == {
+            (k, p): (min((q for q in ps if q > p), default=None), sum(q % 4 for q in ps if q <= p))
+            for k, ps in at.items() for p in ps
+        }
+        assert len(rows) == df.count()
+    assert ordering.totals_and_following(df.limit(0), ["k"], "p", ["v"], "n").collect() == []
+
+
+def test_blocks_per_key_do_not_grow_with_the_positions():
+    assert ordering.block_length(0) == ordering.block_length(24_000) == 1000
+    for n in (24_001, 144_000, 8_640_000):
+        assert n / ordering.block_length(n) <= 24
+
+
 def test_small_takes_of_large_groups_are_limited_before_the_shuffle(spark):
     df = spark.range(5000).select(F.lit("g").alias("g"), F.md5(F.col("id").cast("string")).alias("k"))
     cuts = ordering.rank_cuts(df, "g", "k", {"cut": {"g": 3}}, prefix=1)

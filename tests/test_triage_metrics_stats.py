@@ -1,8 +1,11 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from flowguard.functions.bounded import small_table
 from flowguard.operators import metrics, ordering, stats, triage
+from flowguard.sources.paths import write_and_read
 
 CLASSES = ["BENIGN", "DOUBT", "DoS"]
 
@@ -145,6 +148,38 @@ def test_change_rows_grow_with_changes(spark):
     assert changes.count() == 50 + 25 + 30
 
 
+def final_plan(df):
+    """The plan that ran, without the one it began with."""
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0]
+
+
+def test_change_rows_shuffle_once(spark, tmp_path):
+    """Rows go to their blocks in one shuffle that both levels use; the others carry one row per block or snapshot."""
+    rows = [(i, f"d{i % 7}", "BENIGN", "BENIGN", None) for i in range(1, 301)]
+    counts = write_and_read(stats.snapshot_counts(triaged(spark, rows), 10), str(tmp_path / "counts"))
+    plan = final_plan(stats.statistics_changes(counts, 10))
+    shuffles = [line for line in plan.splitlines() if "Exchange hashpartitioning(" in line and "Reused" not in line]
+    assert sum("REPARTITION_BY_COL" in line for line in shuffles) == 2
+    assert len(set(re.findall(r"Exchange (hashpartitioning\([^)]*\))", plan))) <= 4 and "ReusedExchange" in plan
+
+
+def test_dense_snapshots_list_the_same_numbers_device_by_device(spark, monkeypatch):
+    """Runs of the numbers repeat from device to device, and are whole across the runs' ends."""
+    monkeypatch.setattr(stats, "LISTED_TOGETHER", 4)
+    rows = [(i, f"d{i % 3}", "BENIGN", "BENIGN", None) for i in range(1, 61)]
+    changes = stats.statistics_changes(stats.snapshot_counts(triaged(spark, rows), 2), 2).coalesce(1)
+    at = list(range(2, 61, 2))
+    got = stats.snapshots_at(changes, at).collect()
+    assert {(r.at_sample, r.device_id): r.total for r in got} == {
+        (n, d): t for n in at for d, t in
+        [(None, n), *((f"d{k}", sum(i % 3 == k for i in range(1, n + 1))) for k in range(3))] if t
+    }
+    assert len(got) == len({(r.at_sample, r.device_id) for r in got})
+    listed = [at.index(r.at_sample) // 4 for r in got]
+    assert listed == sorted(listed)
+
+
 def test_alerts(spark):
     rows = triaged(spark, ROWS).withColumn("confidence", F.lit(0.5)).withColumn(
         "tier2_detail",
