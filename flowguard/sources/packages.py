@@ -15,6 +15,7 @@ from ..functions.numbers import DEFAULT_THRESHOLD
 from ..operators.anomaly import AnomalyParams
 from ..operators.boosting import BoostedModel
 from ..operators.classify import ClassifierPackage
+from ..operators.ensembles import EnsemblesModel
 from ..operators.forest import ForestModel
 from ..operators.scaling import ScaleParams
 from ..operators.sequences import SEQUENCE_LENGTH
@@ -89,7 +90,7 @@ def save_classifier(spark: SparkSession, package: ClassifierPackage, path: str)
 _TREES = "round long, feature array<int>, bin array<int>, gain array<double>, value array<array<double>>"
 
 
-def _save_trees(spark: SparkSession, model: BoostedModel | ForestModel, path: str) -> None:
+def _save_trees(spark: SparkSession, model: BoostedModel | EnsemblesModel | ForestModel, path: str) -> None:
     """Trees as rows, and the edges and what the rows start from as one row."""
     trees = [
         {"round": i, "feature": t.feature.tolist(), "bin": t.bin.tolist(), "gain": t.gain.tolist(), "value": t.value.tolist()}
@@ -100,7 +101,7 @@ def _save_trees(spark: SparkSession, model: BoostedModel | ForestModel, path: st
     small_table(spark, start, "edges array<array<double>>, start array<double>").write.mode("overwrite").parquet(f"{path}/start")
 
 
-def _load_trees(spark: SparkSession, path: str, kind: type) -> BoostedModel | ForestModel:
+def _load_trees(spark: SparkSession, path: str, kind: type) -> BoostedModel | EnsemblesModel | ForestModel:
     row = spark.read.parquet(f"{path}/start").first()
     trees = spark.read.parquet(f"{path}/trees").orderBy("round").collect()
     return kind(
@@ -120,7 +121,7 @@ def load_classifier(spark: SparkSession, path: str) -> ClassifierPackage:
     for part in CLASSIFIER_PARTS:
         if not found.get(part):
             raise KeyError(f"{path}: missing {part}")
-    kind = {"joint": BoostedModel, "forest": ForestModel}.get(row["method"])
+    kind = {"joint": BoostedModel, "boosted": EnsemblesModel, "forest": ForestModel}.get(row["method"])
     own = kind is not None and path_exists(spark, f"{path}/model/trees")
     return ClassifierPackage(
         _load_trees(spark, f"{path}/model", kind) if own else PipelineModel.load(f"{path}/model"),
